@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import best_fit_packing, language_id, sentencepiece_tokenizers, spherical_filters
+from quern.llm import best_fit_packing, chosen_path_join, language_id, sentencepiece_tokenizers, spherical_filters
 
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing.query,
+    "op2_ngram_jaccard_join": chosen_path_join.query,
     "op7_language_id": language_id.query,
     "op9_embedding_near_dedup": spherical_filters.query,
     "op10_sentencepiece": sentencepiece_tokenizers.query,

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._common import stage
-from quern.llm._links import compare, components
+from quern.llm._links import classes, compare
 
 CODEWORDS = 96
 CODES = 2
@@ -100,21 +100,5 @@ def near_duplicates(df: DataFrame, id_col="vec_id", vec_col="embedding", thresho
     return classes(base.select("id", "key"), reps.select("key", "weight"), found, id_col)
 
 
-def classes(rows: DataFrame, reps: DataFrame, found: DataFrame, id_col: str, label="component_id") -> DataFrame:
-    """One row per row of `rows` (id, key): n_links, the smallest id of its component, kept."""
-    sums = found.groupBy("key").agg(F.sum("links").alias("links"))
-    comp = components(found.select("key", "peer"))
-    first = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first"))
-    rep = reps.join(sums, "key", "left").join(comp, "key", "left").join(first, "key")
-    rep = stage(rep.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "key").alias("label"), "first"))
-    least = stage(rep.groupBy("label").agg(F.min("first").alias("least")))
-    rep = stage(rep.join(least, "label").select("key", "n_links", "least"))
-    out = rows.join(rep, "key", "left")
-    to = F.coalesce("least", "id").cast("long")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), to.alias(label), F.coalesce(F.col("id") == to, F.lit(True)).alias("kept")
-    )
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
