@@ -1,13 +1,29 @@
-"""Queries of the training-data operators; none of them can be put in SQL."""
+"""Queries of the training-data operators. None of them can be put in SQL."""
 
 from __future__ import annotations
 
-from quern.llm import best_fit_packing, chosen_path_join, language_id, sentencepiece_tokenizers, spherical_filters
+from quern.llm import (
+    best_fit_packing,
+    chat_format,
+    chosen_path_join,
+    html_extraction,
+    language_id,
+    lm_trie,
+    multi_index_hashing,
+    quality_crf,
+    sentencepiece_tokenizers,
+    spherical_filters,
+)
 
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing.query,
     "op2_ngram_jaccard_join": chosen_path_join.query,
+    "op3_lm_scoring": lm_trie.query,
+    "op4_html_extraction": html_extraction.query,
+    "op5_quality_crf": quality_crf.query,
+    "op6_multi_index_hashing": multi_index_hashing.query,
     "op7_language_id": language_id.query,
+    "op8_chat_formatting": chat_format.query,
     "op9_embedding_near_dedup": spherical_filters.query,
     "op10_sentencepiece": sentencepiece_tokenizers.query,
 }
