@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]
