@@ -1 +1,29 @@
+"""Column functions that the engine adds to Spark's."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Dot product of two arrays, in double precision."""
+    both = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
+
+
+def weekday(day: Column) -> Column:
+    """0 for Sunday to 6 for Saturday."""
+    return F.dayofweek(day) - 1
+
+
+def trunc(unit: str, ts: Column) -> Column:
+    """date_trunc without a time zone."""
+    return F.date_trunc(unit, ts).cast("timestamp_ntz")
+
+
+def skewness_pop(x: Column) -> Column:
+    """Population skewness from power sums, one aggregation pass."""
+    n, s1, s2, s3 = F.count(x), F.sum(x), F.sum(x * x), F.sum(x * x * x)
+    m = s1 / n
+    return (s3 / n - 3 * m * s2 / n + 2 * m * m * m) / F.pow(s2 / n - m * m, F.lit(1.5))

@@ -2,5 +2,332 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern import functions as Q
+from quern.operators import joins
+from quern.sources import table
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def both(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
+    """A query that Spark's own SQL states best; duck_sql where the dialects differ."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = {t: table(spark, sf_dir, t) for t in TABLES if t in spark_sql}
+        return spark.sql(spark_sql.format(**{t: "{" + t + "}" for t in frames}), **frames)
+
+    QUERIES[name] = run
+    ORACLES[name] = (duck_sql or spark_sql).replace("{", "").replace("}", "")
+
+
+L = lambda c: F.col(c).cast("long")
+R2 = lambda c: F.round(c, 2)
+
+# ------------------------------------------------------------ A. scan, filter, projection
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def a1_scan(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_discount >= 0.05 AND l_shipdate >= TIMESTAMP '1997-01-01'")
+def a2_filter(t):
+    keep = F.col("l_quantity").between(10, 20) & (F.col("l_discount") >= 0.05) & (F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+    return t("lineitem").where(keep).select("l_orderkey", "l_extendedprice")
+
+
+@query("SELECT l_orderkey AS k, CAST(floor(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) AS cents FROM lineitem")
+def a3_project(t):
+    return t("lineitem").select(F.col("l_orderkey").alias("k"), F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long").alias("cents"))
+
+
+# ------------------------------------------------------------ B. joins
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def b1_inner_join(t):
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
+@query("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def b2_left_join(t):
+    return t("documents").select("doc_id").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+@query("SELECT o_orderkey, l_linenumber FROM (SELECT * FROM orders WHERE o_totalprice > 100000) FULL JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON o_orderkey = l_orderkey")
+def b3_full_join(t):
+    o, l = t("orders").where("o_totalprice > 100000"), t("lineitem").where("l_quantity > 45")
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey"), "full").select("o_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def b4_semi_join(t):
+    return t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
+def b5_anti_join(t):
+    return t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def b6_cross_join(t):
+    return t("region").crossJoin(t("nation")).select("r_name", "n_name")
+
+
+@query("SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTE")
+def b7_interval_join(t):
+    a, b = (t("events").select(F.col("user_id"), F.col("event_id").alias(i), F.col("ts").alias(s)) for i, s in (("first_id", "ts1"), ("second_id", "ts2")))
+    near = (F.col("ts2") > F.col("ts1")) & (F.col("ts2") <= F.col("ts1") + F.expr("INTERVAL 30 MINUTES"))
+    return a.join(b, "user_id").where(near).select("first_id", "second_id")
+
+
+@query("SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON b.ts > a.ts AND b.ts <= a.ts + INTERVAL 60 SECOND")
+def b8_band_join(t):
+    side = lambda i, s: t("events").select(F.col("event_id").alias(i), F.unix_micros(F.col("ts").cast("timestamp")).alias(s))
+    near = (F.col("u2") > F.col("u1")) & (F.col("u2") <= F.col("u1") + 60_000_000)
+    return joins.band(side("first_id", "u1"), side("second_id", "u2"), "u1", "u2", 60e6, near).select("first_id", "second_id")
+
+
+@query("""SELECT c.event_id, (SELECT max_by(v.event_id, v.ts) FROM events v WHERE v.user_id = c.user_id AND v.event_type = 'view' AND v.ts <= c.ts) AS view_id
+FROM events c WHERE c.event_type = 'click'""")
+def b9_as_of_join(t):
+    e = t("events").select("user_id", "event_id", "ts", "event_type")
+    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
+    out = joins.as_of(e.where("event_type = 'click'"), views, ["user_id"], "ts", "view_ts", "view_id", "event_id", "view_id")
+    return out.select("event_id", "view_id")
+
+
+both("b10_not_in_nulls", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 3) FROM {orders})")
+both("b11_scalar_subquery", "SELECT p_partkey FROM {part} p WHERE p_retailprice > (SELECT avg(p2.p_retailprice) FROM {part} p2 WHERE p2.p_brand = p.p_brand)")
+both("b12_exists", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+
+# ------------------------------------------------------------ C. aggregation
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 2) AS avg_price, count(*) AS n FROM lineitem GROUP BY ALL")
+def c1_group_by(t):
+    return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(R2(F.sum("l_quantity")).alias("sum_qty"), R2(F.avg("l_extendedprice")).alias("avg_price"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY ALL")
+def c2_count_distinct(t):
+    return t("orders").groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def c3_rollup(t):
+    return t("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def c4_cube(t):
+    return t("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+both("c5_grouping_sets", "SELECT p_brand, p_type, count(*) AS n FROM {part} GROUP BY GROUPING SETS ((p_brand, p_type), (p_brand), ())")
+both(
+    "c6_percentile",
+    "SELECT l_returnflag, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice), 2) AS p90 FROM {lineitem} GROUP BY l_returnflag",
+    "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 2) AS p90 FROM lineitem GROUP BY l_returnflag",
+)
+both("c7_median", "SELECT l_returnflag, round(median(l_quantity), 2) AS med FROM {lineitem} GROUP BY l_returnflag")
+both("c8_deviation", "SELECT l_returnflag, round(stddev_samp(l_quantity), 4) AS sd, round(var_pop(l_discount), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r FROM {lineitem} GROUP BY l_returnflag")
+
+
+@query("""SELECT l_returnflag, round((s3 / n - 3 * (s1 / n) * s2 / n + 2 * power(s1 / n, 3)) / power(s2 / n - power(s1 / n, 2), 1.5), 5) AS skew
+FROM (SELECT l_returnflag, count(*) AS n, sum(l_extendedprice) AS s1, sum(l_extendedprice ** 2) AS s2, sum(l_extendedprice ** 3) AS s3 FROM lineitem GROUP BY 1)""")
+def c9_skewness(t):
+    return t("lineitem").groupBy("l_returnflag").agg(F.round(Q.skewness_pop(F.col("l_extendedprice")), 5).alias("skew"))
+
+
+@query("SELECT true AS close")
+def c10_approx_distinct(t):
+    d = t("orders").agg(F.approx_count_distinct("o_orderkey", 0.02).alias("a"), F.count_distinct("o_orderkey").alias("e"))
+    return d.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+
+
+@query("SELECT true AS hll, true AS theta, true AS kll")
+def c11_sketches(t):
+    d = t("orders").agg(
+        F.expr("hll_sketch_estimate(hll_sketch_agg(o_orderkey))").alias("h"),
+        F.expr("theta_sketch_estimate(theta_sketch_agg(o_orderkey))").alias("th"),
+        F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(o_totalprice), 0.5D)").alias("k"),
+        F.expr("percentile_approx(o_totalprice, 0.5)").alias("m"),
+        F.count_distinct("o_orderkey").alias("e"),
+    )
+    near = lambda a, b, e: F.abs(F.col(a) - F.col(b)) <= e * F.col(b)
+    return d.select(near("h", "e", 0.1).alias("hll"), near("th", "e", 0.1).alias("theta"), near("k", "m", 0.1).alias("kll"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+def c12_ordered_list(t):
+    pairs = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    return t("nation").groupBy("n_regionkey").agg(F.array_join(F.transform(pairs, lambda x: x["n_name"]), ",").alias("names"))
+
+
+@query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1")
+def c13_pivot(t):
+    p = t("lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1)))
+    return p.select("l_returnflag", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"))
+
+
+@query("SELECT l_orderkey, 'l_discount' AS name, l_discount AS value FROM lineitem UNION ALL SELECT l_orderkey, 'l_tax', l_tax FROM lineitem")
+def c14_unpivot(t):
+    return t("lineitem").unpivot("l_orderkey", ["l_discount", "l_tax"], "name", "value")
+
+
+# ------------------------------------------------------------ D. windows, order, sets
+
+_W = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)"
+both("d1_ranks", f"SELECT o_orderkey, CAST(row_number() {_W} AS BIGINT) AS rn, CAST(rank() {_W} AS BIGINT) AS rk, CAST(dense_rank() {_W} AS BIGINT) AS dr, CAST(ntile(3) {_W} AS BIGINT) AS nt, round(percent_rank() {_W}, 6) AS pr, round(cume_dist() {_W}, 6) AS cd FROM {{orders}}")
+both("d2_offsets", f"SELECT o_orderkey, lag(o_orderkey) {_W} AS prev, lead(o_orderkey, 2) {_W} AS next2, first_value(o_orderkey) {_W} AS top, nth_value(o_orderkey, 2) {_W} AS second FROM {{orders}}")
+
+
+@query("SELECT o_orderkey, max(o_totalprice) OVER w AS max3, count(*) OVER w AS n3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def d3_rows_frame(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)
+    return t("orders").select("o_orderkey", F.max("o_totalprice").over(w).alias("max3"), F.count(F.lit(1)).over(w).alias("n3"))
+
+
+both("d4_range_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM {events}")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def d5_top_k(t):
+    return t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice").limit(25)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+def d6_top_k_per_group(t):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return t("orders").withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def d7_union(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).union(t("supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def d8_intersect(t):
+    return t("customer").select(F.col("c_custkey").alias("k")).intersect(t("orders").select("o_custkey"))
+
+
+@query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
+def d9_except_all(t):
+    return t("orders").select(F.col("o_custkey").alias("k")).exceptAll(t("customer").select("c_custkey"))
+
+
+both("d10_null_order", "SELECT k, CAST(row_number() OVER (ORDER BY k DESC NULLS LAST) AS BIGINT) AS place FROM (SELECT DISTINCT nullif(n_regionkey, 2) AS k FROM {nation})")
+
+# ------------------------------------------------------------ E. scalars and table functions
+
+both(
+    "e1_strings",
+    "SELECT p_partkey, upper(p_name) AS up, substr(p_name, 2, 3) AS mid, CAST(length(p_name) AS BIGINT) AS len, split_part(p_brand, '#', 2) AS num, reverse(p_type) AS rev, lpad(p_type, 12, '*') AS pad, regexp_replace(p_name, '[aeiou]', '') AS cons FROM {part}",
+    "SELECT p_partkey, upper(p_name) AS up, substr(p_name, 2, 3) AS mid, CAST(length(p_name) AS BIGINT) AS len, split_part(p_brand, '#', 2) AS num, reverse(p_type) AS rev, lpad(p_type, 12, '*') AS pad, regexp_replace(p_name, '[aeiou]', '', 'g') AS cons FROM part",
+)
+both("e2_lengths", "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(octet_length(text) AS BIGINT) AS bytes FROM {documents}", "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+both("e3_md5", "SELECT doc_id, md5(text) AS digest FROM {documents}")
+both("e4_dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(o_orderdate AS DATE) AS d FROM {orders}")
+
+
+@query("SELECT o_orderkey, dayofweek(o_orderdate) AS dow FROM orders")
+def e5_weekday(t):
+    return t("orders").select("o_orderkey", Q.weekday(F.col("o_orderdate")).cast("long").alias("dow"))
+
+
+@query("SELECT event_id, date_trunc('hour', ts) AS h FROM events")
+def e6_date_trunc(t):
+    return t("events").select("event_id", Q.trunc("hour", F.col("ts")).alias("h"))
+
+
+both("e7_math", "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice / l_quantity) AS BIGINT) AS unit, l_orderkey % 7 AS m, round(sqrt(l_quantity), 4) AS s FROM {lineitem}")
+both("e8_rounding", "SELECT l_orderkey, CAST(floor(l_extendedprice) AS BIGINT) AS lo, CAST(round(l_extendedprice) AS BIGINT) AS near FROM {lineitem}")
+both("e9_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+
+
+@query("SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, w AS word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)")
+def e10_explode(t):
+    return t("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).select("doc_id", L("pos").alias("pos"), "word")
+
+
+@query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS d FROM embeddings")
+def e11_dot_product(t):
+    return t("embeddings").select("vec_id", F.round(Q.dot(F.col("embedding"), F.col("embedding")), 5).alias("d"))
+
+
+@query("SELECT r_regionkey, r_name AS v FROM region")
+def e12_map(t):
+    m = t("region").groupBy("r_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("m"))
+    return m.select("r_regionkey", F.element_at("m", F.col("r_regionkey")).alias("v"))
+
+
+both("e13_recursive", "WITH RECURSIVE s(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM s WHERE n < 12) SELECT n, f FROM s")
+both("e14_try", "SELECT n_nationkey, try_cast(n_name AS INT) AS bad, round(try_divide(10, n_regionkey), 4) AS q FROM {nation}", "SELECT n_nationkey, try_cast(n_name AS INT) AS bad, round(CASE WHEN n_regionkey <> 0 THEN 10 / n_regionkey END, 4) AS q FROM nation")
+
+# ------------------------------------------------------------ F. time windows
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def f1_tumbling_window(t):
+    w = F.window("ts", "1 hour")
+    return t("events").groupBy(w).agg(F.count(F.lit(1)).alias("n"), R2(F.sum("value")).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "total")
+
+
+@query("""SELECT s AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS s FROM events) GROUP BY 1""")
+def f2_sliding_window(t):
+    return t("events").groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM
+(SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def f3_session_window(t):
+    s = F.session_window("ts", "30 minutes")
+    return t("events").groupBy("user_id", s).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# ------------------------------------------------------------ streams, run to their end
+
+
+def _streamed(name: str, build, sql: str | None = None, mode: str = "append") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quern.streaming import drain, events
+
+        return drain(build(events(spark, sf_dir)), mode)
+
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+def _streams() -> None:
+    from quern import streaming as S
+
+    start = lambda df: df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    _streamed("f4_stream_tumbling", lambda e: start(S.tumbling(e, "1 hour")), "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY 1", "complete")
+    _streamed("f5_stream_sessions", lambda e: start(S.sessions(e, "30 minutes")), ORACLES["f3_session_window"], "complete")
+    _streamed("f6_stream_dedup", lambda e: S.first_seen(e).select("user_id"), "SELECT DISTINCT user_id FROM events")
+    _streamed("f7_stream_interval_join", lambda e: S.views_before_clicks(e), """SELECT v.event_id AS view_id, c.event_id AS click_id FROM events v JOIN events c ON v.user_id = c.user_id
+AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 30 MINUTE WHERE v.event_type = 'view' AND c.event_type = 'click'""")
+    _streamed("f9_stream_state", lambda e: S.totals(e), "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1", "update")
+
+
+_streams()

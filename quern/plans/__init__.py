@@ -1 +1,20 @@
+"""Session settings and table access."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def session(cores: int | str = "*", **conf) -> SparkSession:
+    """A session in UTC with adaptive execution; conf overrides, with __ for the dots of a key."""
+    b = SparkSession.builder.master(f"local[{cores}]").appName("quern")
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.shuffle.partitions": str(cores if cores != "*" else 8),
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    } | {k.replace("__", "."): str(v) for k, v in conf.items()}
+    for k, v in settings.items():
+        b = b.config(k, v)
+    return b.getOrCreate()

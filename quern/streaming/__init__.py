@@ -1 +1,67 @@
+"""Structured Streaming operators over the events table."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, with a zoned event time (watermarks need one)."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    folder, name = os.path.split(path)
+    e = spark.readStream.schema(schema).option("pathGlobFilter", name if not os.path.isdir(path) else "*.parquet").parquet(folder if not os.path.isdir(path) else path)
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drain(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and return what it put out."""
+    spark, name = df.sparkSession, "quern_" + uuid.uuid4().hex
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-")
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{named}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def tumbling(e: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
+    w = F.window("ts", width)
+    return e.withWatermark("ts", late).groupBy(w).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
+
+
+def sessions(e: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
+    s = F.session_window("ts", gap)
+    return e.withWatermark("ts", late).groupBy("user_id", s).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+def first_seen(e: DataFrame, late: str = "60 days") -> DataFrame:
+    """The first event of each user within the watermark."""
+    return e.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id"])
+
+
+def views_before_clicks(e: DataFrame, within: str = "30 minutes") -> DataFrame:
+    """Pairs of a view and a click of one user; both sides' state is bounded by the watermark."""
+    e = e.withWatermark("ts", "1 hour")
+    v = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    c = e.where("event_type = 'click'").select(F.col("user_id").alias("click_user"), F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
+    near = F.expr(f"user_id = click_user AND click_ts >= view_ts AND click_ts <= view_ts + INTERVAL {within}")
+    return v.join(c, near).select("view_id", "click_id")
+
+
+def totals(e: DataFrame) -> DataFrame:
+    """Count and sum of each user so far, kept as custom state."""
+
+    def step(key, frames, state):
+        n, total = state.get if state.exists else (0, 0.0)
+        for f in frames:
+            n, total = n + len(f), total + float(f["value"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 2)]})
+
+    return e.select("user_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
