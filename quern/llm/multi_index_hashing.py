@@ -139,7 +139,7 @@ def search(df: DataFrame, is_query, k: int = 10, id_col="vec_id", vec_col="embed
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], []]
-        if left.num_rows and right.num_rows:
+        if "v" in left.column_names and "v" in right.column_names:  # a side without rows has no columns
             vectors = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims)
             V, Q = vectors(left), vectors(right)
             rows, ids = left.column("row").to_numpy(), left.column("id").to_numpy()
