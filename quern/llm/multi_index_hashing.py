@@ -158,7 +158,8 @@ def search(df: DataFrame, is_query, k: int = 10, id_col="vec_id", vec_col="embed
         asked_row = np.repeat(right.column("row").to_numpy(), [len(x) for x in cols[0]]) if cols[0] else np.zeros(0)
         return pa.table([pa.array(asked_row, pa.int64()), *[pa.array(f, t) for f, t in zip(flat, kinds, strict=True)]], names=["asked", "query_id", "row", "vec_id", "score"])
 
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(nearest, "asked long, " + schema)
+    # written, as a count of the lazy result would prune the vectors away in front of the cogroup
+    found = stage(index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(nearest, "asked long, " + schema))
     w = Window.partitionBy("asked").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
