@@ -178,7 +178,8 @@ def join(df: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8
     drop(ends)
     members = stage(close.select("leaf", "key"))
     wanted = reps.join(members.select("key").distinct(), "key", "left_semi").select(F.col("first").alias("id"))
-    sets = docs.join(wanted.distinct(), "id", "left_semi").select("text").mapInArrow(_sets_fn(words), "key long, payload array<long>")
+    # texts are dealt by id at every size: a plan that broadcasts small id lists would change with the input
+    sets = docs.join(wanted.distinct().hint("merge"), "id", "left_semi").select("text").mapInArrow(_sets_fn(words), "key long, payload array<long>")
     sets = sets.groupBy("key").agg(F.first("payload").alias("payload"))
     found = compare(members, sets.join(reps.select("key", "weight"), "key"), jaccard(threshold))
     drop(close, members)
@@ -188,7 +189,7 @@ def join(df: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8
 def keep_one(df: DataFrame, id_col="doc_id", text_col="text", **settings) -> DataFrame:
     """The rows of df without the near copies: of each class the document with the smallest id stays."""
     kept = stage(join(df, id_col, text_col, **settings).where(f"kept and {id_col} is not null").select(id_col))
-    out = df.join(kept.distinct(), id_col, "left_semi").select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
+    out = df.join(kept.distinct().hint("merge"), id_col, "left_semi").select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
     if kept.groupBy(id_col).count().where("count > 1").isEmpty():
         return out
     # ids that repeat: one row of each stays
