@@ -6,21 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, row: str, tie: str) -> DataFrame:
+def _position(df: DataFrame, c: str) -> Column:
+    """A time in seconds, or a number, as a double."""
+    of = df.schema[c].dataType.simpleString()
+    return (F.col(c).cast("timestamp") if of in ("timestamp_ntz", "date") else F.col(c)).cast("double")
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, row: str, tie: str, span: float) -> DataFrame:
     """Each left row with the value of the latest right row at or before it (null if there is none).
 
-    Rows of both sides are merged by key and time, and the last right value is carried
-    forward in one window: one shuffle, no row is paired with all its predecessors.
-    row identifies a left row; ties of right times go to the larger `tie`.
+    Rows of both sides are merged by key and bin of time (`span` seconds, or units of a
+    number), and the last right value is carried forward in a window over the bin. What
+    precedes a bin comes from a window over the latest right row of each bin, one row a
+    bin however many rows a key has: a key with most of the rows spreads over its bins.
+    row identifies a left row; ties of right times go to the larger `tie`. Null keys and
+    null times match nothing.
     """
-    mark = F.struct(F.col(right_at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value"))
-    r = right.select(*keys, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema[row].dataType).alias(row), mark.alias("__mark"))
-    l = left.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.col(row), F.lit(None).cast(r.schema["__mark"].dataType).alias("__mark"))
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy("__at", "__side", F.col("__mark.tie")).rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(l).withColumn("__last", F.last("__mark", ignorenulls=True).over(w))
-    return both.where("__side = 1").select(*keys, F.col("__at").alias(at), row, F.col("__last.value").alias(value))
+    mark = F.struct(F.col(right_at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value"))
+    bin_of = lambda df, c: F.floor(_position(df, c) / F.lit(float(span))).cast("long").alias("__bin")
+    r = right.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, right_at]))
+    r = r.select(*keys, bin_of(right, right_at), F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema[row].dataType).alias(row), mark.alias("__mark"))
+    l = left.select(*keys, bin_of(left, at), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.col(row), F.lit(None).cast(r.schema["__mark"].dataType).alias("__mark"))
+    both = r.unionByName(l)
+    inside = Window.partitionBy(*keys, "__bin").orderBy("__at", "__side", "__mark").rowsBetween(Window.unboundedPreceding, 0)
+    got = both.withColumn("__last", F.last("__mark", ignorenulls=True).over(inside)).where("__side = 1")
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy(*keys, "__bin").agg(F.max("__mark").alias("__best"), F.max("__side").alias("__side"))
+    bins = bins.withColumn("__carried", F.last("__best", ignorenulls=True).over(before)).where("__side = 1 AND __carried IS NOT NULL")
+    got = got.join(bins.select(*keys, "__bin", "__carried"), [*keys, "__bin"], "left")
+    return got.select(*keys, F.col("__at").alias(at), row, F.coalesce("__last", "__carried")["value"].alias(value))
 
 
 def band(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width: float, condition: Column) -> DataFrame:

@@ -110,7 +110,7 @@ FROM events c WHERE c.event_type = 'click'""")
 def b9_as_of_join(t):
     e = t("events").select("user_id", "event_id", "ts", "event_type")
     views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
-    out = joins.as_of(e.where("event_type = 'click'"), views, ["user_id"], "ts", "view_ts", "view_id", "event_id", "view_id")
+    out = joins.as_of(e.where("event_type = 'click'"), views, ["user_id"], "ts", "view_ts", "view_id", "event_id", "view_id", 86400)
     return out.select("event_id", "view_id")
 
 
@@ -329,5 +329,11 @@ def _streams() -> None:
 AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 30 MINUTE WHERE v.event_type = 'view' AND c.event_type = 'click'""")
     _streamed("f9_stream_state", lambda e: S.totals(e), "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1", "update")
 
+    _streamed("f8_stream_processor", lambda e: S.totals_processor(e), ORACLES["f9_stream_state"], "update")
+    QUERIES["f10_stream_late"] = S.late_rows
+    ORACLES["f10_stream_late"] = """WITH e AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS start FROM events),
+m AS (SELECT max(ts) - INTERVAL 1 HOUR AS last, max(ts) FILTER (WHERE event_id % 10 <> 0) - INTERVAL 1 HOUR AS mark FROM e)
+SELECT start, count(*) AS n FROM e, m WHERE start + INTERVAL 1 HOUR <= last AND (event_id % 10 <> 0 OR start + INTERVAL 1 HOUR > mark) GROUP BY 1"""
+
 
 _streams()

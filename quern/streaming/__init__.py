@@ -10,6 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +25,35 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return what it put out."""
-    spark, name = df.sparkSession, "quern_" + uuid.uuid4().hex
+def _scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder of the session, in a temporary one where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-")
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{named}/{name}").trigger(availableNow=True).start()
+    return f"{named}/quern_{uuid.uuid4().hex}"
+
+
+def drain(df: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and return what it put out.
+
+    Each batch is a Parquet folder of its own number, so a batch that runs again after a
+    failure replaces itself and nothing passes through the driver; in complete mode the
+    last batch is the result. State is kept in RocksDB. With `at`, the folder of an
+    earlier run, that run is carried on and the rows of both are returned.
+    """
+    spark, at = df.sparkSession, at or _scratch(df.sparkSession)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/{0 if mode == 'complete' else number}")
+
+    store = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_STORE, store)
     q.awaitTermination()
-    return spark.table(name)
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
+    some = out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out)
+    return spark.read.schema(df.schema).parquet(f"{at}/out/*") if some else spark.createDataFrame([], df.schema)
 
 
 def tumbling(e: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
@@ -65,3 +91,39 @@ def totals(e: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 2)]})
 
     return e.select("user_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+class _Totals(StatefulProcessor):
+    """Count and sum of a key in one value state."""
+
+    def init(self, handle) -> None:
+        self._sum = handle.getValueState("sum", "n long, total double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, total = self._sum.get() if self._sum.exists() else (0, 0.0)
+        for f in rows:
+            n, total = n + len(f), total + float(f["value"].sum())
+        self._sum.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 2)]})
+
+    def close(self) -> None:
+        pass
+
+
+def totals_processor(e: DataFrame) -> DataFrame:
+    """As totals, with a stateful processor."""
+    return e.select("user_id", "value").groupBy("user_id").transformWithStateInPandas(_Totals(), "user_id long, n long, total double", "update", "None")
+
+
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of events of which a tenth arrive late, in a second run over one checkpoint.
+
+    Late rows whose window the first run has closed are behind the watermark and dropped.
+    """
+    e, at = spark.read.parquet(f"{sf_dir}/events.parquet"), _scratch(spark)
+    late = F.col("event_id") % 10 == 0
+    for part in (e.where(~late), e.where(late)):
+        part.write.mode("append").parquet(f"{at}/in")
+        s = spark.readStream.schema(e.schema).parquet(f"{at}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+        out = drain(tumbling(s, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz")), at=at)
+    return out

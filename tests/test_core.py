@@ -46,11 +46,23 @@ def test_band_join_is_exact_and_has_no_nested_loop(spark):
     assert sorted((x.i, x.j) for x in out.collect()) == sorted((i, j) for i, x in a for j, y in b if x <= y <= x + 17)
 
 
-def test_as_of_join_without_match_and_with_ties(spark):
-    left = spark.createDataFrame([(1, 10, 100), (1, 5, 101), (2, 9, 102)], "k int, t int, id int")
-    right = spark.createDataFrame([(1, 7, 1), (1, 7, 2), (1, 11, 3), (3, 1, 4)], "k int, u int, v int")
-    out = joins.as_of(left, right, ["k"], "t", "u", "v", "id", "v")
-    assert sorted((r.id, r.v) for r in out.collect()) == [(100, 2), (101, None), (102, None)]
+@pytest.mark.parametrize("span", [1, 4, 1000])
+def test_as_of_join_without_match_and_with_ties(spark, span):
+    left = spark.createDataFrame([(1, 10, 100), (1, 5, 101), (2, 9, 102), (None, 9, 103), (1, None, 104), (1, 40, 105)], "k int, t int, id int")
+    right = spark.createDataFrame([(1, 7, 1), (1, 7, 2), (1, 11, 3), (3, 1, 4), (None, 1, 5), (1, None, 6)], "k int, u int, v int")
+    out = joins.as_of(left, right, ["k"], "t", "u", "v", "id", "v", span)
+    assert sorted((r.id, r.v) for r in out.collect()) == [(100, 2), (101, None), (102, None), (103, None), (104, None), (105, 3)]
+
+
+@pytest.mark.parametrize("span", [2, 15])
+def test_as_of_join_is_brute_force(spark, span):
+    r = random.Random(2)
+    a = [(r.choice("xxxy"), r.randint(0, 90), i) for i in range(120)]
+    b = [(r.choice("xxxy"), r.randint(0, 90), i) for i in range(60)]
+    left, right = spark.createDataFrame(a, "k string, t int, id int"), spark.createDataFrame(b, "k string, u int, v int")
+    want = sorted((i, max(((u, v) for kk, u, v in b if kk == k and u <= t), default=(0, None))[1]) for k, t, i in a)
+    out = joins.as_of(left, right, ["k"], "t", "u", "v", "id", "v", span)
+    assert sorted((x.id, x.v) for x in out.collect()) == want
 
 
 @pytest.mark.parametrize("fmt", sources.FORMATS)
