@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import functions as Q
+from quern.functions import udf
 from quern.operators import joins
-from quern.sources import table
+from quern.plans import scratch
+from quern.sources import FORMATS, read, table, write
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +59,20 @@ def a3_project(t):
     return t("lineitem").select(F.col("l_orderkey").alias("k"), F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long").alias("cents"))
 
 
+def a4_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written in every format and read back under the stated schema."""
+    orders, at = table(spark, sf_dir, "orders"), scratch(spark)
+    out = None
+    for fmt in FORMATS:
+        write(orders, f"{at}/{fmt}", fmt)
+        back = read(spark, f"{at}/{fmt}", fmt, orders.schema).select(F.lit(fmt).alias("fmt"), "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+        out = back if out is None else out.unionAll(back)
+    return out
+
+
+QUERIES["a4_sinks"] = a4_sinks
+ORACLES["a4_sinks"] = f"SELECT fmt, o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders, (SELECT unnest({list(FORMATS)}) AS fmt)"
+
 # ------------------------------------------------------------ B. joins
 
 
@@ -176,6 +192,20 @@ def c11_sketches(t):
     return d.select(near("h", "e", 0.1).alias("hll"), near("th", "e", 0.1).alias("theta"), near("k", "m", 0.1).alias("kll"))
 
 
+@query("SELECT event_type AS item, count(*) AS n FROM events GROUP BY 1")
+def c11_approx_top_k(t):
+    """Exact here: the sketch holds far more items than there are types."""
+    top = t("events").agg(F.expr("approx_top_k(event_type, 100, 1000)").alias("top"))
+    return top.select(F.inline("top")).select("item", F.col("count").alias("n"))
+
+
+@query("SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+def c11_bitmap_distinct(t):
+    """Distinct integers through bitmaps: two map-side combined aggregations, no distinct rows are shuffled."""
+    parts = t("orders").groupBy("o_orderpriority", F.bitmap_bucket_number("o_custkey").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("o_custkey")).alias("bits"))
+    return parts.groupBy("o_orderpriority").agg(F.sum(F.bitmap_count("bits")).alias("customers"))
+
+
 @query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
 def c12_ordered_list(t):
     pairs = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
@@ -304,6 +334,27 @@ def f3_session_window(t):
     return t("events").groupBy("user_id", s).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+# ------------------------------------------------------------ H. functions of the user's own
+
+
+@query("SELECT p_partkey, CAST(floor(p_retailprice * 100) AS BIGINT) AS cents FROM part")
+def h1_pandas_udf(t):
+    return t("part").select("p_partkey", udf.cents("p_retailprice").alias("cents"))
+
+
+@query("""SELECT c_nationkey, round(sum(power(n / total, 2)), 6) AS concentration FROM (SELECT c_nationkey, count(*) AS n, sum(count(*)) OVER (PARTITION BY c_nationkey) AS total
+FROM customer GROUP BY c_nationkey, c_mktsegment) GROUP BY 1""")
+def h2_grouped_udf(t):
+    """Counted by segment before, so that a group in Python is as long as there are segments."""
+    counts = t("customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("c_nationkey").agg(F.round(udf.concentration("n"), 6).alias("concentration"))
+
+
+@query("SELECT p_partkey, CAST(i - 1 AS BIGINT) AS pos, w AS word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part)")
+def h3_table_function(t):
+    return t("part").lateralJoin(udf.words(F.col("p_name").outer())).select("p_partkey", "pos", "word")
+
+
 # ------------------------------------------------------------ streams, run to their end
 
 
@@ -330,6 +381,7 @@ AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 30 MINUTE WHERE v.event_type = 'vie
     _streamed("f9_stream_state", lambda e: S.totals(e), "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1", "update")
 
     _streamed("f8_stream_processor", lambda e: S.totals_processor(e), ORACLES["f9_stream_state"], "update")
+    _streamed("a5_stream_scan", lambda e: e.select("event_id", "user_id", "event_type", "value"), "SELECT event_id, user_id, event_type, value FROM events")
     QUERIES["f10_stream_late"] = S.late_rows
     ORACLES["f10_stream_late"] = """WITH e AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS start FROM events),
 m AS (SELECT max(ts) - INTERVAL 1 HOUR AS last, max(ts) FILTER (WHERE event_id % 10 <> 0) - INTERVAL 1 HOUR AS mark FROM e)

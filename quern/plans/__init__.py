@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +21,9 @@ def session(cores: int | str = "*", **conf) -> SparkSession:
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder of the session, in a temporary one where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-")
+    return f"{named}/quern_{uuid.uuid4().hex}"

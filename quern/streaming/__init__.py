@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from quern.plans import scratch
+
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,12 +25,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder's name in the shared folder of the session, in a temporary one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-")
-    return f"{named}/quern_{uuid.uuid4().hex}"
-
-
 def drain(df: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
     """Run a stream over what is there now and return what it put out.
 
@@ -39,7 +33,7 @@ def drain(df: DataFrame, mode: str = "append", at: str | None = None) -> DataFra
     last batch is the result. State is kept in RocksDB. With `at`, the folder of an
     earlier run, that run is carried on and the rows of both are returned.
     """
-    spark, at = df.sparkSession, at or _scratch(df.sparkSession)
+    spark, at = df.sparkSession, at or scratch(df.sparkSession)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/{0 if mode == 'complete' else number}")
@@ -120,7 +114,7 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Late rows whose window the first run has closed are behind the watermark and dropped.
     """
-    e, at = spark.read.parquet(f"{sf_dir}/events.parquet"), _scratch(spark)
+    e, at = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark)
     late = F.col("event_id") % 10 == 0
     for part in (e.where(~late), e.where(late)):
         part.write.mode("append").parquet(f"{at}/in")

@@ -76,3 +76,21 @@ def test_sources_round_trip(spark, tmp_path, fmt):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["a2_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quanti" in plan and "l_tax" not in plan
+
+
+def test_python_functions_take_nulls_and_empty_texts(spark):
+    from quern.functions import udf
+
+    df = spark.createDataFrame([(1, 1.239, "a  b"), (2, None, None), (3, 0.0, "")], "k int, price double, text string")
+    assert [r[0] for r in df.orderBy("k").select(udf.cents("price")).collect()] == [123, None, 0]
+    rows = df.lateralJoin(udf.words(F.col("text").outer())).select("k", "pos", "word").collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, "a"), (1, 1, ""), (1, 2, "b"), (3, 0, "")]
+    assert df.where("k < 0").groupBy("k").agg(udf.concentration("k")).count() == 0
+
+
+@pytest.mark.parametrize("fmt", sources.FORMATS)
+def test_formats_keep_nulls_and_no_rows(spark, tmp_path, fmt):
+    df = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "k int, s string")
+    for name, rows in (("some", df), ("none", df.where("k > 9"))):
+        sources.write(rows, f"{tmp_path}/{name}", fmt)
+        assert sorted(map(str, sources.read(spark, f"{tmp_path}/{name}", fmt, df.schema).collect())) == sorted(map(str, rows.collect()))
