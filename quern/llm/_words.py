@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 
 class SegmentCache:
-    """segment -> bytes of its ids. `encode` gets the unknown segments of a batch, sorted."""
+    """segment -> bytes of its ids. `encode` gets the unknown segments of a batch."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 400_000):
         self.encode, self.entries = encode, entries
@@ -24,14 +26,9 @@ class SegmentCache:
         if len(young) > self.entries:
             self.old = old = young
             self.young = young = {}
-        missing = []
-        for s in segments:
-            if s not in young:
-                if (b := old.get(s)) is not None:
-                    young[s] = b
-                else:
-                    missing.append(s)
-        missing.sort()
+        unknown = segments.difference(young)
+        young.update({s: b for s in unknown if (b := old.get(s)) is not None})
+        missing = list(unknown.difference(young))
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
             young.update(zip(part, self.encode(part), strict=True))
@@ -48,3 +45,43 @@ def batches(texts: list[str], chars: int = 2_000_000):
             a, n = i + 1, 0
     if a < len(texts):
         yield a, len(texts)
+
+
+def segment_encoder(tok) -> Callable[[list[str]], list[bytes]]:
+    """Encodes each segment by itself."""
+
+    def encode(segments: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(segments, add_special_tokens=False)]
+
+    return encode
+
+
+def spaced_encoder(tok, at_once: int = 500) -> Callable[[list[str]], list[bytes]]:
+    """Encodes segments that each follow a space, `at_once` of them as one text.
+
+    In a byte-level vocabulary only a space makes a token that begins with its mark, so in
+    segments without white space at their ends or spaces inside those tokens say where each
+    segment begins. Other segments, and texts whose marks do not add up, go one by one.
+    """
+    vocabulary, single = tok.get_vocab(), segment_encoder(tok)
+    lead = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    lead[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def encode(segments: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(segments)
+        plain = [i for i, s in enumerate(segments) if s and " " not in s and not s[0].isspace() and not s[-1].isspace()]
+        parts = [plain[a : a + at_once] for a in range(0, len(plain), at_once)]
+        texts = [" " + " ".join([segments[i] for i in part]) for part in parts]
+        for part, e in zip(parts, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(lead[ids]) * 4
+            if len(starts) == len(part) and starts[0] == 0:
+                raw, cuts = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
+                for i, a, b in zip(part, cuts, cuts[1:], strict=False):
+                    out[i] = raw[a:b]
+        rest = [i for i, b in enumerate(out) if b is None]
+        for i, b in zip(rest, single([" " + segments[i] for i in rest]), strict=True):
+            out[i] = b
+        return out
+
+    return encode

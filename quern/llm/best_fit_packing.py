@@ -91,18 +91,15 @@ def _pieces_fn(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         import re
+        from itertools import islice
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core belongs to each task already
         from tokenizers import Tokenizer
 
-        from quern.llm._words import SegmentCache, batches
+        from quern.llm._words import SegmentCache, batches, segment_encoder, spaced_encoder
 
         tok = Tokenizer.from_file(path)
-
-        def encode(segments: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(segments, add_special_tokens=False)]
-
-        inner, whole = SegmentCache(lambda s: encode([" " + x for x in s])), SegmentCache(encode)
+        inner, whole = SegmentCache(spaced_encoder(tok)), SegmentCache(segment_encoder(tok))
         spaces, cut = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
         end, seen, part = np.array([end_id], "<u4").tobytes(), {}, TaskContext.get().partitionId()
         step = 4 * capacity
@@ -112,11 +109,11 @@ def _pieces_fn(path: str, capacity: int, end_id: int, keep_ids: bool):
                 split = [cut.split(t) if spaces.search(t) else t.split(" ") for t in texts[a:b]]
                 firsts, rest = {s[0] for s in split}, set()
                 for s in split:
-                    rest.update(s[1:])
+                    rest.update(islice(s, 1, None))
                 head, tail = whole.learn(firsts), inner.learn(rest).__getitem__
                 rows, cols = [], ([], [], [], [], [], [])
                 for i, s in enumerate(split):
-                    ids = head[s[0]] + b"".join(map(tail, s[1:])) + end
+                    ids = head[s[0]] + b"".join(map(tail, islice(s, 1, None))) + end
                     at, k = 0, 0
                     size = len(ids) % step or min(step, len(ids))
                     while at < len(ids):

@@ -77,6 +77,22 @@ def test_packing_round_trip(spark, edge):
     assert sorted(tuple(r.ids) for r in rows if r.doc_id != 8) == sorted(w for w in want if len(w) <= 2048)
 
 
+def test_spaced_encoder_is_one_by_one():
+    from tokenizers import Tokenizer
+
+    from quern.llm._words import segment_encoder, spaced_encoder
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    draw = random.Random(4)
+    odd = ["", "a  b", "\n", "x\n", "\nx", "a\n\nb", "\u00a0", "<|endoftext|>", "a<|endoftext|>b", "\u0120a", "''s", "\U0001f600", "\u3000z", "12.5", "\x1c", "a\tb"]
+    segments = odd + ["".join(draw.choice("ab.'\n9é\u0120\U0001f600<|>") for _ in range(draw.randint(1, 9))) for _ in range(4000)]
+    draw.shuffle(segments)
+    assert spaced_encoder(tok, 7)(segments) == segment_encoder(tok)([" " + s for s in segments])
+    assert spaced_encoder(tok)([]) == []
+    other = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert spaced_encoder(other, 7)(segments) == segment_encoder(other)([" " + s for s in segments])
+
+
 def test_packing_of_nothing(spark, edge):
     assert best_fit_packing.pack_documents(edge.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
