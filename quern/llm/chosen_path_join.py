@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._common import drop, stage
-from quern.llm._links import classes, compare
+from quern.llm._links import BLOCK, classes, compare
 
 SKETCH = 32
 LIMIT = 128
@@ -165,7 +165,7 @@ def buckets(reps: DataFrame, threshold: float, limit: int = LIMIT, levels: int =
     return stage(out)
 
 
-def join(df: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8, words: int = 5, limit: int = LIMIT, levels: int = LEVELS, target: float = TARGET_RECALL) -> DataFrame:
+def join(df: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8, words: int = 5, limit: int = LIMIT, levels: int = LEVELS, target: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
     """Classes of documents whose shingle sets reach the Jaccard threshold."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -174,14 +174,14 @@ def join(df: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8
     reps = base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first"), F.first("sketch").alias("sketch"))
     reps = stage(reps)
     ends = buckets(reps, threshold, limit, levels, target)
-    close = compare(ends, reps.select("key", "weight", F.col("sketch").alias("payload")), likely(threshold), count=False)
+    close = compare(ends, reps.select("key", "weight", F.col("sketch").alias("payload")), likely(threshold), count=False, block=block)
     drop(ends)
-    members = stage(close.select("leaf", "key"))
+    members = stage(close.select("leaf", "key").distinct())  # each pair of blocks of a large bucket names its keys anew
     wanted = reps.join(members.select("key").distinct(), "key", "left_semi").select(F.col("first").alias("id"))
     # texts are dealt by id at every size: a plan that broadcasts small id lists would change with the input
     sets = docs.join(wanted.distinct().hint("merge"), "id", "left_semi").select("text").mapInArrow(_sets_fn(words), "key long, payload array<long>")
     sets = sets.groupBy("key").agg(F.first("payload").alias("payload"))
-    found = compare(members, sets.join(reps.select("key", "weight"), "key"), jaccard(threshold))
+    found = compare(members, sets.join(reps.select("key", "weight"), "key"), jaccard(threshold), block=block)
     drop(close, members)
     return classes(base.select("id", "key"), reps.select("key", "weight"), found, id_col, "class_id")
 

@@ -135,6 +135,15 @@ def test_chosen_path_join_is_brute_force(spark, edge):
     assert kept.columns == df.columns and kept.where("doc_id = 6").count() <= 1
 
 
+def test_links_of_a_group_of_many_blocks(spark):
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 400)}" for _ in range(150)]
+    rows = [(i, " ".join([*base[:-1], f"x{i}"] if i % 3 else [*base, f"y{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chosen_path_join.join(df, limit=8, block=8).collect()
+    assert sorted((str(x.doc_id), x.n_links, str(x.class_id)) for x in got) == brute_classes(rows)
+
+
 def test_join_of_nothing(spark, edge):
     assert chosen_path_join.join(edge.limit(0)).count() == 0
 
