@@ -3,8 +3,9 @@
 A page is a sequence of tags and words. Words score up to +1, less or negative where
 their surroundings (enclosing elements, class and id words) are known from labelled
 pages to hold no article text; tags score negative, by how much more often they occur
-outside articles. One linear scan finds the run with the largest sum. What lies in it,
-without the parts whose words score negative, is given back block by block.
+outside articles. Inside a marked article such words and all tags score 0, so that an
+interruption does not cut off the rest. One linear scan finds the run with the largest sum. What lies in it,
+without the parts whose words do not score above 0, is given back block by block.
 
 Labelled pages are those that mark their article themselves (<article> or <main>):
 text inside is content, text outside is not. Counts start from fixed prior counts for
@@ -185,11 +186,14 @@ class Weights:
         return self
 
     def word(self, around: frozenset, inside: bool, marked: bool) -> float:
-        """Score of a word: between -2 and 1. On a page that marks its article, words outside of it are none of it."""
+        """Score of a word: between -2 and 1. On a page that marks its article, words outside of it are none of it.
+
+        An excluded part of a marked article costs nothing: the article goes on behind it.
+        """
         known = [self.around[a] for a in around if a in self.around]
         worst = min(known, default=0.0)
         if worst < -1.0:  # one part of the page around it is enough
-            return -2.0
+            return 0.0 if marked and inside else -2.0
         if marked and not inside:
             return -2.0
         return 1.0 if inside else min(1.0, max(0.2, 0.5 + 0.25 * max(known, default=0.0)))
@@ -210,8 +214,8 @@ def extract(page: str | None, weights: Weights) -> str:
         if kind == "text":
             scores.append(w * len(what.split()))
         elif kind == "open":
-            # a tag costs little where the words around it are certain to be content
-            scores.append(weights.tags.get(what, -1.0) * (0.01 if inside and w > 0 else 1.0))
+            # a tag of a marked article costs nothing, or a row of them would cut off what follows
+            scores.append(0.0 if marked and inside else weights.tags.get(what, -1.0))
         else:
             scores.append(0.0)
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0

@@ -194,6 +194,18 @@ def test_extraction_of_broken_pages():
     assert f(page) == "T\n\nOne two three."
 
 
+@pytest.mark.parametrize("part", ["<aside>{}</aside>", "<form class=newsletter>{}</form>", "<div class=ad><ul>{}</ul></div>"])
+@pytest.mark.parametrize("before, after", [(300, 60), (60, 300), (5, 5)])
+def test_an_interrupted_article_is_whole(part, before, after):
+    w = html_extraction.Weights()
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    block = part.format("<li><a>buy this now</a>" * 60)
+    page = f"<nav><a>menu</a></nav><article><p>{words('x', before)}</p>{block}<p>{words('y', after)}</p></article><footer>foot</footer>"
+    assert html_extraction.extract(page, w) == words("x", before) + "\n\n" + words("y", after)
+    page = f"<article><p>{words('x', before)}</p>{'<ul><li><a></a></ul>' * 500}<p>{words('y', after)}</p></article>"
+    assert html_extraction.extract(page, w) == words("x", before) + "\n\n" + words("y", after)
+
+
 def test_extraction_of_all_pages(spark):
     import html
     import re
