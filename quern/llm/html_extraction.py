@@ -108,39 +108,37 @@ def surroundings(name: str, tag: str) -> frozenset[str]:
 
 def runs(page: str) -> list[tuple]:
     """(kind, name or text, names of all elements around, inside an article?) for each token."""
-    stack: list[tuple[str, frozenset, bool]] = [("", frozenset(), False)]
+    # an element: name, names around its content, inside an article?, places of the nearest block and the nearest list or item
+    stack: list[tuple[str, frozenset, bool, int, int]] = [("", frozenset(), False, 0, 0)]
+    places: dict[str, list[int]] = {}  # of the open elements of each name
     out = []
+
+    def cut(k: int) -> None:
+        for e in stack[k:]:
+            places[e[0]].pop()
+        del stack[k:]
+
     for kind, what, tag in tokenize(page):
         if kind == "text":
             if what:
                 out.append(("text", what, stack[-1][1], stack[-1][2]))
             continue
         if kind == "open":
-            if what in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-            if what == "li":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "li":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "menu"):
-                        break
-            if what not in VOID and len(stack) < 500:
+            if what in CLOSES_P and stack[k := stack[-1][3]][0] == "p":
+                cut(k)
+            if what == "li" and stack[k := stack[-1][4]][0] == "li":
+                cut(k)
+            if what not in VOID:
+                _, around, inside, block, item = stack[-1]
                 own = surroundings(what, tag)
-                inside = stack[-1][2] or what in ("article", "main")
-                if what == "header" and stack[-1][2]:
+                if what == "header" and inside:
                     own = own - {"<header", "header"}  # of an article, not of the page
-                stack.append((what, stack[-1][1] | own, inside))
-        else:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == what:
-                    del stack[k:]
-                    break
+                at = len(stack)
+                places.setdefault(what, []).append(at)
+                around = around if own <= around else around | own
+                stack.append((what, around, inside or what in ("article", "main"), at if what in BLOCK else block, at if what in ("li", "ul", "ol", "menu") else item))
+        elif places.get(what):
+            cut(places[what][-1])
         out.append((kind, what, stack[-1][1], stack[-1][2]))
     return out
 

@@ -206,6 +206,14 @@ def test_an_interrupted_article_is_whole(part, before, after):
     assert html_extraction.extract(page, w) == words("x", before) + "\n\n" + words("y", after)
 
 
+def test_nesting_has_no_cap():
+    w = html_extraction.Weights()
+    page = "<span>" * 3000 + "<nav>menu of the page</nav><article><p>one two</p><aside>buy this</aside><p>three</p></article>after it"
+    assert html_extraction.extract(page, w) == "one two\n\nthree"
+    n = 100_000  # unclosed elements, and end tags that close nothing
+    assert html_extraction.extract("<span>" * n + "<ul><li>" + "<b>" * n + "</i>" * n + "<li></li>" * n + "<article>word</article>", w) == "word"
+
+
 def test_extraction_of_all_pages(spark):
     import html
     import re
