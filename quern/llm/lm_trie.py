@@ -2,13 +2,13 @@
 
 Levels. The first level holds every word of the training texts: its 64-bit hash in a
 monotone Elias-Fano sequence, its count, its quantised probability and backoff. The
-second level holds, for each context word, its successors seen at least MIN_COUNT
-times: monotone pointers say where the successors of a context begin and end, their
-40-bit hashes are coded relative to the context, and a successor search within these
-bounds finds the quantised, smoothed probability.
+second level holds, for each context word, all its successors: monotone pointers say
+where the successors of a context begin and end, their 40-bit hashes are coded relative
+to the context, and a successor search within these bounds finds the quantised,
+smoothed probability.
 
 Smoothing is interpolated absolute discounting: of a word in a context,
-(c12 - D) / c1 + b(w1) p(w2), where b takes what discounts and pruned pairs leave; of a
+(c12 - D) / c1 + b(w1) p(w2), where b takes what the discounts leave; of a
 word alone, (c - D) / N, and D V / N for words never seen. A text is scored from a
 start mark to an end token.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from quern.llm._common import drop, files, fold, stage
 
 U = np.uint64
-DISCOUNT_1, DISCOUNT_2, MIN_COUNT = 0.5, 0.6, 2
+DISCOUNT_1, DISCOUNT_2 = 0.5, 0.6
 PARTS = 8
 END, START = U(0x1D8AF066E1C2B3A5), U(0x2545F4914F6CDD1D)
 STEP = 1 / 24  # of the quantised log10 probabilities, one byte each
@@ -191,7 +191,7 @@ def _count_fn(shards: int):
 
 
 def _merge(pdf):
-    """All blocks of one shard of a level. Words: their counts. Pairs: those seen often enough, and what they take of each context's mass."""
+    """All blocks of one shard of a level. Words: their counts. Pairs: their counts, and what they take of each context's mass."""
     import pandas as pd
 
     names = ["level", "shard", "keys", "runs", "succ", "counts"]
@@ -201,8 +201,6 @@ def _merge(pdf):
         return pd.DataFrame([_block(1, shard, w, counts=n.astype("<u4") if n.max(initial=0) < 1 << 32 else n.astype("<u8"))], columns=names)
     parts = [_read_pairs(r) for r in pdf.to_dict("records")]
     w1, succ, n = _merge_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-    keep = n >= MIN_COUNT
-    w1, succ, n = w1[keep], succ[keep], n[keep]
     rows = []
     if len(w1):
         rows.append(_pair_block(2, shard, w1, succ, n))
@@ -440,7 +438,7 @@ def _score_fn(model: Model, names: tuple[str, ...], lead: bool):
                 ctx_has[1:] = has[inv[:-1]]
                 ctx_has[here] = s_has[0]
                 lower = p[inv] + ctx_back
-                ask = np.flatnonzero(ctx_has & (count[inv] >= MIN_COUNT))
+                ask = np.flatnonzero(ctx_has & (count[inv] > 0))
                 prev = contexts(tok, at)
                 found, q = two.find(prev[ask], tok[ask])
                 ask, q = ask[found], q[found]

@@ -177,6 +177,24 @@ def test_lm_counts_and_smoothing(spark, edge):
     assert np.allclose(sorted(r.score for r in many), sorted(r.score for r in got))
 
 
+def test_lm_scores_are_brute_force(spark):
+    from collections import Counter
+
+    r = random.Random(6)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7)) % 60}" for _ in range(r.randint(0, 30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in lm_trie.score(df, lm_trie.train(df)).collect()}
+    toks = [["<s>", *t.split(), "</s>"] for t in texts]
+    one, ctx, two = Counter(w for t in toks for w in t[1:]), Counter(w for t in toks for w in t[:-1]), Counter(p for t in toks for p in zip(t, t[1:], strict=False))
+    kinds = Counter(a for a, _ in two)
+    assert sum(n == 1 for n in two.values()) > 100  # pairs seen once count like all others
+    total, d1, d2 = sum(one.values()), lm_trie.DISCOUNT_1, lm_trie.DISCOUNT_2
+    p = lambda a, b: (two[a, b] - d2) / ctx[a] + d2 * kinds[a] / ctx[a] * (one[b] - d1) / total
+    for i, t in enumerate(toks):
+        want = sum(np.log10(p(a, b)) for a, b in zip(t, t[1:], strict=False))
+        assert abs(got[i] - want) <= lm_trie.STEP * (len(t) - 1)  # two quantised values in a term, each half a step off at most
+
+
 def test_lm_without_training_texts(spark, edge):
     model = lm_trie.train(edge.limit(0))
     assert {r.score for r in lm_trie.score(edge, model).collect()} == {0.0}
