@@ -453,6 +453,18 @@ def test_bpe_parity(spark, edge):
     assert sorted(str(r.text) for r in back.collect()) == sorted(t or "" for _, t in EDGE)
 
 
+def test_rebuilt_bpe_agrees_with_sentencepiece(spark, docs):
+    """The ids of the tokenizers backend itself, which `encode` gives back wherever `parity` is true."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = sentencepiece_tokenizers.Codec(path)
+    texts = [t for _, t in EDGE if t] + [" lead", "a        b", "\n\n", "tab\tx"] + [r.text for r in docs.select("text").collect() if r.text]
+    assert [e.ids for e in codec.tok.encode_batch([" " + t for t in texts], add_special_tokens=False)] == sp.encode(texts)
+    assert all(codec.encode(texts)[1])
+
+
 # ------------------------------------------------------------ pipeline
 
 
