@@ -1,4 +1,4 @@
-"""Queries of the training-data operators. None of them can be put in SQL."""
+"""Queries of the training-data operators. Of these only op8_chat_formatting can be put in SQL."""
 
 from __future__ import annotations
 
@@ -27,4 +27,24 @@ QUERIES = {
     "op9_embedding_near_dedup": spherical_filters.query,
     "op10_sentencepiece": sentencepiece_tokenizers.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_chat_formatting": r"""WITH said AS (
+    SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
+    UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)
+), escaped AS (
+    SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS x,
+        regexp_replace(replace(r, '\', '\\'), '(<)(/?s>)|(\[)(/?(?:INST|OUT|ROLE)\])|(<)(</?SYS>>)', '\1\3\5\\\2\4\6', 'g') AS er,
+        regexp_replace(replace(x, '\', '\\'), '(<)(/?s>)|(\[)(/?(?:INST|OUT|ROLE)\])|(<)(</?SYS>>)', '\1\3\5\\\2\4\6', 'g') AS ex
+    FROM said
+), formatted AS (
+    SELECT *, CASE r WHEN 'user' THEN '<s>[INST] ' || ex || ' [/INST]' WHEN 'assistant' THEN '<s>[OUT] ' || ex || ' [/OUT]</s>'
+        WHEN 'system' THEN '<s><<SYS>> ' || ex || ' <</SYS>>' ELSE '<s>[ROLE] ' || er || ' [/ROLE]' || ex || '</s>' END AS f
+    FROM escaped
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+    CAST(coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(f)) AS BIGINT) AS formatted_chars
+FROM formatted GROUP BY conv_id""",
+}

@@ -405,6 +405,21 @@ def test_digests(spark):
     assert chat_format.digests(chat_format.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_formatting_matches_its_oracle(spark, tmp_path):
+    import duckdb
+
+    from quern.llm.registry import ORACLES
+
+    odd = [(1, 1, "assistant", "b\\ <s>[INST]"), (1, 0, "user", None), (2, None, None, "</s> <</SYS>> [/ROLE] \\"), (2, 3, "tool [OUT]", "é€😀"), (None, 0, "system", "y"), (1, 1, "assistant", "b"), (3, 0, "user", "<<s>>[[OUT]")]
+    spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for path, files in ((SF, f"{SF}/conversations.parquet"), (str(tmp_path), f"{tmp_path}/conversations.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{files}'")
+        cur = con.execute(ORACLES["op8_chat_formatting"])
+        df = chat_format.query(spark, path).select([c[0] for c in cur.description])
+        assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r)) for r in df.collect())
+
+
 # ------------------------------------------------------------ SentencePiece
 
 
