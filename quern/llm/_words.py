@@ -1,38 +1,107 @@
-"""Encoding of whole texts through a cache of their space-separated segments.
+"""Encoding of whole texts through the distinct space-separated segments of a batch.
 
-Byte-level and piece BPE never merge across a lone space, so the ids of a text are
-the ids of its segments put together. A worker keeps what the tokenizer said of each
-segment, as little-endian unsigned 32-bit ids, in two generations of bounded size.
+Byte-level and piece BPE never merge across a lone space, so the ids of a text are the
+ids of its segments put together. Texts are split and their segments numbered as Arrow
+arrays; only segments that a task has not met yet reach the tokenizer. What it said of
+them is kept, bounded in bytes, and the ids of a batch are gathered as one array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain, count
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
-class SegmentCache:
-    """segment -> bytes of its ids. `encode` gets the unknown segments of a batch."""
+class Segments:
+    """Ids, and further figures, of segments by number. `encode` gives (flat ids, lengths, further columns...) of new ones.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 400_000):
-        self.encode, self.entries = encode, entries
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    Beyond about `size` bytes all are forgotten.
+    """
 
-    def learn(self, segments: set[str]) -> dict[str, bytes]:
-        """A mapping that holds all of `segments`."""
-        young, old = self.young, self.old
-        if len(young) > self.entries:
-            self.old = old = young
-            self.young = young = {}
-        unknown = segments.difference(young)
-        young.update({s: b for s in unknown if (b := old.get(s)) is not None})
-        missing = list(unknown.difference(young))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            young.update(zip(part, self.encode(part), strict=True))
-        return young
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, ...]], size: int = 64 << 20):
+        self.encode, self.size = encode, size
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.columns, self.end, self.bytes = np.empty(0, np.uint32), [], 0, 0
+
+    def numbers(self, segments: list[str]) -> np.ndarray:
+        """The numbers of distinct segments; they hold until the next call."""
+        if self.bytes > self.size:
+            self._clear()
+        at = np.fromiter(map(self.number.get, segments, [-1] * len(segments)), np.int64, len(segments))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            names = [segments[i] for i in new.tolist()]
+            flat, *columns = self.encode(names)
+            at[new] = len(self.number) + np.arange(len(names))
+            self._put(names, flat, columns)
+        return at
+
+    def _put(self, names: list[str], flat: np.ndarray, columns: list[np.ndarray]) -> None:
+        first = len(self.number)
+        self.number.update(zip(names, range(first, first + len(names)), strict=True))
+        if self.end + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.end], np.empty(max(len(flat), self.end), np.uint32)])
+        self.flat[self.end : self.end + len(flat)] = flat
+        columns = [self.end + np.cumsum(columns[0]) - columns[0], *columns]
+        mine = self.columns if first else [np.empty(0, c.dtype) for c in columns]
+        if first + len(names) > len(mine[0]):
+            mine = [np.concatenate([c[:first], np.empty(max(len(names), first), c.dtype)]) for c in mine]
+        for to, c in zip(mine, columns, strict=True):
+            to[first : first + len(c)] = c
+        self.columns = mine
+        self.end += len(flat)
+        self.bytes += 120 * len(names) + 2 * sum(map(len, names)) + flat.nbytes
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the numbered segments, put together."""
+        if not len(at):
+            return np.empty(0, np.uint32)
+        start, n = self.columns[0][at], self.columns[1][at]
+        return self.flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+
+def split(texts: list[str], odd: re.Pattern, cut: re.Pattern) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(offsets of the texts, number of each segment, the distinct segments).
+
+    A text is split at its spaces; one in which `odd` is found, where `cut` matches.
+    """
+    rows = [i for i, t in enumerate(texts) if odd.search(t)]
+    plain = texts
+    if rows:
+        plain = list(texts)
+        for i in rows:
+            plain[i] = ""
+    parts = pc.split_pattern(pa.array(plain, pa.string()), " ")
+    if rows:
+        gap = next(g for k in count() if not any((g := f"\0{k}\0") in texts[i] for i in rows))
+        other = pc.split_pattern(pa.array([cut.sub(gap, texts[i]) for i in rows], pa.string()), gap)
+        take = np.arange(len(texts))
+        take[rows] = len(texts) + np.arange(len(rows))
+        parts = pa.concat_arrays([parts, other]).take(pa.array(take))
+    coded = parts.flatten().dictionary_encode()
+    ends = parts.offsets.to_numpy()
+    return ends - ends[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def slices(column: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of about `size` bytes of a column of texts; null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(n.astype(np.int64))
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+        a = b
 
 
 def batches(texts: list[str], chars: int = 2_000_000):
@@ -47,41 +116,44 @@ def batches(texts: list[str], chars: int = 2_000_000):
         yield a, len(texts)
 
 
-def segment_encoder(tok) -> Callable[[list[str]], list[bytes]]:
-    """Encodes each segment by itself."""
-
-    def encode(segments: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(segments, add_special_tokens=False)]
-
-    return encode
+def joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, lengths) of lists of ids."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+    return flat, n
 
 
-def spaced_encoder(tok, at_once: int = 500) -> Callable[[list[str]], list[bytes]]:
+def by_lead(tok, lead: np.ndarray, space: str, at_once: int = 500) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Encodes segments that each follow a space, `at_once` of them as one text.
 
-    In a byte-level vocabulary only a space makes a token that begins with its mark, so in
-    segments without white space at their ends or spaces inside those tokens say where each
-    segment begins. Other segments, and texts whose marks do not add up, go one by one.
+    In segments without white space at their ends, spaces inside or the mark of a space,
+    only the space in front makes a token that begins with its mark (`lead` by id), so
+    those tokens say where each segment begins. Other segments, and texts whose marks do
+    not add up, go one by one.
     """
-    vocabulary, single = tok.get_vocab(), segment_encoder(tok)
-    lead = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-    lead[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
-    def encode(segments: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(segments)
-        plain = [i for i, s in enumerate(segments) if s and " " not in s and not s[0].isspace() and not s[-1].isspace()]
+    def encode(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [i for i, s in enumerate(segments) if s and " " not in s and space not in s and s.strip() == s]
         parts = [plain[a : a + at_once] for a in range(0, len(plain), at_once)]
         texts = [" " + " ".join([segments[i] for i in part]) for part in parts]
+        rows, flats, sizes = [], [], []
         for part, e in zip(parts, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            starts = np.flatnonzero(lead[ids]) * 4
+            ids = np.array(e.ids, np.uint32)
+            starts = np.flatnonzero(lead[ids])
             if len(starts) == len(part) and starts[0] == 0:
-                raw, cuts = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
-                for i, a, b in zip(part, cuts, cuts[1:], strict=False):
-                    out[i] = raw[a:b]
-        rest = [i for i, b in enumerate(out) if b is None]
-        for i, b in zip(rest, single([" " + segments[i] for i in rest]), strict=True):
-            out[i] = b
-        return out
+                rows.append(part)
+                flats.append(ids)
+                sizes.append(np.diff(np.append(starts, len(ids))))
+        known = np.zeros(len(segments), bool)
+        for part in rows:
+            known[part] = True
+        rest = np.flatnonzero(~known).tolist()
+        flat, n = joined([e.ids for e in tok.encode_batch_fast([" " + segments[i] for i in rest], add_special_tokens=False)])
+        order = np.concatenate([*map(np.asarray, rows), np.array(rest, np.int64)]).astype(np.int64)
+        flat, n = np.concatenate([*flats, flat]), np.concatenate([*sizes, n]).astype(np.int64)
+        start, back = np.cumsum(n) - n, np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        start, n = start[back], n[back]
+        return flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], n
 
     return encode

@@ -19,7 +19,7 @@ Only the id and text columns are read, so other columns cannot clash.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,13 @@ CAPACITY = 2048
 END_ID = 0
 
 
-def plan(hist: dict[int, int], tokens: int = CAPACITY, docs: int = CAPACITY, attention: int = CAPACITY**2, rule: str = "norm", weights=(1.0, 0.05, 0.05)) -> np.ndarray:
+def plan(hist: dict[int, int], tokens: int = CAPACITY, docs: int | None = None, attention: int | None = None, rule: str = "norm", weights=(1.0, 0.05, 0.05)) -> np.ndarray:
     """Runs (length, first rank, items, first sequence, offset, items per sequence), sorted by length and rank.
 
     Item r of a run lies in sequence first + r // per at offset + (r % per) * length.
+    Where docs and attention are not given, no sequence of that many tokens can exceed them.
     """
-    cap = np.array([tokens, docs, attention], float)
+    cap = np.array([tokens, docs or tokens, attention or tokens**2], float)
     w = np.array(weights, float)
     state = np.empty((0, 3))  # residual tokens, documents, attention of each class
     spans: list[tuple[int, int]] = []  # its sequences: first, number
@@ -87,49 +88,84 @@ def locate(runs: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.n
     return r[:, 3] + i // r[:, 5], r[:, 4] + i % r[:, 5] * length
 
 
-def _pieces_fn(path: str, capacity: int, end_id: int, keep_ids: bool):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+HEAD = "\ud800"  # in front of the first segment of a text, which follows no space; no text holds this character
+_ENCODERS: dict[str, Callable] = {}
+
+
+def _encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """What encodes segments by a tokenizer file, kept by the worker process."""
+    if path not in _ENCODERS:
         import os
-        import re
-        from itertools import islice
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core belongs to each task already
         from tokenizers import Tokenizer
 
-        from quern.llm._words import SegmentCache, batches, segment_encoder, spaced_encoder
+        from quern.llm._words import by_lead, joined
 
         tok = Tokenizer.from_file(path)
-        inner, whole = SegmentCache(spaced_encoder(tok)), SegmentCache(segment_encoder(tok))
-        spaces, cut = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
-        end, seen, part = np.array([end_id], "<u4").tobytes(), {}, TaskContext.get().partitionId()
-        step = 4 * capacity
+        vocabulary = tok.get_vocab()
+        lead = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        # in a byte-level vocabulary only a space makes a token that begins with its mark
+        lead[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        spaced = by_lead(tok, lead, " ")
+
+        def encode(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            k = len(segments)  # the heads come last
+            while k and segments[k - 1].startswith(HEAD):
+                k -= 1
+            flat, n = spaced(segments[:k])
+            head, m = joined([e.ids for e in tok.encode_batch_fast([s[1:] for s in segments[k:]], add_special_tokens=False)])
+            return np.concatenate([flat, head]), np.concatenate([n, m])
+
+        _ENCODERS[path] = encode
+    return _ENCODERS[path]
+
+
+def _pieces_fn(path: str, capacity: int, end_id: int, keep_ids: bool):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        from quern.llm._words import Segments, slices, split
+
+        known = Segments(_encoder(path))
+        spaces, lone = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+        seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in it:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in batches(texts):
-                split = [cut.split(t) if spaces.search(t) else t.split(" ") for t in texts[a:b]]
-                firsts, rest = {s[0] for s in split}, set()
-                for s in split:
-                    rest.update(islice(s, 1, None))
-                head, tail = whole.learn(firsts), inner.learn(rest).__getitem__
-                rows, cols = [], ([], [], [], [], [], [])
-                for i, s in enumerate(split):
-                    ids = head[s[0]] + b"".join(map(tail, islice(s, 1, None))) + end
-                    at, k = 0, 0
-                    size = len(ids) % step or min(step, len(ids))
-                    while at < len(ids):
-                        piece = ids[at : at + size]
-                        n = size // 4
-                        seen[n] = seen.get(n, -1) + 1
-                        rows.append(a + i)
-                        for c, v in zip(cols, (k, at // 4, n, zlib.crc32(piece), seen[n], piece), strict=True):
-                            c.append(v)
-                        at, k, size = at + size, k + 1, step
-                out = [batch.column(0).take(pa.array(rows)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array([part] * len(rows), pa.int32())]
+            for a, texts in slices(batch.column(1)):
+                at, words, names = split(texts, spaces, lone)
+                first = at[:-1]
+                inner = np.ones(len(words), bool)
+                inner[first] = False
+                used = np.flatnonzero(np.bincount(words[inner], minlength=len(names)))
+                heads = np.unique(words[first])
+                got = known.numbers([names[i] for i in used.tolist()] + [HEAD + names[i] for i in heads.tolist()])
+                number, head = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+                number[used], head[heads] = got[: len(used)], got[len(used) :]
+                number = number[words]
+                number[first] = head[words[first]]
+                flat = known.ids(number)
+                n = np.add.reduceat(known.columns[1][number], first)
+                flat = np.insert(flat, np.cumsum(n), np.uint32(end_id))
+                n += 1
+                count = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                short = (n - 1) % capacity + 1
+                start = np.where(piece > 0, short[row] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, short[row])
+                lo = (np.cumsum(n) - n)[row] + start
+                raw = memoryview(flat.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
+                by = np.argsort(length, kind="stable")
+                begin = np.flatnonzero(np.r_[True, length[by][1:] != length[by][:-1]])
+                times = np.diff(np.append(begin, len(by)))
+                idx = np.empty(len(by), np.int64)
+                idx[by] = np.arange(len(by)) - np.repeat(begin, times) + seen[length[by]]
+                seen[length[by][begin]] += times
+                out = [batch.column(0).take(pa.array(a + row)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length)), pa.array(crc, pa.int64()), pa.array(idx), pa.array(np.full(len(row), part, np.int32))]
                 names = ["id", "piece", "start", "length", "ids_crc32", "idx", "part"]
                 if keep_ids:
-                    flat = np.frombuffer(b"".join(cols[5]), "<u4").astype(np.int32)
-                    ends = np.cumsum([0, *cols[2]])
-                    out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+                    out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(flat.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
@@ -163,7 +199,8 @@ def pack(staged: DataFrame, **limits) -> DataFrame:
         s, o = locate(runs, length.to_numpy(np.int64), rank.to_numpy(np.int64)) if len(length) else ([], [])
         return pd.DataFrame({"sequence_id": s, "offset": o}, dtype="int64")
 
-    placed = staged.join(offsets, ["part", "length"]).withColumn("__at", place(F.col("length"), F.col("idx") + F.col("before")))
+    # joined by a shuffle at every size: the table of offsets grows with partitions x lengths
+    placed = staged.join(offsets.hint("merge"), ["part", "length"]).withColumn("__at", place(F.col("length"), F.col("idx") + F.col("before")))
     return placed.withColumns({"sequence_id": F.col("__at.sequence_id"), "offset": F.col("__at.offset")}).drop("__at", "before")
 
 
@@ -179,5 +216,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
-

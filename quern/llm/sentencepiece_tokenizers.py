@@ -3,12 +3,13 @@
 The model file is a protobuf message; `parse_model` reads its wire format. From it a
 tokenizer is rebuilt: the precompiled normaliser map, the space marker (metaspace), the
 unigram scores or the merges that the BPE scores imply, and byte fallback. Batches are
-encoded by the library's own threads. Words between spaces are encoded once and kept
-in a bounded cache where the vocabulary has no piece with an inner marker.
+encoded by the library's own threads. Where no piece spans a space, the distinct segments
+between spaces are encoded once in a task and the ids of texts put together from them.
 
-Parity: every segment that enters the cache is also encoded by the sentencepiece
-library. Where they differ (merges of equal score, literal byte pieces) the ids of
-sentencepiece are used, and `parity` of the texts that hold the segment is false.
+Parity: all that is encoded is encoded by the sentencepiece library too, and decoded
+again. The ids are always those of the tokenizers backend; `parity` is false for texts
+in which the libraries differ (merges of equal score, literal byte pieces), `round_trip`
+where decoding does not give the text back.
 
 Edge cases: null and empty texts have no ids and decode to "". Unpaired surrogates are
 replaced before encoding. Texts are encoded whole; repeated rows alike; an empty table
@@ -138,70 +139,108 @@ def build_tokenizer(m: SpmModel):
     return t
 
 
+_ODD, _CUT = re.compile("^ |  "), re.compile(r"(?<=[^ ]) ")
+_CODECS: dict[str, Codec] = {}
+
+
 class Codec:
     """Encodes and decodes lists of texts; ids are little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str, threads: int = 2, cache: int = 400_000):
+    def __init__(self, path: str, threads: int = 2, cache: int = 64 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
 
-        from quern.llm._words import SegmentCache
+        from quern.llm._words import by_lead
 
         with open(path, "rb") as f:
             data = f.read()
-        self.model = parse_model(data)
-        self.tok = build_tokenizer(self.model)
+        self.model = m = parse_model(data)
+        self.tok = build_tokenizer(m)
         self.spm = sentencepiece.SentencePieceProcessor(model_proto=data)
-        inner = any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER_DEFINED))
-        m = self.model
+        inner = any(MARK in p.lstrip(MARK) for p, _, k in m.pieces if k in (NORMAL, USER_DEFINED))
         # words can be taken alone where no piece spans a space and the normaliser maps single characters only
         self.by_word = not (inner or m.whitespace_as_suffix or m.remove_extra_whitespaces or m.charsmap or not m.add_dummy_prefix)
-        self.cache = SegmentCache(self._encode, cache)
-        self.differ: set[str] = set()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.model.remove_extra_whitespaces:
-            given = [t.strip(" ") for t in texts]
-        else:
-            given = texts
+        lead = np.array([p.startswith(MARK) and k == NORMAL for p, _, k in m.pieces] or [False])
+        self.spaced, self.cache = by_lead(self.tok, lead, MARK), cache
+        self.known = None
+
+    @staticmethod
+    def of(path: str, threads: int = 2) -> Codec:
+        """The codec of a file, built once by a worker process; its segments are forgotten."""
+        if path not in _CODECS:
+            _CODECS[path] = Codec(path, threads)
+        _CODECS[path].known = None
+        return _CODECS[path]
+
+    def _segments(self, segments: list[str]) -> tuple[np.ndarray, ...]:
+        """(ids, lengths, characters when decoded, decoded alike?, does sentencepiece agree?) of segments behind a space."""
+        flat, n = self.spaced(segments)
+        ends = np.append(0, np.cumsum(n))
+        chars = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
+        exact, same = np.ones(len(segments), bool), np.ones(len(segments), bool)
+
+        def check(lo: int, hi: int) -> None:
+            """Compare a run of segments as one text, and its halves where that differs."""
+            ids = flat[ends[lo] : ends[hi]].tolist()
+            text = " " + " ".join(segments[lo:hi])
+            if hi - lo > 1:
+                back, other = self.tok.decode(ids, skip_special_tokens=False) == text, self.spm.encode(text[1:]) == ids
+                if not (back and other):
+                    check(lo, (lo + hi) // 2)
+                    check((lo + hi) // 2, hi)
+            else:
+                back = self.tok.decode(ids, skip_special_tokens=False)
+                chars[lo], exact[lo] = len(back), back == text.replace(MARK, " ")
+                same[lo] = self.spm.encode(segments[lo]) == (ids if segments[lo] else [])  # alone an empty text has no ids
+
+        for lo in range(0, len(segments), 256):
+            check(lo, min(lo + 256, len(segments)))
+        return flat, n, chars, exact, same
+
+    def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of texts that are encoded in one piece, and whether both libraries agree."""
+        given = [t.strip(" ") for t in texts] if self.model.remove_extra_whitespaces else texts
         lead = " " if self.model.add_dummy_prefix else ""
-        if self.by_word:
-            ours = [e.ids for e in self.tok.encode_batch_fast([lead + t for t in given], add_special_tokens=False)]
-            theirs = self.spm.encode(texts, num_threads=1)
-            for i, t in enumerate(texts):
-                if t == "":  # alone an empty text; here a trailing space
-                    theirs[i] = ours[i]
-        else:
-            ours = [e.ids if t else [] for e, t in zip(self.tok.encode_batch_fast([lead + t for t in given], add_special_tokens=False), given, strict=True)]
-            theirs = self.spm.encode(texts, num_threads=1)
-        if len(self.differ) > 100_000:
-            self.differ.clear()
-            self.cache.young.clear()
-            self.cache.old.clear()
-        for t, a, b in zip(texts, ours, theirs, strict=True):
-            if a != b:
-                self.differ.add(t)
-        return [np.array(x, "<u4").tobytes() for x in theirs]
+        ours = [e.ids if t else [] for e, t in zip(self.tok.encode_batch_fast([lead + t for t in given], add_special_tokens=False), given, strict=True)]
+        return ours, [a == b for a, b in zip(ours, self.spm.encode(texts, num_threads=1), strict=True)]
+
+    def survey(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(ids of all texts, offsets, characters when decoded, decoded alike?, do both libraries agree?)."""
+        from quern.llm._words import Segments, joined, split
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of each text, and whether both libraries agree on all of it."""
         texts = [t.encode("utf-8", "replace").decode() if t else "" for t in texts]
         if not self.by_word:
-            ids = []
+            ids, same = [], []
             for i in range(0, len(texts), 256):
-                ids += self._encode(texts[i : i + 256])
-            return ids, [t not in self.differ for t in texts]
-        # a segment is a run of spaces and the word behind it; its first space is left out, as the dummy prefix brings one
-        split = [[s[1:] for s in re.findall(r" +[^ ]*|[^ ]+", " " + t)] if "  " in t or t[:1] == " " else t.split(" ") if t else [] for t in texts]
-        need = set()
-        for s in split:
-            need.update(s)
-        known = self.cache.learn(need)
-        odd = need & self.differ
-        return [b"".join(map(known.__getitem__, s)) for s in split], [not odd or odd.isdisjoint(s) for s in split]
+                a, b = self._whole(texts[i : i + 256])
+                ids, same = ids + a, same + b
+            flat, n = joined(ids)
+            back = self.decode([np.array(x, "<u4").tobytes() for x in ids])
+            exact = [x == self.normalize(t) for x, t in zip(back, texts, strict=True)]
+            return flat, np.append(0, np.cumsum(n)), np.array([len(x) for x in back], np.int64), np.array(exact, bool), np.array(same, bool)
+        if self.known is None:
+            self.known = Segments(self._segments, self.cache)
+        some = np.array([bool(t) for t in texts], bool)
+        at, words, names = split([t for t in texts if t], _ODD, _CUT)
+        number = self.known.numbers(names)[words]
+        flat = self.known.ids(number)
+        out = [np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.ones(len(texts), bool), np.ones(len(texts), bool)]
+        if len(number):
+            _, n, chars, exact, same = self.known.columns
+            # what a text lacks is the space that the dummy prefix brought
+            for to, f, x in ((out[0], np.add, n), (out[1], np.add, chars), (out[2], np.logical_and, exact), (out[3], np.logical_and, same)):
+                to[some] = f.reduceat(x[number], at[:-1])
+            out[1][some] -= 1
+        return flat, np.append(0, np.cumsum(out[0])), *out[1:]
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text, and whether both libraries agree on all of it."""
+        flat, ends, _, _, same = self.survey(texts)
+        raw = flat.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], same.tolist()
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Texts of id strings, without the space that the dummy prefix brought."""
@@ -219,20 +258,18 @@ class Codec:
 
 def _encode_fn(path: str, keep_ids: bool, threads: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quern.llm._words import batches
+        from quern.llm._words import slices
 
-        codec = Codec(path, threads)
+        codec = Codec.of(path, threads)
         for batch in it:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in batches(texts, 1_000_000):
-                ids, same = codec.encode(texts[a:b])
-                back = codec.decode(ids)
-                rows = batch.column(0).slice(a, b - a)
-                exact = [x == codec.normalize(t) for x, t in zip(back, texts[a:b], strict=True)]
-                cols = [rows, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(x) for x in back], pa.int64()), pa.array(exact), pa.array(same)]
+            for a, texts in slices(batch.column(1)):
+                flat, ends, chars, exact, same = codec.survey(texts)
+                raw = memoryview(flat.astype("<u4", copy=False)).cast("B") if len(flat) else b""
+                crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+                cols = [batch.column(0).slice(a, len(texts)), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), *map(pa.array, (chars, exact, same))]
                 names = ["id", "n_tokens", "ids_crc32", "n_chars_decoded", "round_trip", "parity"]
                 if keep_ids:
-                    cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -251,7 +288,7 @@ def decode_documents(df: DataFrame, model_path: str, id_col="doc_id", ids_col="i
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(it):
-        codec = Codec(model_path)
+        codec = Codec.of(model_path)
         for batch in it:
             ids = [np.array(x or [], "<u4").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.decode(ids), pa.string())], ["id", "text"])

@@ -77,20 +77,60 @@ def test_packing_round_trip(spark, edge):
     assert sorted(tuple(r.ids) for r in rows if r.doc_id != 8) == sorted(w for w in want if len(w) <= 2048)
 
 
-def test_spaced_encoder_is_one_by_one():
+def test_segments_are_encoded_as_one_by_one():
     from tokenizers import Tokenizer
 
-    from quern.llm._words import segment_encoder, spaced_encoder
+    from quern.llm._words import Segments, by_lead
 
-    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     draw = random.Random(4)
     odd = ["", "a  b", "\n", "x\n", "\nx", "a\n\nb", "\u00a0", "<|endoftext|>", "a<|endoftext|>b", "\u0120a", "''s", "\U0001f600", "\u3000z", "12.5", "\x1c", "a\tb"]
     segments = odd + ["".join(draw.choice("ab.'\n9é\u0120\U0001f600<|>") for _ in range(draw.randint(1, 9))) for _ in range(4000)]
-    draw.shuffle(segments)
-    assert spaced_encoder(tok, 7)(segments) == segment_encoder(tok)([" " + s for s in segments])
-    assert spaced_encoder(tok)([]) == []
-    other = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    assert spaced_encoder(other, 7)(segments) == segment_encoder(other)([" " + s for s in segments])
+    segments = sorted(set(segments), key=lambda _: draw.random())
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tok = Tokenizer.from_file(P.path(name))
+        vocabulary = tok.get_vocab()
+        lead = np.zeros(max(vocabulary.values()) + 1, bool)
+        lead[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        want = [e.ids for e in tok.encode_batch([" " + s for s in segments], add_special_tokens=False)]
+        known = Segments(by_lead(tok, lead, " ", 7), size=20_000)  # forgets again and again
+        for i in range(0, len(segments), 300):
+            at = known.numbers(segments[i : i + 300])
+            assert known.ids(at).tolist() == [x for w in want[i : i + 300] for x in w]
+            assert known.columns[1][at].tolist() == [len(w) for w in want[i : i + 300]]
+
+
+TEXTS = [None, "", "  \n\t ", "a  b", "\n", "x\n", "\nx", "a\n\nb", "\u00a0", "<|endoftext|>", "a <|endoftext|> b", "\u0120a", " lead", "trail ", "''s don't", "\U0001f600  \0 \x000\0 z", "\0 0\0  \0", "\u3000 z", "a \u3000z", "12.5  ", "\x1c", "a\tb \x1c c\0d  e", " x " * 5000]
+
+
+def test_packing_gives_the_ids_of_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for capacity in (7, 2048, 4096):
+        rows = best_fit_packing.pack_documents(df, P.path("byte_bpe_50k.json"), capacity=capacity).orderBy("doc_id", "piece").collect()
+        for i, t in enumerate(TEXTS):
+            mine = [r for r in rows if r.doc_id == i]
+            want = tok.encode(t or "", add_special_tokens=False).ids + [0]
+            assert [x for r in mine for x in r.ids] == want and [r.start for r in mine] == [sum(m.length for m in mine[:k]) for k in range(len(mine))]
+            assert all(r.length == capacity for r in mine[1:]) and mine[0].length <= capacity
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_packing_needs_as_few_sequences_as_there_can_be(spark, sf):
+    d = SF.replace("0.001", sf)
+    rows = best_fit_packing.query(spark, d).collect()
+    bound = -(-sum(r.length for r in rows) // 2048)
+    assert bound <= len({r.sequence_id for r in rows}) <= bound + 1
+
+
+def test_packing_of_ties_and_tight_capacities():
+    runs = best_fit_packing.plan({5: 1000}, 10, 1, 100)  # one document a sequence
+    assert runs[:, 5].tolist() == [1]
+    seq, off = best_fit_packing.locate(best_fit_packing.plan({5: 1000}, 10), np.full(1000, 5), np.arange(1000))
+    assert len(set(zip(seq.tolist(), off.tolist(), strict=True))) == 1000 and seq.max() == 499
+    with pytest.raises(ValueError, match="does not fit"):
+        best_fit_packing.plan({11: 1}, 10)
 
 
 def test_packing_of_nothing(spark, edge):
@@ -447,9 +487,10 @@ def test_unigram_parity(tmp_path, prefix):
     codec = sentencepiece_tokenizers.Codec(str(path))
     texts = ["", "the cat", "abc cats the", "  the  cat ", "zü the", "tabcabbc", "<0x41> a", "a\nb"]
     ids, same = codec.encode(texts)
-    assert [np.frombuffer(b, "<u4").tolist() for b in ids] == sp.encode(texts)
-    assert all(s for s, t in zip(same, texts, strict=True) if "<0x" not in t)
-    assert codec.decode(ids) == [sp.decode(x) for x in sp.encode(texts)]
+    # a byte piece written out is a piece to the tokenizers library and text to sentencepiece
+    agree = [np.frombuffer(b, "<u4").tolist() == x for b, x in zip(ids, sp.encode(texts), strict=True)]
+    assert agree == same == ["<0x" not in t for t in texts]
+    assert [t for t, s in zip(codec.decode(ids), same, strict=True) if s] == [sp.decode(x) for x, s in zip(sp.encode(texts), same, strict=True) if s]
 
 
 def test_bpe_parity(spark, edge):
@@ -459,17 +500,21 @@ def test_bpe_parity(spark, edge):
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [t or "" for _, t in EDGE] + [" lead", "a        b", "▁x", "\n\n", "tab\tx"]
     codec = sentencepiece_tokenizers.Codec(path)
-    ids, _ = codec.encode(texts)
-    assert [np.frombuffer(b, "<u4").tolist() for b in ids] == sp.encode(texts)
+    ids, same = codec.encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids] == sp.encode(texts) and all(same)
     assert codec.decode(ids) == [sp.decode(x) for x in sp.encode(texts)]
+    odd = [t or "" for t in TEXTS]
+    _, ends, chars, exact, same = codec.survey(odd)
+    assert np.diff(ends).tolist() == [len(sp.encode(t)) for t in odd] and chars.tolist() == [len(t) for t in odd] and exact.all() and same.all()
     rows = sentencepiece_tokenizers.encode_documents(edge, path)
+    assert sentencepiece_tokenizers.encode_documents(edge.limit(0), path).count() == 0
     assert rows.count() == len(EDGE) and rows.where("round_trip").count() == len(EDGE)
     back = sentencepiece_tokenizers.decode_documents(rows, path)
     assert sorted(str(r.text) for r in back.collect()) == sorted(t or "" for _, t in EDGE)
 
 
 def test_rebuilt_bpe_agrees_with_sentencepiece(spark, docs):
-    """The ids of the tokenizers backend itself, which `encode` gives back wherever `parity` is true."""
+    """The ids of the tokenizers backend on whole texts, and put together from segments."""
     import sentencepiece
 
     path = P.path("piece_bpe_32k.model")
