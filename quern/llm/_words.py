@@ -68,21 +68,17 @@ class Segments:
         return self.flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
-def split(texts: list[str], odd: re.Pattern, cut: re.Pattern) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split(texts: pa.Array, odd: str, cut: re.Pattern) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(offsets of the texts, number of each segment, the distinct segments).
 
-    A text is split at its spaces; one in which `odd` is found, where `cut` matches.
+    A text is split at its spaces; one in which `odd` (in the syntax of RE2) is found, where `cut` matches.
     """
-    rows = [i for i, t in enumerate(texts) if odd.search(t)]
-    plain = texts
-    if rows:
-        plain = list(texts)
-        for i in rows:
-            plain[i] = ""
-    parts = pc.split_pattern(pa.array(plain, pa.string()), " ")
-    if rows:
-        gap = next(g for k in count() if not any((g := f"\0{k}\0") in texts[i] for i in rows))
-        other = pc.split_pattern(pa.array([cut.sub(gap, texts[i]) for i in rows], pa.string()), gap)
+    parts = pc.split_pattern(texts, " ")
+    rows = np.flatnonzero(pc.match_substring_regex(texts, odd).to_numpy(zero_copy_only=False))
+    if len(rows):
+        some = texts.take(pa.array(rows)).to_pylist()
+        gap = next(g for k in count() if not any((g := f"\0{k}\0") in t for t in some))
+        other = pc.split_pattern(pa.array([cut.sub(gap, t) for t in some], pa.string()), gap)
         take = np.arange(len(texts))
         take[rows] = len(texts) + np.arange(len(rows))
         parts = pa.concat_arrays([parts, other]).take(pa.array(take))
@@ -91,16 +87,14 @@ def split(texts: list[str], odd: re.Pattern, cut: re.Pattern) -> tuple[np.ndarra
     return ends - ends[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
-def slices(column: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def slices(column: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of runs of about `size` bytes of a column of texts; null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(n.astype(np.int64))
+    column = pc.fill_null(column.cast(pa.string()), "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
-    while a < len(n):
+    while a < len(ends):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
-        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+        yield a, column.slice(a, b - a)
         a = b
 
 

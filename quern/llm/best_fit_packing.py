@@ -18,6 +18,7 @@ Only the id and text columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -89,6 +90,9 @@ def locate(runs: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.n
 
 
 HEAD = "\ud800"  # in front of the first segment of a text, which follows no space; no text holds this character
+# byte-level BPE never merges across a space unless white space (or an end of the text) is on both sides of it
+_ODD = r"(?:\A|[\s\v\x{1c}-\x{1f}\x{85}\pZ]) (?:[\s\v\x{1c}-\x{1f}\x{85}\pZ]|\z)"
+_CUT = re.compile(r"(?<=\S) | (?=\S)")
 _ENCODERS: dict[str, Callable] = {}
 
 
@@ -123,16 +127,13 @@ def _encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
 
 def _pieces_fn(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         from quern.llm._words import Segments, slices, split
 
         known = Segments(_encoder(path))
-        spaces, lone = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in it:
             for a, texts in slices(batch.column(1)):
-                at, words, names = split(texts, spaces, lone)
+                at, words, names = split(texts, _ODD, _CUT)
                 first = at[:-1]
                 inner = np.ones(len(words), bool)
                 inner[first] = False

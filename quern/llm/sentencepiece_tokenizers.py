@@ -139,7 +139,7 @@ def build_tokenizer(m: SpmModel):
     return t
 
 
-_ODD, _CUT = re.compile("^ |  "), re.compile(r"(?<=[^ ]) ")
+_ODD, _CUT = r"\A |  ", re.compile(r"(?<=[^ ]) ")
 _CODECS: dict[str, Codec] = {}
 
 
@@ -224,7 +224,7 @@ class Codec:
         if self.known is None:
             self.known = Segments(self._segments, self.cache)
         some = np.array([bool(t) for t in texts], bool)
-        at, words, names = split([t for t in texts if t], _ODD, _CUT)
+        at, words, names = split(pa.array([t for t in texts if t], pa.string()), _ODD, _CUT)
         number = self.known.numbers(names)[words]
         flat = self.known.ids(number)
         out = [np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.ones(len(texts), bool), np.ones(len(texts), bool)]
@@ -263,7 +263,7 @@ def _encode_fn(path: str, keep_ids: bool, threads: int):
         codec = Codec.of(path, threads)
         for batch in it:
             for a, texts in slices(batch.column(1)):
-                flat, ends, chars, exact, same = codec.survey(texts)
+                flat, ends, chars, exact, same = codec.survey(texts.to_pylist())
                 raw = memoryview(flat.astype("<u4", copy=False)).cast("B") if len(flat) else b""
                 crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
                 cols = [batch.column(0).slice(a, len(texts)), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), *map(pa.array, (chars, exact, same))]
