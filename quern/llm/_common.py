@@ -27,11 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there."""
+    """Write df as Parquet in the shared folder and read it again: lineage ends there.
+
+    The shuffle files behind it go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if not _SCRATCH:
         atexit.register(_sweep)
     _SCRATCH.append((spark, path))
@@ -62,16 +73,6 @@ def _sweep() -> None:
             return
 
 
-def files(spark: SparkSession, path: str) -> list[str]:
-    """Data files under path, by Spark's file systems."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return sorted(
-        s.getPath().toString()
-        for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
-        if s.getPath().getName().startswith("part-")
-    )
-
-
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n)

@@ -80,14 +80,27 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(U)
         return (high << U(self.l)) | self._low(i)
 
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first value not below x, whether it equals x)."""
+    def all(self) -> np.ndarray:
+        """All values, in order."""
+        i = np.arange(self.n)
+        high = np.flatnonzero(np.unpackbits(self.a["words"].view(np.uint8), bitorder="little"))[: self.n] - i
+        return (high.astype(U) << U(self.l)) | self._low(i)
+
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first value not below x, whether it equals x); of the places from `first` up to `last`, where given."""
         if not len(x) or not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         h = (x >> U(self.l)).astype(np.int64)
         low = x & U((1 << self.l) - 1)
-        hi = self._select(h, False) - h  # ones before the zero that ends bucket h
-        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - h + 1, 0)
+        if 16 * len(x) > self.n:  # many: all bucket ends at once cost less than a selection for each
+            zeros = np.flatnonzero(np.unpackbits(self.a["words"].view(np.uint8), bitorder="little") == 0)
+            hi, lo = zeros[h] - h, np.where(h > 0, zeros[np.maximum(h - 1, 0)] - h + 1, 0)
+        else:
+            hi = self._select(h, False) - h  # ones before the zero that ends bucket h
+            lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - h + 1, 0)
+        if first is not None:
+            hi = np.minimum(hi, last)
+            lo = np.minimum(np.maximum(lo, first), hi)
         end = hi.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)

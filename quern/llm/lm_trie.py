@@ -1,57 +1,68 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Levels. The first level holds every word of the training texts: its 64-bit hash in a
-monotone Elias-Fano sequence, its count, its quantised probability and backoff. The
-second level holds, for each context word, all its successors: monotone pointers say
-where the successors of a context begin and end, their 40-bit hashes are coded relative
-to the context, and a successor search within these bounds finds the quantised,
-smoothed probability.
-
-Smoothing is interpolated absolute discounting: of a word in a context,
-(c12 - D) / c1 + b(w1) p(w2), where b takes what the discounts leave; of a
-word alone, (c - D) / N, and D V / N for words never seen. A text is scored from a
-start mark to an end token.
-
-Building. Each task reduces its texts to sorted blocks of (word, count) and (pair,
-count); blocks meet by shard, and every shard is built alone. The number of shards
-grows with the corpus, and a context is spread over PARTS shards, so that a very common
-word is no hot spot. Nothing of the model passes through the driver but N and V.
-The finished shards are memory-mapped files on each machine; beyond LOCAL_BYTES of
-them the texts are scored in several passes, each with some of the second-level shards,
-whose contributions to a text's score add up.
-
-Edge cases: null and empty texts are the end token alone. A null id is trained on
-nothing and counts as held out. Without training texts every score is that of an empty
-vocabulary (log10 of 1 for each token). Texts are read whole; repeated rows count and
-score as rows of their own. Only the id and text columns are read.
+The trie. Its first level holds the words of the training texts with their counts. Below
+a word are its successors, below a pair the successors of the pair, to the order of the
+model. A level is a monotone Elias-Fano sequence of (parent, hash of the successor), so a
+successor is coded relative to its context; monotone pointers say where the successors of
+a context begin and end, and a successor search within these bounds finds the quantised,
+smoothed probability. The shards of a trie are memory maps.
+
+Smoothing is interpolated absolute discounting: (c - D) / C for a successor seen c times
+in a context seen C times, plus b times its probability in the context that is one word
+shorter, where b is D times the number of distinct successors by C. A word alone has
+(c - D) / N; words never seen have D V / N together. A text is scored from a start mark
+to an end token; every n-gram of the training texts counts, however rare.
+
+The run. Texts are taken in blocks. A block is reduced to its distinct n-grams with their
+counts in training texts, dealt to shards; a shard merges what all blocks sent, builds
+its part of the trie and answers every block's n-grams from it, a byte each. A block's
+texts then meet the answers and are scored. Nothing of the model reaches a machine that
+does not ask for it, and the driver sees N and V only. A word and all below it lie in one
+shard, unless the word (or a pair) is so common that its successors would burden a
+shard: these contexts are found in a sample and their successors dealt to several
+shards, each with its share of the context's mass. Only the balance depends on the
+sample, not the result.
+
+Blocks are found again by partition and place, so rows must come in the same partitions
+and order twice, as from files; other inputs are written first (`stable`). A block whose
+n-grams are not the ones that were answered is an error, not a wrong score.
+
+Edge cases: null and empty texts are the end token alone. Rows for which `learn` is null
+or false are scored and not learned from. Without training texts every score is that of an
+empty vocabulary (log10 of 1 for each token). Texts are read whole; repeated rows count
+and score as rows of their own. Only the id and text columns, and what `learn` needs, are
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import drop, files, fold, stage
+from quern.llm._common import fold, stage, unit_hash
 
 U = np.uint64
-DISCOUNT_1, DISCOUNT_2 = 0.5, 0.6
-PARTS = 8
+ORDER = 3
+DISCOUNT_1, DISCOUNTS = 0.5, (0.6, 0.7)  # of words; of pairs, triples and longer ones
 END, START = U(0x1D8AF066E1C2B3A5), U(0x2545F4914F6CDD1D)
 STEP = 1 / 24  # of the quantised log10 probabilities, one byte each
-TOKENS_PER_SHARD = 2_000_000
-BATCH_TOKENS = 1_500_000
-SCORE_CHARS = 2_000_000
-LOCAL_BYTES = 64 << 30
+NONE = 255  # the code of an n-gram that is not there
+POWERS = 10.0 ** (np.arange(256) * -STEP)
+NODE = U((1 << 40) - 1)  # rows of a block are shard << 40 | node
+BLOCK_TOKENS = 750_000
+SHARD_TOKENS = 750_000
+MOST_TASKS = 20_000
+SAMPLE_ROWS = 4000
 
 
 def quantise(logp: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-logp / STEP), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(-logp / STEP), 0, NONE - 1).astype(np.uint8)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,416 +79,516 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends + 1])
 
 
-def contexts(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The token before each token; START before the first of a text."""
-    prev = np.empty_like(tok)
-    prev[1:] = tok[:-1]
-    prev[at[:-1]] = START
-    return prev
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, a place of each, number of each key's own value among them)."""
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return k[new], order[new], inverse
 
 
-def _succ(w: np.ndarray) -> np.ndarray:
-    return w >> U(24)
+def merged(keys: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct values of all."""
+    k = np.sort(np.concatenate(keys))
+    return k[np.r_[True, k[1:] != k[:-1]]] if len(k) else k
 
 
-def shard_1(w: np.ndarray, shards: int) -> np.ndarray:
-    return (w >> U(44)) * U(shards) >> U(20)
+def small(a: np.ndarray) -> np.ndarray:
+    """In the narrowest unsigned type."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
 
-def shard_2(w1: np.ndarray, w2: np.ndarray, shards: int) -> np.ndarray:
-    from quern.llm._hash import mix
+def pack(v: np.ndarray, width: int) -> np.ndarray:
+    """The lowest `width` bytes of each value."""
+    return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel()
 
-    return (mix(w1 + (w2 & U(PARTS - 1))) >> U(44)) * U(shards) >> U(20)
 
+def unpack(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view("<u8").ravel()
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, a place of each, sums)."""
-    order = np.argsort(keys)
-    k = keys[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
-    return k[first], order[first], np.add.reduceat(counts[order], first) if len(k) else counts
 
+def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
-def _cut(shard: np.ndarray):
-    """(shard, slice) of runs of equal shards in a sorted array."""
-    if not len(shard):
-        return
-    edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-    for a, b in zip(edge, [*edge[1:], len(shard)], strict=True):
-        yield int(shard[a]), slice(int(a), int(b))
 
+@dataclass(frozen=True)
+class Deal:
+    """How n-grams go to shards."""
 
-_BLOCKS = "level int, shard int, keys binary, runs binary, succ binary, counts binary"
+    shards: int = 1
+    order: int = ORDER
+    widths: tuple[int, ...] = (5, 5)  # bytes of a successor's hash, by level from pairs on
+    hot: tuple[np.ndarray, ...] = field(default_factory=lambda: (np.zeros(0, U),) * (ORDER - 1))  # common contexts, by level, sorted
+    parts: tuple[np.ndarray, ...] = field(default_factory=lambda: (np.zeros(0, U),) * (ORDER - 1))  # into how many their successors go
 
+    def shard(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> U(44)) * U(self.shards) >> U(20)).astype(np.int32)
 
-def _block(level, shard, keys, runs=None, succ=None, counts=None):
-    b = [np.ascontiguousarray(x).tobytes() if x is not None else b"" for x in (keys, runs, succ, counts)]
-    return (level, int(shard), *b)
+    def among(self, level: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it hot?, parts) of context hashes of a level (0: words)."""
+        hot = self.hot[level]
+        if not len(hot):
+            return np.zeros(len(h), bool), np.ones(len(h), U)
+        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+        same = hot[at] == h
+        return same, np.where(same, self.parts[level][at], U(1))
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["level", "shard", "keys", "runs", "succ", "counts"])
+class Block:
+    """The distinct n-grams of a block of texts, and how they go to shards.
 
+    Level 0 are the words, START among them; node i of level k is (parent in level k - 1, word).
+    rows[k] are the (shard, node) that shards hear of, in order of both: each node in
+    its own shard, and contexts wherever successors of theirs are.
+    """
 
-def _pack40(v: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+    def __init__(self, tok: np.ndarray, at: np.ndarray, deal: Deal):
+        from quern.llm._hash import mix
 
+        self.deal, self.at = deal, at
+        n = len(tok)
+        self.words, _, rank = distinct(np.append(tok, START))
+        start, self.rank = int(rank[-1]), rank[:-1]
+        bits = U(int(len(self.words)).bit_length())
+        place = np.arange(n, dtype=np.int32) - np.repeat(at[:-1].astype(np.int32), np.diff(at))  # of a token in its text
+        ctx = np.empty(n, np.int32)
+        ctx[1:] = self.rank[:-1]
+        ctx[at[:-1]] = start
+        here, route = np.arange(n), self.words
+        self.hashes = hashes = [self.words]
+        self.node, self.parent, self.last, self.first, self.routes = [self.rank], [None], [None], [None], [deal.shard(self.words)]
+        for level in range(1, deal.order):
+            key, one, inverse = distinct(ctx.astype(U) << bits | self.rank[here].astype(U))
+            parent, last = (key >> bits).astype(np.int32), (key & ((U(1) << bits) - U(1))).astype(np.int32)
+            hot, parts = deal.among(level - 1, hashes[-1])
+            succ = self.words[last]
+            route = route[parent]
+            if (spread := np.flatnonzero(hot[parent])).size:
+                p = parent[spread]
+                route[spread] = mix(hashes[-1][p] + U(1) + succ[spread] % parts[p])
+            hashes.append(mix(hashes[-1][parent] * U(3) + succ) if level < deal.order - 1 else None)
+            self.parent.append(parent)
+            self.last.append(last)
+            self.first.append(here[one].astype(np.int32))
+            self.routes.append(deal.shard(route))
+            if level == 1:
+                node = inverse
+            else:
+                node = np.full(n, -1, np.int32)
+                node[here] = inverse
+            self.node.append(node)
+            if level < deal.order - 1:
+                here = np.flatnonzero(place >= level)
+                ctx = node[here - 1]
+        # which shards hear of which nodes
+        self.hot = [deal.among(k, hashes[k])[0] for k in range(deal.order - 1)]
+        self.rows: list = [None] * deal.order
+        need = np.zeros(0, U)
+        for level in range(deal.order - 1, -1, -1):
+            pairs = [need, self.routes[level].astype(U) << U(40) | np.arange(len(self.routes[level]), dtype=U)]
+            if level < deal.order - 1 and self.hot[level].any():  # all parts of a common context tell their share of it
+                k = np.flatnonzero(self.hot[level])
+                parts = deal.among(level, hashes[level][k])[1].astype(np.int64)
+                each = spans(np.zeros(len(k), np.int64), parts).astype(U)
+                to = deal.shard(mix(np.repeat(hashes[level][k], parts) + U(1) + each))
+                pairs.append(to.astype(U) << U(40) | np.repeat(k, parts).astype(U))
+            self.rows[level] = merged(pairs)
+            need = self._up(level) if level else need
+
+    def _up(self, level: int) -> np.ndarray:
+        """(shard, parent) of the rows of a level."""
+        rows = self.rows[level]
+        return rows & ~NODE | self.parent[level][self._node(level)].astype(U)
+
+    def _node(self, level: int) -> np.ndarray:
+        return (self.rows[level] & NODE).astype(np.int64)
+
+    def _own(self, level: int) -> np.ndarray:
+        """Is the row that of the node's own shard?"""
+        return self.routes[level][self._node(level)] == (self.rows[level] >> U(40)).astype(np.int32)
+
+    def check(self) -> int:
+        """A number that tells blocks of other n-grams apart."""
+        n = int(self.words.sum(dtype=U)) + len(self.rank) * 0x9E3779B97F4A7C15 + len(self.rows[-1])
+        return int(np.uint64(n & (1 << 64) - 1).view(np.int64))
+
+    def requests(self, learn: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        """(shard, arrays) of all shards that hear of this block."""
+        deal = self.deal
+        seen = np.repeat(learn, np.diff(self.at))
+        counts, runs = [], []
+        for level, node in enumerate(self.node):
+            n = np.bincount(node[seen & (node >= 0)], minlength=len(self.routes[level]))
+            counts.append(np.where(self._own(level), n[self._node(level)], 0))
+            if level:
+                runs.append(np.bincount(self._above(level), minlength=len(self.rows[level - 1])))
+        edges = [np.searchsorted(r, np.arange(deal.shards + 1, dtype=U) << U(40)) for r in self.rows]
+        nodes = [self._node(level) for level in range(deal.order)]
+        for s in range(deal.shards):
+            a, b = edges[0][s], edges[0][s + 1]
+            if a == b:
+                continue
+            out = {"word": self.words[nodes[0][a:b]], "n0": small(counts[0][a:b]), "hot0": small(np.flatnonzero(self.hot[0][nodes[0][a:b]]))}
+            for level in range(1, deal.order):
+                c = slice(edges[level][s], edges[level][s + 1])
+                if level < deal.order - 1:
+                    out[f"hot{level}"] = small(np.flatnonzero(self.hot[level][nodes[level][c]]))
+                succ = self.words[self.last[level][nodes[level][c]]] >> U(64 - 8 * deal.widths[level - 1])
+                out |= {f"run{level}": small(runs[level - 1][edges[level - 1][s] : edges[level - 1][s + 1]]), f"succ{level}": pack(succ, deal.widths[level - 1]), f"n{level}": small(counts[level][c])}
+            yield s, out
+
+    def _above(self, level: int) -> np.ndarray:
+        """The row above each row of a level."""
+        up = self._up(level)
+        new = np.r_[True, up[1:] != up[:-1]] if len(up) else np.zeros(0, bool)
+        return np.searchsorted(self.rows[level - 1], up[new])[np.cumsum(new) - 1]
+
+    def scores(self, answers: dict[int, dict[str, np.ndarray]], total: int, vocabulary: int) -> tuple[np.ndarray, ...]:
+        """(tokens, known tokens, base score, score) of each text."""
+        deal, at = self.deal, self.at[:-1]
+        told = [answers[s] for s in sorted(answers)]
+        word, own = np.zeros(len(self.words), np.int64), self._own(0)
+        word[self._node(0)[own]] = np.concatenate([x["seen0"] for x in told])[own]
+        p = np.where(word > 0, word - DISCOUNT_1, max(DISCOUNT_1 * vocabulary, 0.5)) / max(total, 1) if total else np.ones(len(word))
+        lower = p[self.rank]
+        share, back = self._contexts(0, told)
+        for level in range(1, deal.order):
+            own = self._own(level)
+            code = np.concatenate([x[f"code{level}"] for x in told])
+            lead = np.where(code == NONE, 0.0, POWERS[code])
+            if share is not None:
+                lead *= share[self._above(level)]
+            mine = np.empty(len(self.last[level]))
+            mine[self._node(level)[own]] = lead[own]
+            q = mine + back[self.parent[level]] * lower[self.first[level]]  # by node; lower by token
+            here = self.node[level] >= 0
+            lower[here] = q[self.node[level][here]]
+            if level < deal.order - 1:
+                share, back = self._contexts(level, told)
+        log = np.log10(lower)
+        base = np.log10((word + 1) / (total + 1 * (vocabulary + 1)))[self.rank]
+        known = (word > 0)[self.rank].astype(np.int64)
+        return np.diff(self.at), *(np.add.reduceat(x, at) if len(at) else x for x in (known, base, log))
+
+    def _contexts(self, level: int, told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """(share of a context's mass by row, None if all have all of it; what its discounts leave by node)."""
+        node, hot = self._node(level), self.hot[level]
+        back, share = np.ones(len(hot)), None
+        back[node] = POWERS[np.concatenate([x[f"back{level}"] for x in told] or [np.zeros(0, np.uint8)])]
+        if hot.any():
+            share = np.ones(len(node))
+            rows = np.flatnonzero(hot[node])
+            raw = np.concatenate([x[f"mass{level}"] for x in told]).reshape(-1, 2)
+            mass, kinds = np.bincount(node[rows], raw[:, 0], len(hot)), np.bincount(node[rows], raw[:, 1], len(hot))
+            share[rows] = raw[:, 0] / np.maximum(mass[node[rows]], 1)
+            back[hot] = np.where(mass[hot] > 0, DISCOUNTS[level] * kinds[hot] / np.maximum(mass[hot], 1), 1.0)
+        return share, back
+
+
+def _cut(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(shard, slice) of runs of equal shards in a sorted array."""
+    if len(shard):
+        edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        for a, b in zip(edge, [*edge[1:], len(shard)], strict=True):
+            yield int(shard[a]), slice(int(a), int(b))
 
-def _unpack40(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(b), 8), np.uint8)
-    out[:, :5] = b
-    return out.view("<u8").ravel()
 
+class Trie:
+    """Levels of a shard, over a memory map."""
 
-def _pair_block(level: int, shard: int, w1, succ, counts) -> tuple:
-    """Pairs sorted by context: distinct contexts, run lengths, successors in five bytes, counts."""
-    first = np.flatnonzero(np.r_[True, w1[1:] != w1[:-1]])
-    runs = np.diff(np.r_[first, len(w1)]).astype("<u4")
-    small = counts.astype("<u4") if counts.max() > 255 else counts.astype(np.uint8)
-    return _block(level, shard, w1[first], runs, _pack40(succ), small)
+    def __init__(self, arrays: dict[str, np.ndarray], deal: Deal):
+        from quern.llm.elias_fano import unnested
 
+        self.a, self.deal = arrays, deal
+        self.words = unnested("word", arrays)
+        self.succ = [unnested(f"succ{k}", arrays) for k in range(1, deal.order)]
+        self.pointer = [unnested(f"pointer{k}", arrays) for k in range(1, deal.order)]
+
+    @classmethod
+    def build(cls, n_grams: Rows, deal: Deal) -> Trie:
+        """From the n-grams of all blocks, of which those never learned are left out."""
+        import mmap
+
+        from quern.llm.elias_fano import EliasFano, dump, load, nested
+
+        names, levels, hot = n_grams.names, n_grams.levels, n_grams.common
+        # bottom up: what was learned itself stays, and what is a context of something that was
+        size = [len(names), *(len(x[0]) for x in levels)]
+        keep, mass, kinds = [np.zeros(n, bool) for n in size], [], []
+        for level in range(deal.order - 1, 0, -1):
+            parent, _, n = levels[level - 1]
+            got = n > 0
+            keep[level] |= got
+            keep[level - 1][parent[keep[level]]] = True
+            mass.insert(0, np.bincount(parent[got], n[got], size[level - 1]))
+            kinds.insert(0, np.bincount(parent[got], minlength=size[level - 1]))
+        keep[0] |= n_grams.seen > 0
+        arrays = nested("word", EliasFano.build(names[keep[0]], 1 << 64)) | {"count": small(n_grams.seen[keep[0]])}
+        for level in range(1, deal.order):
+            wide, up = 8 * deal.widths[level - 1], keep[level - 1]
+            parent, tail, n = (x[keep[level]] for x in levels[level - 1])
+            parent = (np.cumsum(up) - 1)[parent]
+            k = int(up.sum())
+            arrays |= nested(f"pointer{level}", EliasFano.build(np.append(np.searchsorted(parent, np.arange(k)), len(parent)).astype(U), len(parent) + 1))
+            arrays |= nested(f"succ{level}", EliasFano.build(parent.astype(U) << U(wide) | tail, max(k, 1) << wide))
+            of, many = mass[level - 1][up], kinds[level - 1][up]
+            lead = quantise(np.log10(np.maximum(n - DISCOUNTS[level - 1], 1e-9) / np.maximum(of[parent], 1)))
+            arrays[f"prob{level}"] = np.where(n > 0, lead, NONE).astype(np.uint8)
+            arrays[f"back{level - 1}"] = np.where(of > 0, quantise(np.log10(np.maximum(DISCOUNTS[level - 1] * many, 1e-9) / np.maximum(of, 1))), 0).astype(np.uint8)
+            # of contexts that several shards share, the mass itself
+            some = np.flatnonzero(hot[level - 1][up])
+            arrays |= {f"hot{level - 1}": some, f"mass{level - 1}": np.stack([of[some], many[some]], 1).astype(np.float64).ravel()}
+        raw = dump(arrays)
+        place = mmap.mmap(-1, len(raw))
+        place.write(raw)
+        return cls(load(place), deal)
+
+    def answer(self, n_grams: Rows) -> dict[str, np.ndarray]:
+        """Codes of the n-grams and what their contexts leave; every level is searched within the bounds of its contexts."""
+        out: dict[str, np.ndarray] = {}
+        at, ok = self.words.find(n_grams.names)
+        out["seen0"] = np.zeros(len(at), np.int64)
+        out["seen0"][ok] = self.a["count"][at[ok]]
+        for level in range(1, self.deal.order):
+            self._context(level - 1, at, ok, n_grams.common[level - 1], out)
+            parent, tail, _ = n_grams.levels[level - 1]
+            bounds = self.pointer[level - 1].all().astype(np.int64)
+            at, ok = np.where(ok, at, 0)[parent], ok[parent]
+            lo, hi = bounds[at], np.where(ok, bounds[np.minimum(at + 1, len(bounds) - 1)], bounds[at])
+            at, ok = self.succ[level - 1].find(at.astype(U) << U(8 * self.deal.widths[level - 1]) | tail, lo, hi)
+            out[f"code{level}"] = _at(self.a[f"prob{level}"], at, ok, NONE)
+        return out
+
+    def _context(self, level: int, at: np.ndarray, ok: np.ndarray, hot: np.ndarray, out: dict) -> None:
+        out[f"back{level}"] = _at(self.a[f"back{level}"], at, ok, 0)
+        which, mine = at[hot], self.a[f"hot{level}"]
+        place = np.searchsorted(mine, which)
+        there = ok[hot] & (place < len(mine))
+        there[there] = mine[place[there]] == which[there]
+        mass = np.zeros((len(which), 2))
+        mass[there] = self.a[f"mass{level}"].reshape(-1, 2)[place[there]]
+        out[f"mass{level}"] = mass
+
+
+def _at(a: np.ndarray, at: np.ndarray, ok: np.ndarray, other: int) -> np.ndarray:
+    out = np.full(len(at), other, np.uint8)
+    out[ok] = a[at[ok]]
+    return out
 
-def _read_pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    runs = np.frombuffer(row["runs"], "<u4")
-    w1 = np.repeat(np.frombuffer(row["keys"], U), runs)
-    succ = _unpack40(row["succ"])
-    counts = np.frombuffer(row["counts"], np.uint8 if len(row["counts"]) == len(succ) else "<u4")
-    return w1, succ, counts.astype(np.int64)
 
+class Rows:
+    """N-grams of one shard as blocks sent them, one block behind the other."""
+
+    def __init__(self, sent: list[dict[str, np.ndarray]], deal: Deal):
+        put = lambda name: np.concatenate([x[name] for x in sent])
+        levels = range(1, deal.order)
+        self.sizes = [[len(x[f"n{k}"]) for x in sent] for k in range(deal.order)]
+        self.hot = [np.zeros(sum(n), bool) for n in self.sizes[:-1]]
+        for k, flags in enumerate(self.hot):
+            flags[np.concatenate([x[f"hot{k}"].astype(np.int64) + a for x, a in zip(sent, np.cumsum([0, *self.sizes[k]]), strict=False)])] = True
+        # the distinct ones: words; by level parent, hash of the successor and count; which contexts are common
+        self.names, _, node = distinct(put("word"))
+        self.seen = np.bincount(node, put("n0").astype(np.float64), len(self.names)).astype(np.int64)
+        self.node, self.levels, self.common = [node], [], [np.bincount(node, self.hot[0], len(self.names)) > 0]
+        for k in levels:
+            wide = U(8 * deal.widths[k - 1])
+            key, _, inverse = distinct(np.repeat(node, put(f"run{k}").astype(np.int64)).astype(U) << wide | unpack(put(f"succ{k}"), deal.widths[k - 1]))
+            self.levels.append(((key >> wide).astype(np.int32), key & ((U(1) << wide) - U(1)), np.bincount(inverse, put(f"n{k}").astype(np.float64), len(key))))
+            node = inverse
+            self.node.append(node)
+            if k < deal.order - 1:
+                self.common.append(np.bincount(node, self.hot[k], len(key)) > 0)
+
+    def split(self, answer: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
+        """The answer to each block, from that on the distinct n-grams."""
+        out: list[dict] = [{} for _ in self.sizes[0]]
+        for name, a in answer.items():
+            kind, k = name[:4], int(name[4:])
+            if kind == "mass":
+                some = np.cumsum(self.common[k]) - 1
+                a, sizes = a[some[self.node[k][self.hot[k]]]], np.diff(np.append(0, np.cumsum(self.hot[k]))[np.cumsum([0, *self.sizes[k]])])
+            else:
+                a, sizes = a[self.node[k]], self.sizes[k]
+            for to, part in zip(out, np.split(a, np.cumsum(sizes)[:-1]), strict=True):
+                to[name] = small(part) if kind == "seen" else part.ravel()
+        return out
+
+
+_SENT = "shard int, block long, check long, data binary, n long, v long"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["shard", "block", "check", "data", "n", "v"])
+
+
+def _blocks(it: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
+    """(block, its rows) of a partition of (id, text, learn): the block of a row follows from the bytes before it alone."""
+    import pyarrow.compute as pc
+
+    before, held, now, part = 0, [], None, TaskContext.get().partitionId()
+    for batch in it:
+        n = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends = before + np.cumsum(n)
+        for k, c in _cut((ends - n) // size):
+            if held and k != now:
+                yield part << 40 | now, pa.Table.from_batches(held)
+                held = []
+            now = k
+            held.append(batch.slice(c.start, c.stop - c.start))
+        before = int(ends[-1]) if len(ends) else before
+    if held:
+        yield part << 40 | now, pa.Table.from_batches(held)
+
+
+def _tokens_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    return tokens([t or "" for t in column.to_pylist()])
+
+
+def _requests_fn(deal: Deal, size: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quern.llm.elias_fano import dump
+
+        for number, rows in _blocks(it, size):
+            block = Block(*_tokens_of(rows.column(1)), deal)
+            learn = np.array([bool(x) for x in rows.column(2).to_pylist()], bool)
+            check, out = block.check(), []
+            for shard, arrays in block.requests(learn):
+                out.append((shard, number, check, dump(arrays), None, None))
+                if len(out) == 256:
+                    yield _batch(out)
+                    out = []
+            if out:
+                yield _batch(out)
 
-def _merge_pairs(w1, succ, counts):
-    """Pairs sorted by context and successor, with summed counts."""
-    order = np.lexsort((succ, w1))
-    w1, succ, counts = w1[order], succ[order], counts[order]
-    first = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (succ[1:] != succ[:-1])])
-    return w1[first], succ[first], np.add.reduceat(counts, first)
+    return run
 
 
-def _count_fn(shards: int):
+def _answers_fn(deal: Deal):
+    """Of rows in order of their shards, those of one shard at a time."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quern.llm._hash import mix
-        from quern.llm._words import batches
-
-        held, size = [], 0
-
-        def reduce(held):
-            tok = np.concatenate([t for t, _ in held])
-            prev = np.concatenate([p for _, p in held])
-            w, _, n = _sums(tok, np.ones(len(tok), np.int64))
-            rows = [_block(1, s, w[c], counts=n[c].astype("<u4")) for s, c in _cut(shard_1(w, shards))]
-            _, at, n = _sums(mix(prev * U(3) + tok), np.ones(len(tok), np.int64))
-            w1, w2 = prev[at], tok[at]
-            shard = shard_2(w1, w2, shards)
-            order = np.lexsort((w1, shard))
-            w1, w2, n, shard = w1[order], w2[order], n[order], shard[order]
-            rows += [_pair_block(2, s, w1[c], _succ(w2[c]), n[c]) for s, c in _cut(shard)]
-            return _rows(rows)
+        from quern.llm.elias_fano import dump, load
+
+        def work(shard: int, held: list) -> pa.RecordBatch:
+            n_grams = Rows([load(data) for _, _, data in held], deal)
+            got = n_grams.split(Trie.build(n_grams, deal).answer(n_grams))
+            rows = [(shard, -1, 0, b"", int(n_grams.seen.sum()), int((n_grams.seen > 0).sum()))]
+            return _batch(rows + [(shard, block, check, dump(x), None, None) for (block, check, _), x in zip(held, got, strict=True)])
 
+        held, now = [], None
         for batch in it:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in batches(texts):
-                tok, at = tokens(texts[a:b])
-                held.append((tok, contexts(tok, at)))
-                size += len(tok)
-                if size > BATCH_TOKENS:
-                    yield reduce(held)
-                    held, size = [], 0
+            for shard, block, check, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if held and shard != now:
+                    yield work(now, held)
+                    held = []
+                now = shard
+                held.append((block, check, data))
         if held:
-            yield reduce(held)
+            yield work(now, held)
 
     return run
 
 
-def _merge(pdf):
-    """All blocks of one shard of a level. Words: their counts. Pairs: their counts, and what they take of each context's mass."""
-    import pandas as pd
-
-    names = ["level", "shard", "keys", "runs", "succ", "counts"]
-    shard, shards = int(pdf["shard"].iloc[0]), int(pdf["shards"].iloc[0])
-    if int(pdf["level"].iloc[0]) == 1:
-        w, n = _words(pdf)
-        return pd.DataFrame([_block(1, shard, w, counts=n.astype("<u4") if n.max(initial=0) < 1 << 32 else n.astype("<u8"))], columns=names)
-    parts = [_read_pairs(r) for r in pdf.to_dict("records")]
-    w1, succ, n = _merge_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-    rows = []
-    if len(w1):
-        rows.append(_pair_block(2, shard, w1, succ, n))
-        first = np.flatnonzero(np.r_[True, w1[1:] != w1[:-1]])
-        mass, w = np.add.reduceat(n - DISCOUNT_2, first), w1[first]
-        rows += [_block(0, s, w[c], counts=mass[c].astype("<f8")) for s, c in _cut(shard_1(w, shards))]
-    return pd.DataFrame(rows, columns=names)
-
-
-def _words(pdf) -> tuple[np.ndarray, np.ndarray]:
-    ones = pdf[pdf["level"] == 1]
-    keys = np.concatenate([np.frombuffer(b, U) for b in ones["keys"]] or [np.zeros(0, U)])
-    counts = [np.frombuffer(b, "<u4" if len(b) * 2 == len(k) else "<u8").astype(np.int64) for k, b in zip(ones["keys"], ones["counts"], strict=True)]
-    n = np.concatenate(counts or [np.zeros(0, np.int64)])
-    w, _, n = _sums(keys, n)
-    return w, n
-
-
-def _level_1_fn(total: int, vocabulary: int, texts: int):
-    from quern.llm.elias_fano import EliasFano, dump, nested
-
-    def build(pdf):
-        import pandas as pd
-
-        w, n = _words(pdf)
-        zero = pdf[pdf["level"] == 0]
-        keys = np.concatenate([np.frombuffer(b, U) for b in zero["keys"]] or [np.zeros(0, U)])
-        mass = np.concatenate([np.frombuffer(b, "<f8") for b in zero["counts"]] or [np.zeros(0)])
-        ctx, _, mass = _sums(keys, mass)
-        if len(ctx) and (start := np.flatnonzero(ctx == START)).size:  # START is a context, not a word
-            w, n = np.append(w, START), np.append(n, 0)
-            order = np.argsort(w)
-            w, n = w[order], n[order]
-        used = np.zeros(len(w))
-        used[np.searchsorted(w, ctx)] = mass
-        seen = np.where(w == START, texts, n)  # how often a word is a context
-        left = np.maximum(1 - used / np.maximum(seen, 1), 1e-6)
-        arrays = nested("word", EliasFano.build(w, 1 << 64))
-        arrays |= {
-            "count": n.astype("<u4") if n.max(initial=0) < 1 << 32 else n,
-            "prob": quantise(np.log10(np.maximum(n - DISCOUNT_1, 1e-9) / total)),
-            "back": quantise(np.log10(left)),
-            "succ": np.packbits(used > 0, bitorder="little"),
-        }
-        return pd.DataFrame({"level": [1], "shard": [int(pdf["shard"].iloc[0])], "blob": [dump(arrays)]})
-
-    return build
-
-
-class Level1:
-    def __init__(self, blobs: dict[int, dict[str, np.ndarray]], shards: int, total: int, vocabulary: int):
-        from quern.llm.elias_fano import unnested
+def _deal_fn(size: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _blocks(it, size):
+            for batch in rows.to_batches(max_chunksize=2000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, number)), batch.column(0), batch.column(1)], ["block", "id", "text"])
 
-        self.a = {s: (unnested("word", x), x) for s, x in blobs.items()}
-        self.shards, self.total = shards, total
-        self.unknown = float(np.log10(max(DISCOUNT_1 * vocabulary, 0.5) / total)) if total else 0.0
-
-    def find(self, w: np.ndarray):
-        """(count, log10 p, log10 backoff, has successors) of sorted distinct words."""
-        n, p, b, s = np.zeros(len(w), np.int64), np.full(len(w), self.unknown), np.zeros(len(w)), np.zeros(len(w), bool)
-        for k, c in _cut(shard_1(w, self.shards)):
-            if k in self.a:
-                ef, x = self.a[k]
-                at, ok = ef.find(w[c])
-                rows = np.arange(c.start, c.stop)[ok]
-                at = at[ok]
-                n[rows] = x["count"][at]
-                p[rows] = np.where(n[rows] > 0, x["prob"][at] * -STEP, self.unknown)
-                b[rows] = x["back"][at] * -STEP
-                s[rows] = x["succ"][at >> 3] >> (at & 7).astype(np.uint8) & 1
-        return n, p, b, s
-
-
-class Level2:
-    def __init__(self, blobs: dict[int, dict[str, np.ndarray]], shards: int):
-        from quern.llm.elias_fano import unnested
+    return run
 
-        self.a = {s: (unnested("context", x), unnested("pointer", x), unnested("succ", x), x["prob"]) for s, x in blobs.items()}
-        self.shards = shards
-
-    def find(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, log10 p) of pairs; a shard that is not here finds nothing."""
-        found, p = np.zeros(len(w1), bool), np.zeros(len(w1))
-        shard = shard_2(w1, w2, self.shards)
-        order = np.argsort(shard, kind="stable")
-        for k, c in _cut(shard[order]):
-            if k in self.a:
-                ctx, ptr, succ, prob = self.a[k]
-                rows = order[c]
-                at, ok = ctx.find(w1[rows])
-                rows, at = rows[ok], at[ok]
-                if not len(rows):
-                    continue
-                pos, ok = succ.find((at.astype(U) << U(40)) | _succ(w2[rows]))
-                rows, at, pos = rows[ok], at[ok], pos[ok]
-                ok = (pos >= ptr.get(at).astype(np.int64)) & (pos < ptr.get(at + 1).astype(np.int64))
-                found[rows[ok]] = True
-                p[rows[ok]] = prob[pos[ok]] * -STEP
-        return found, p
-
-
-_OPEN: dict[str, object] = {}
-
-
-def _map(names: list[str]) -> dict[int, dict[str, np.ndarray]]:
-    """Shards in the named files, each memory-mapped from an unlinked temporary file."""
-    import mmap
-    import os
-    import tempfile
-
-    import pyarrow.parquet as pq
-
-    from quern.llm.elias_fano import load
-
-    out = {}
-    for name in names:
-        t = pq.read_table(SparkFiles.get(name), columns=["shard", "blob"], memory_map=True)
-        for shard, blob in zip(t.column("shard").to_pylist(), t.column("blob"), strict=True):
-            fd, path = tempfile.mkstemp()
-            with os.fdopen(fd, "wb") as f:
-                f.write(blob.as_buffer())
-            with open(path, "rb") as f:
-                out[shard] = load(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-            os.unlink(path)
-        del t
-        pa.default_memory_pool().release_unused()
-    return out
 
+def _score_fn(deal: Deal, total: int, vocabulary: int):
+    def run(texts: pa.Table, sent: pa.Table) -> pa.Table:
+        from quern.llm.elias_fano import load
 
-def _opened(key: str, make):
-    if key not in _OPEN:
-        if len(_OPEN) > 4:  # maps of earlier models
-            _OPEN.clear()
-        _OPEN[key] = make()
-    return _OPEN[key]
+        names = ["id", "n_tokens", "n_known", "base_score", "score"]
+        block = Block(*_tokens_of(texts.column("text")), deal)
+        if set(sent.column("check").to_pylist()) != {block.check()}:
+            raise RuntimeError("a block of texts is not the one that was answered: rows must come in the same partitions and order twice")
+        answers = {s.as_py(): load(x.as_buffer()) for s, x in zip(sent.column("shard"), sent.column("data"), strict=True)}
+        return pa.table([texts.column("id"), *map(pa.array, block.scores(answers, total, vocabulary))], names=names)
 
+    return run
 
-def publish(df: DataFrame) -> list[tuple[str, int]]:
-    """Hand the files of a staged table to all machines, now and later ones: (name, bytes)."""
-    sc = df.sparkSession.sparkContext
-    out = []
-    for path in files(df.sparkSession, df._quern_path):
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        size = p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
-        sc.addFile(path)
-        out.append((path.rsplit("/", 1)[1], size))
-    return out
 
+def _common_fn(least: float):
+    """(level, hash, count) of contexts with at least this share of a task's tokens; level -1 counts the tokens."""
 
-class Model:
-    """A trained trie: names of its files, and what it takes to open them on a worker."""
-
-    def __init__(self, key, shards, total, vocabulary, first, second):
-        self.key, self.shards, self.total, self.vocabulary, self.first, self.second = key, shards, total, vocabulary, first, second
-
-    def level_1(self) -> Level1:
-        return _opened(self.key + "/1", lambda: Level1(_map([n for n, _ in self.first]), self.shards, self.total, self.vocabulary))
-
-    def level_2(self, names: tuple[str, ...]) -> Level2:
-        return _opened(f"{self.key}/2/{names[:1]}", lambda: Level2(_map(list(names)), self.shards))
-
-
-def _level_2_fn(model: Model, texts: int):
-    from quern.llm.elias_fano import EliasFano, dump, nested
-
-    def build(it):
-        import pandas as pd
-
-        for pdf in it:
-            for row in pdf.to_dict("records"):
-                w1, succ, n = _read_pairs(row)
-                first = np.flatnonzero(np.r_[True, w1[1:] != w1[:-1]])
-                ctx = w1[first]
-                c1, _, back, _ = model.level_1().find(ctx)
-                c1 = np.where(ctx == START, texts, c1)
-                size = np.diff(np.r_[first, len(w1)])
-                # a successor is known by 40 bits of its hash; its own probability is added by the reader
-                lead = np.log10((n - DISCOUNT_2) / np.repeat(np.maximum(c1, 1), size))
-                rank = np.repeat(np.arange(len(ctx), dtype=U), size)
-                arrays = nested("context", EliasFano.build(ctx, 1 << 64))
-                arrays |= nested("pointer", EliasFano.build(np.r_[first, len(w1)], len(w1) + 1))
-                arrays |= nested("succ", EliasFano.build((rank << U(40)) | succ, len(ctx) << 40))
-                arrays["prob"] = quantise(lead)
-                yield pd.DataFrame({"level": [2], "shard": [row["shard"]], "blob": [dump(arrays)]})
-
-    return build
-
-
-def train(df: DataFrame, text_col="text", tokens_per_shard: int = TOKENS_PER_SHARD) -> Model:
-    """Count all texts of df and build the trie."""
-    spark = df.sparkSession
-    rows = df.select(text_col)
-    chars, texts = rows.agg(F.sum(F.char_length(text_col)), F.count(F.lit(1))).first()
-    shards = max(1, (chars or 0) // 6 // tokens_per_shard)
-    # the blocks of all tasks meet by shard at once; only what is left of them is written
-    blocks = rows.mapInArrow(_count_fn(shards), _BLOCKS).withColumn("shards", F.lit(shards))
-    merged = stage(blocks.groupBy("level", "shard").applyInPandas(_merge, _BLOCKS))
-
-    def totals(it):
-        for b in it:
-            counts = [np.frombuffer(c, "<u4" if len(c) * 2 == len(k) else "<u8") for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            n, v = sum(int(c.sum(dtype=np.int64)) for c in counts), sum(map(len, counts))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([v], pa.int64())], ["n", "v"])
-
-    total, vocabulary = (int(x or 0) for x in merged.where("level = 1").select("keys", "counts").mapInArrow(totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
-    both = merged.where("level < 2").select("level", "shard", "keys", "counts")
-    first = stage(both.groupBy("shard").applyInPandas(_level_1_fn(total, vocabulary, texts), "level int, shard int, blob binary"))
-    key = uuid.uuid4().hex
-    model = Model(key, shards, total, vocabulary, publish(first), [])
-    pairs = merged.where("level = 2")
-    second = stage(pairs.repartition(max(1, min(shards, spark.sparkContext.defaultParallelism * 4)), "shard").mapInPandas(_level_2_fn(model, texts), "level int, shard int, blob binary"))
-    model = Model(key, shards, total, vocabulary, model.first, publish(second))
-    drop(merged)
-    return model
-
-
-def _score_fn(model: Model, names: tuple[str, ...], lead: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quern.llm._words import batches
-
-        one, two = model.level_1(), model.level_2(names)
-        N, V = model.total, model.vocabulary
-        for batch in it:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in batches(texts, SCORE_CHARS):
-                tok, at = tokens(texts[a:b])
-                w, inv = np.unique(tok, return_inverse=True)
-                count, p, back, has = one.find(w)
-                s_count, _, s_back, s_has = one.find(np.array([START], U))
-                here = at[:-1]
-                ctx_back = np.empty(len(tok))
-                ctx_back[1:] = back[inv[:-1]]
-                ctx_back[here] = s_back[0]
-                ctx_has = np.empty(len(tok), bool)
-                ctx_has[1:] = has[inv[:-1]]
-                ctx_has[here] = s_has[0]
-                lower = p[inv] + ctx_back
-                ask = np.flatnonzero(ctx_has & (count[inv] > 0))
-                prev = contexts(tok, at)
-                found, q = two.find(prev[ask], tok[ask])
-                ask, q = ask[found], q[found]
-                gain = np.zeros(len(tok))
-                gain[ask] = np.log10(10.0**q + 10.0 ** lower[ask]) - lower[ask]
-                each = gain + lower if lead else gain
-                base = np.log10((count + 1) / (N + 1 * (V + 1)))[inv]
-                sums = [np.add.reduceat(x, here) for x in (each, base, (count > 0)[inv].astype(np.int64))]
-                cols = [batch.column(0).slice(a, b - a), pa.array(np.diff(at), pa.int64()), pa.array(sums[2], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[0], pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "n_known", "base_score", "score"])
+        for _, rows in _blocks(it, 12 << 20):
+            block = Block(*_tokens_of(rows.column(1)), Deal())
+            n, out = len(block.rank), [(-1, 0, len(block.rank))]
+            for level, node in enumerate(block.node[:-1]):
+                count = np.bincount(node[node >= 0], minlength=len(block.hashes[level]))
+                if not level:
+                    count[block.words == START] = len(rows)
+                    count[block.words == END] = 0
+                k = np.flatnonzero(count >= max(2, least * n))
+                out += [(level, h, c) for h, c in zip(block.hashes[level][k].view(np.int64).tolist(), count[k].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["level", "hash", "n"])
 
     return run
 
 
-def score(df: DataFrame, model: Model, id_col="doc_id", text_col="text", local_bytes: int = LOCAL_BYTES) -> DataFrame:
-    """id, n_tokens, n_known, base_score and score of every text."""
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, n_known long, base_score double, score double"
-    passes, size = [[]], 0
-    for name, n in model.second:
-        if passes[-1] and size + n > local_bytes:
-            passes.append([])
-            size = 0
-        passes[-1].append(name)
-        size += n
-    if len(passes) == 1:
-        return df.select(id_col, text_col).mapInArrow(_score_fn(model, tuple(passes[0]), True), schema).withColumnRenamed("id", id_col)
-    rows = stage(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    out = None
-    for i, names in enumerate(passes):
-        part = rows.select("row", "text").mapInArrow(_score_fn(model, tuple(names), i == 0), schema.replace(f"id {kind}", "id long"))
-        out = part if out is None else out.unionAll(part)
-    out = out.groupBy("id").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return rows.select(F.col("id").alias(id_col), "row").join(out.withColumnRenamed("id", "row"), "row").drop("row")
+def common(rows: DataFrame, texts: int, deal: Deal) -> Deal:
+    """The deal with the contexts whose successors a sample says would fill a quarter of a shard: at most 4 a shard and level."""
+    least = 1 / (4 * deal.shards)
+    if deal.shards < 8:
+        return deal
+    sample = rows.where(unit_hash(F.col("id")) < F.lit(SAMPLE_ROWS / max(texts, 1)))
+    got = sample.mapInArrow(_common_fn(least / 2), "level int, hash long, n long").groupBy("level", "hash").agg(F.sum("n").alias("n"))
+    total = got.where("level < 0").select("n").first()
+    if total is None:
+        return deal
+    found = got.where((F.col("level") >= 0) & (F.col("n") >= F.lit(least * total[0]))).toPandas()
+    hot, parts = [], []
+    for level in range(deal.order - 1):
+        mine = found[found["level"] == level]
+        h, n = mine["hash"].to_numpy(np.int64).view(U), mine["n"].to_numpy(float)
+        by = np.argsort(h)
+        hot.append(h[by])
+        parts.append((2 ** np.ceil(np.log2(np.maximum(n[by] / total[0] / least, 1)) + 1)).astype(U))
+    return Deal(deal.shards, deal.order, deal.widths, tuple(hot), tuple(parts))
+
+
+def score(df: DataFrame, learn: Column, id_col="doc_id", text_col="text", order: int = ORDER, stable: bool = False, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int, int]:
+    """(id, n_tokens, n_known, base_score and score of every row; tokens and words learned from the rows where `learn` holds).
+
+    stable: rows of df come in the same partitions and order whenever they are read, as those of files do.
+    """
+    if not 2 <= order <= 1 + len(DISCOUNTS):
+        raise ValueError(f"the order must be from 2 to {1 + len(DISCOUNTS)}")
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    if not stable:
+        rows = stage(rows)
+    chars, texts = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    about = (chars or 0) // 6 + texts
+    # the hash of a successor is as wide as the corpus asks for, wider where a context can have more successors
+    wide = lambda spare: min(5, max(3, -(-(int(about).bit_length() + spare) // 8)))
+    none = (np.zeros(0, U),) * (order - 1)
+    deal = common(rows, texts, Deal(max(1, about // shard_tokens), order, (wide(5), *(wide(-3) for _ in range(order - 2))), none, none))
+    size = 6 * block_tokens
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(deal.shards, MOST_TASKS))
+    sent = rows.mapInArrow(_requests_fn(deal, size), _SENT).repartition(tasks, "shard").sortWithinPartitions("shard")
+    answers = stage(sent.mapInArrow(_answers_fn(deal), _SENT))
+    total, vocabulary = (int(x or 0) for x in answers.where("block = -1").agg(F.sum("n"), F.sum("v")).first())
+    dealt = rows.mapInArrow(_deal_fn(size), f"block long, id {kind}, text string")
+    dealt = dealt.repartition(tasks, "block")
+    told = answers.where("block >= 0").select("block", "shard", "check", "data").repartition(tasks, "block")
+    out = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score_fn(deal, total, vocabulary), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return stage(out).withColumnRenamed("id", id_col), total, vocabulary
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(fold("doc_id", 7) == 2, F.lit(True))
-    model = train(docs.where(~held))
-    out = score(docs, model)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    out, total, _ = score(docs, ~held, stable=True)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
