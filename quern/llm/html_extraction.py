@@ -1,20 +1,25 @@
 """Main text of web pages by the maximum-scoring run of tokens.
 
-A page is a sequence of tags and words. Words score up to +1, less or negative where
-their surroundings (enclosing elements, class and id words) are known from labelled
-pages to hold no article text; tags score negative, by how much more often they occur
-outside articles. Inside a marked article such words and all tags score 0, so that an
-interruption does not cut off the rest. One linear scan finds the run with the largest sum. What lies in it,
-without the parts whose words do not score above 0, is given back block by block.
-
-Labelled pages are those that mark their article themselves (<article> or <main>):
-text inside is content, text outside is not. Counts start from fixed prior counts for
-common names, so that pages of other makes work as well.
+A page is a sequence of tags and words. Words score from -2 to 1, by the weights of what
+encloses them: names of elements, and whole words and parts of their classes and ids. Tags score
+negative, by how much more often they occur outside articles. The weights are learned from
+labelled pages by logistic regression, from prior weights for common names, so that pages of
+other makes work as well. One linear scan finds the contiguous run with the largest sum;
+the words in it that score above 0 are given back block by block.
+
+Evidence is weighed, no name alone empties a page: what <html> and <body> are called counts
+for nothing, and classes and ids of elements that hold most of the page's words outside links speak
+against them the less the more they hold. A part that is left out costs the run no more than PART, and nothing inside a
+marked article, so that an interruption does not cut off the rest.
+
+Labelled pages are those that mark their article themselves: text inside is content, text outside is not,
+and parts of an article that prior weights call none of it are not learned from.
+Each is learned twice, as it is and with its marks hidden.
 
 Edge cases: null and empty html, and pages without a positive word, give "". Broken
 markup (unclosed tags, stray "<", a cut-off end) is read as far as it makes sense.
-Pages are read whole. Repeated rows give the same text each; columns other than id,
-url and html are not read.
+Nesting and attributes may be of any length. Pages are read whole. Repeated rows give the same text each; columns other than id,
+url and html are not read, and a clashing name is no matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +39,8 @@ from pyspark.sql import functions as F
 from quern.llm._common import unit_hash
 
 TRAIN_PAGES = 1500
+PART = 8.0
+MOST = 3.0  # of what speaks for an element, so that one sure sign against it decides
 
 # Names of HTML, and words that page makers use for parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,12 +49,17 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"body", "html"}
-OUTSIDE = "nav aside footer form button dialog menu label ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar tags widget alert".split()
-INSIDE = "article main content post entry story text body p h1 h2 h3 h4 blockquote pre".split()
+MARKS = frozenset({"article", "main"})
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 a abbr b blockquote br cite code dd dt em font i img li mark pre q s small span strong sub sup td th tr u".split())
+OUTSIDE_TAGS = "nav aside footer form button dialog menu label header".split()
+OUTSIDE = "ad ads advert adverts advertisement advertising aside banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar tags widget alert".split()
+INSIDE = "article main content post entry story text body".split()
+NEGATORS = frozenset("no not has have with without is are hide hidden show toggle after before".split())
 
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_END = re.compile(r"""(?>[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>""")
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -73,13 +87,8 @@ def tokenize(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", "<", ""
             at = lt + 1
             continue
-        gt = page.find(">", m.end())
-        while 0 <= gt and (page.count('"', m.end(), gt) % 2 or page.count("'", m.end(), gt) % 2 and '"' not in page[m.end() : gt]):
-            further = page.find(">", gt + 1)
-            if further < 0 or further - lt > 5000:  # no end of the quotation: take the first end
-                gt = page.find(">", m.end())
-                break
-            gt = further
+        end = _END.match(page, m.end())
+        gt = end.end() - 1 if end else -1
         if gt < 0:
             return  # a tag that the end of the page cuts off
         name, at = m[1].lower(), gt + 1
@@ -98,126 +107,179 @@ def tokenize(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def surroundings(name: str, tag: str) -> frozenset[str]:
-    """Names by which an element is known: its own, and the words of its class, id and role."""
+    """Names by which an element is known: <its own, .words of its class, id and role, and ~parts of compound words."""
     out = {"<" + name}
-    if "=" in tag:
+    if "=" in tag and name not in TEXT and name not in ("html", "body"):
         for m in _ATTR.finditer(tag):
-            out.update(_WORD.findall((m[2] or m[3] or m[4] or "").lower()))
+            for word in (m[2] or m[3] or m[4] or "").split():
+                parts = [x.lower() for x in _PARTS.split(word) if x]
+                out.add("." + word.lower())
+                if len(parts) > 1 and parts[0] not in NEGATORS:
+                    out.update("~" + x for x in parts)
     return frozenset(out)
 
 
-def runs(page: str) -> list[tuple]:
-    """(kind, name or text, names of all elements around, inside an article?) for each token."""
-    # an element: name, names around its content, inside an article?, places of the nearest block and the nearest list or item
-    stack: list[tuple[str, frozenset, bool, int, int]] = [("", frozenset(), False, 0, 0)]
-    places: dict[str, list[int]] = {}  # of the open elements of each name
-    out = []
+class Page:
+    """Tokens of a page, and its elements, each behind the one around it.
 
-    def cut(k: int) -> None:
-        for e in stack[k:]:
-            places[e[0]].pop()
-        del stack[k:]
+    tokens: (kind, text or name, number of the element around). Of an element: `above`, the number of the one around;
+    `own`, its names; `mark`, the innermost marked article (<article> or <main>) at or around it, or -1; `words` in it that are in no link.
+    """
 
-    for kind, what, tag in tokenize(page):
-        if kind == "text":
-            if what:
-                out.append(("text", what, stack[-1][1], stack[-1][2]))
-            continue
-        if kind == "open":
-            if what in CLOSES_P and stack[k := stack[-1][3]][0] == "p":
-                cut(k)
-            if what == "li" and stack[k := stack[-1][4]][0] == "li":
-                cut(k)
-            if what not in VOID:
-                _, around, inside, block, item = stack[-1]
-                own = surroundings(what, tag)
-                if what == "header" and inside:
-                    own = own - {"<header", "header"}  # of an article, not of the page
-                at = len(stack)
-                places.setdefault(what, []).append(at)
-                around = around if own <= around else around | own
-                stack.append((what, around, inside or what in ("article", "main"), at if what in BLOCK else block, at if what in ("li", "ul", "ol", "menu") else item))
-        elif places.get(what):
-            cut(places[what][-1])
-        out.append((kind, what, stack[-1][1], stack[-1][2]))
-    return out
+    def __init__(self, page: str):
+        self.tokens: list[tuple[str, str, int]] = []
+        self.above, self.own, self.mark, self.words = [-1], [frozenset()], [-1], [0]
+        stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, number, places of the nearest block and the nearest list or item
+        places: dict[str, list[int]] = {}  # of the open elements of each name
 
+        def cut(k: int) -> None:
+            for e in stack[k:]:
+                places[e[0]].pop()
+            del stack[k:]
 
-class Weights:
-    """Log-odds of names around a word, and costs of tags."""
-
-    def __init__(self):
-        self.inside, self.outside = Counter(), Counter()
-        self.tag_in, self.tag_out = Counter(), Counter()
-        for w in INSIDE:
-            self.inside[w] += 40
-            self.inside["<" + w] += 40
-        for w in OUTSIDE:
-            self.outside[w] += 40
-            self.outside["<" + w] += 40
-        for t in ("a", "li", "ul", "button", "input", "option"):
-            self.tag_out[t] += 20
-        for t in ("p", "br", "b", "i", "em", "strong", "h1", "h2", "h3"):
-            self.tag_in[t] += 20
-        self.around: dict[str, float] = {}
-        self.tags: dict[str, float] = {}
-        self.finish()
-
-    def learn(self, page: str) -> None:
-        """Count a labelled page; pages without an article mark are not labelled."""
-        tokens = runs(page)
-        if not any(t[3] for t in tokens):
-            return
-        for kind, what, around, inside in tokens:
+        for kind, what, tag in tokenize(page):
             if kind == "text":
-                if what.strip():
-                    for a in around:
-                        (self.inside if inside else self.outside)[a] += 1
-            elif kind == "open":
-                (self.tag_in if inside else self.tag_out)[what] += 1
-
-    def finish(self) -> Weights:
-        names = set(self.inside) | set(self.outside)
-        self.around = {a: math.log((self.inside[a] + 2) / (self.outside[a] + 2)) for a in names if a not in ("<article", "<main", "<html", "<body", "<div", "<section", "<span")}
-        tags = set(self.tag_in) | set(self.tag_out)
-        self.tags = {t: -min(6.0, max(0.1, 0.5 + math.log((self.tag_out[t] + 2) / (self.tag_in[t] + 2)))) for t in tags}
-        return self
-
-    def word(self, around: frozenset, inside: bool, marked: bool) -> float:
-        """Score of a word: between -2 and 1. On a page that marks its article, words outside of it are none of it.
-
-        An excluded part of a marked article costs nothing: the article goes on behind it.
-        """
-        known = [self.around[a] for a in around if a in self.around]
-        worst = min(known, default=0.0)
-        if worst < -1.0:  # one part of the page around it is enough
-            return 0.0 if marked and inside else -2.0
-        if marked and not inside:
-            return -2.0
-        return 1.0 if inside else min(1.0, max(0.2, 0.5 + 0.25 * max(known, default=0.0)))
+                if what:
+                    self.tokens.append(("text", what, stack[-1][1]))
+                    if not places.get("a"):
+                        self.words[stack[-1][1]] += len(what.split())
+                continue
+            if kind == "open":
+                if what in CLOSES_P and stack[k := stack[-1][2]][0] == "p":
+                    cut(k)
+                if what == "li" and stack[k := stack[-1][3]][0] == "li":
+                    cut(k)
+                if what not in VOID:
+                    _, up, block, item = stack[-1]
+                    own, number, at = surroundings(what, tag), len(self.above), len(stack)
+                    if what == "header" and self.mark[up] >= 0:
+                        own = own - {"<header"}  # of an article, not of the page
+                    self.above.append(up)
+                    self.own.append(own)
+                    self.mark.append(number if what in MARKS else self.mark[up])
+                    self.words.append(0)
+                    places.setdefault(what, []).append(at)
+                    stack.append((what, number, at if what in BLOCK else block, at if what in ("li", "ul", "ol", "menu") else item))
+            elif places.get(what):
+                cut(places[what][-1])
+            self.tokens.append((kind, what, stack[-1][1]))
+        for i in range(len(self.above) - 1, 0, -1):
+            self.words[self.above[i]] += self.words[i]
+        self.marked = any(self.mark[e] >= 0 and k == "text" and t.strip() for k, t, e in self.tokens)
+
+    def names(self, hidden: bool = False) -> list[frozenset[str]]:
+        """Names around the content of each element; with marks hidden, of pages that mark nothing."""
+        out: list[frozenset[str]] = []
+        outside = frozenset({"!outside"}) if self.marked and not hidden else frozenset()
+        for number, (up, own, mark) in enumerate(zip(self.above, self.own, self.mark, strict=True)):
+            if hidden:
+                own = frozenset("<div" if x[1:] in MARKS else x for x in own if x[0] != "." or x[1:] not in MARKS)
+            around = out[up] if number else outside
+            if number == mark:
+                around = around - outside
+            out.append(around if own <= around else around | own)
+        return out
+
+
+def excluded(names) -> bool:
+    """Do prior weights alone call it no content?"""
+    return any(PRIOR.get(x, 0.0) <= -3 for x in names)
+
+
+PRIOR = {"<" + t: -6.0 for t in OUTSIDE_TAGS} | {"." + w: -6.0 for w in OUTSIDE} | {"~" + w: -3.0 for w in OUTSIDE} | {"." + w: 1.0 for w in INSIDE}
+PRIOR |= {"<article": 3.0, "<main": 3.0, "!outside": -6.0, "<p": 1.0, "<a": -1.0, "<li": -0.5, "<ul": -0.5, "<h1": 0.5, "<h2": 0.5, "<h3": 0.5, "<blockquote": 0.5, "<pre": 0.5}
+
+
+class Weights:
+    """Weights of names around a word, and costs of tags."""
+
+    def __init__(self, around: dict[str, float] | None = None, tags: dict[str, float] | None = None, bias: float = 0.25):
+        self.around, self.tags, self.bias = dict(PRIOR) | (around or {}), tags or {}, bias
+
+    def cost(self, tag: str) -> float:
+        return self.tags.get(tag, 0.5 if tag in ("a", "li", "ul", "button", "input", "option") else 0.1)
+
+    @classmethod
+    def fit(cls, seen: dict[tuple[tuple[str, ...], int], int], tags: dict[tuple[str, int], int], rounds: int = 400, strength: float = 2e-4) -> Weights:
+        """Logistic regression on (names, is it content?) -> words, drawn towards the prior weights; costs from (tag, inside?) -> times."""
+        if not seen:
+            return cls()
+        names = sorted({x for k, _ in seen for x in k})
+        at = {x: i for i, x in enumerate(names)}
+        rows = list(seen)
+        X = np.zeros((len(rows), len(names) + 1))
+        for i, (k, _) in enumerate(rows):
+            X[i, [at[x] for x in k]] = 1
+        X[:, -1] = 1
+        y, n = np.array([c for _, c in rows], float), np.array([seen[r] for r in rows], float)
+        n = n / n.sum()
+        prior = np.array([PRIOR.get(x, 0.0) for x in names] + [0.25])
+        w = prior.copy()
+        rate = 1 / (0.25 * (n[:, None] * X * X.sum(1, keepdims=True)).sum(0) + strength)  # no weight's step exceeds its curvature, so every round goes down
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-X @ w))
+            w -= rate * (X.T @ (n * (p - y)) + strength * (w - prior))
+        ratio = {t: (tags.get((t, 0), 0) + 1) / (tags.get((t, 1), 0) + 1) for t, _ in tags}
+        return cls(dict(zip(names, w[:-1].tolist(), strict=True)), {t: min(1.0, max(0.05, 0.25 + 0.25 * math.log(r))) for t, r in ratio.items()}, float(w[-1]))
+
+    def scores(self, page: Page) -> list[float]:
+        """Score of a word in each element."""
+        total = max(page.words[0], 1)
+        out, sums, around = [], [], page.names()
+        for number, (up, own, mark) in enumerate(zip(page.above, page.own, page.mark, strict=True)):
+            before = around[up] if number else frozenset()
+            plus, minus = sums[up] if number else (max(self.bias, 0.0), min(self.bias, 0.0))
+            for x in own - before:
+                w = self.around.get(x, 0.0)
+                if w > 0:
+                    plus += w
+                else:
+                    minus += w * (1.0 if x[0] == "<" else min(1.0, 2 - 2 * page.words[number] / total))
+            sums.append((plus, minus))
+            out.append(max(-2.0, min(1.0, min(plus, MOST) + minus + (self.around["!outside"] if "!outside" in around[number] else 0.0))))
+        return out
+
+
+def statistics(page: str, seen: Counter, tags: Counter) -> None:
+    """Count a labelled page; pages without a marked article are not labelled."""
+    p = Page(page)
+    if not p.marked:
+        return
+    for hidden in (False, True):
+        around = p.names(hidden)
+        memo: dict[int, tuple] = {}
+        for kind, what, e in p.tokens:
+            inside = int(p.mark[e] >= 0)
+            if kind == "text" and (n := len(what.split())):
+                if e not in memo:
+                    memo[e] = tuple(sorted(around[e]))
+                if not (inside and excluded(around[e])):
+                    seen[memo[e], inside] += n
+            elif kind == "open" and not hidden:
+                tags[what, inside] += 1
 
 
 def extract(page: str | None, weights: Weights) -> str:
     """The text of the best contiguous region."""
     if not page:
         return ""
-    tokens = runs(page)
-    marked = any(t[3] and t[0] == "text" and t[1].strip() for t in tokens)
-    scores, memo = [], {}
-    for kind, what, around, inside in tokens:
-        key = (around, inside)
-        w = memo.get(key)
-        if w is None:
-            w = memo[key] = weights.word(around, inside, marked)
+    p = Page(page)
+    score = weights.scores(p)
+    # the outermost element that is left out, for each element in one
+    part: list[int] = []
+    for e, s in enumerate(score):
+        up = part[p.above[e]] if e else -1
+        part.append((up if up >= 0 else e) if s <= 0 else -1)
+    best, best_at, total, start, spent = 0.0, (0, 0), 0.0, 0, Counter()
+    for i, (kind, what, e) in enumerate(p.tokens):
         if kind == "text":
-            scores.append(w * len(what.split()))
-        elif kind == "open":
-            # a tag of a marked article costs nothing, or a row of them would cut off what follows
-            scores.append(0.0 if marked and inside else weights.tags.get(what, -1.0))
+            s = score[e] * len(what.split())
+            if s < 0:
+                s = 0.0 if p.mark[e] >= 0 else max(s, spent[part[e]] - PART)
+                spent[part[e]] -= s
         else:
-            scores.append(0.0)
-    best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, s in enumerate(scores):
+            # a tag of a marked article costs nothing, or a row of them would cut off what follows; nor does one of a part that is left out
+            s = -weights.cost(what) if kind == "open" and p.mark[e] < 0 and part[e] < 0 else 0.0
         if total <= 0:
             total, start = 0.0, i
         total += s
@@ -231,9 +293,9 @@ def extract(page: str | None, weights: Weights) -> str:
             blocks.append(text)
         line.clear()
 
-    for kind, what, around, inside in tokens[best_at[0] : best_at[1]]:
+    for kind, what, e in p.tokens[best_at[0] : best_at[1]]:
         if kind == "text":
-            if memo[around, inside] > 0:
+            if score[e] > 0:
                 line.append(html.unescape(what))
         elif what in BLOCK:
             close()
@@ -243,15 +305,28 @@ def extract(page: str | None, weights: Weights) -> str:
     return "\n\n".join(blocks)
 
 
+def _statistics_fn(it):
+    for batch in it:
+        seen, tags = Counter(), Counter()
+        for page in batch.column(0).to_pylist():
+            statistics(page, seen, tags)
+        rows = [("\n".join(k), c, n) for (k, c), n in seen.items()] + [("\t" + t, c, n) for (t, c), n in tags.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["names", "inside", "n"])
+
+
 def train(pages: DataFrame, id_col="page_id", html_col="html", limit: int = TRAIN_PAGES) -> Weights:
-    """Learn from about `limit` labelled pages drawn by id, 1.3 x limit at most."""
+    """Learn from about `limit` labelled pages drawn by id; only counts reach the driver."""
     labelled = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]") & F.col(id_col).isNotNull())
     n = pages.count()
-    got = labelled.where(unit_hash(F.col(id_col)) < F.lit(1.15 * limit / max(n, 1))).select(id_col, html_col).limit(int(1.3 * limit)).toPandas()
-    w = Weights()
-    for page in got[html_col]:
-        w.learn(page)
-    return w.finish()
+    sample = labelled.where(unit_hash(F.col(id_col)) < F.lit(1.15 * limit / max(n, 1))).select(html_col)
+    got: pd.DataFrame = sample.mapInArrow(_statistics_fn, "names string, inside int, n long").groupBy("names", "inside").agg(F.sum("n").alias("n")).toPandas()
+    seen, tags = {}, {}
+    for names, inside, count in sorted(zip(got["names"], got["inside"], got["n"], strict=True)):
+        if names.startswith("\t"):
+            tags[names[1:], inside] = count
+        else:
+            seen[tuple(names.split("\n")), inside] = count
+    return Weights.fit(seen, tags)
 
 
 def extract_pages(pages: DataFrame, weights: Weights, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
