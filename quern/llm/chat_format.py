@@ -7,13 +7,14 @@ strings inside texts and roles are escaped, so the output can be read back exact
 the loss mask is the text between the marks of assistant turns.
 
 A turn is formatted on its own; turns of a conversation follow one another by turn,
-role and text. Reading back streams through the sorted rows and holds one turn at a
+role and text. Reading back streams through the joined turns and holds about a megabyte or one turn at a
 time, so a conversation may have any number of turns.
 
-Edge cases: null text and null role are empty strings; a role without marks of its own
+Edge cases: null text and null role are empty strings, null and empty lists of messages have no turns; a role without marks of its own
 is written out. Null turn numbers come last. Rows with a null conversation id form one
-conversation. Repeated rows are turns of their own. A record of unknown layout has no
-turns. An empty table gives an empty result.
+conversation. Repeated rows are turns of their own. A record that is not just one of the layouts loses nothing: it
+is given back whole, without a layout (a table raises an error). Fields that no layout names are not turns. Of tables of turn rows other columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +36,11 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Layout:
-    """fields: (role, path) of single texts in order; or a list of messages at `path` with keys for role and text."""
+    """fields: (role, path) of single texts in order, a path that may be missing with "?" behind it; then a list of
+    messages at `path` with keys for role and text.
+
+    A message's text may also be a list of parts with a text each, and calls of tools may stand beside it.
+    """
 
     name: str
     fields: tuple[tuple[str, str], ...] = ()
@@ -43,26 +49,38 @@ class Layout:
     text: str = ""
     rows: tuple[str, ...] = ()  # conversation id, turn, role and text columns of a table with a row for each turn
 
-    def paths(self) -> frozenset[str]:
+    def variants(self) -> Iterator[frozenset[str]]:
+        """Every set of paths that is this layout."""
         if self.rows:
-            return frozenset(self.rows)
+            yield frozenset(self.rows)
+            return
+        must = frozenset(p for _, p in self.fields if p[-1] != "?")
+        may = [p[:-1] for _, p in self.fields if p[-1] == "?"]
+        lists: list[frozenset[str]] = [frozenset()]
         if self.path:
-            return frozenset({f"{self.path}[].{self.role}", f"{self.path}[].{self.text}"})
-        return frozenset(p for _, p in self.fields)
-
-
+            m = f"{self.path}[]."
+            part = frozenset({f"{m}{self.text}[].type", f"{m}{self.text}[].text"})
+            texts = [frozenset({m + self.text}), part, part | {m + self.text}, frozenset()]
+            lists = [frozenset({m + self.role}) | t | c for t in texts for c in (frozenset(), frozenset({m + TOOLS})) if t or c]
+            lists += [frozenset({self.path}), frozenset({f"{self.path}[]"})]  # null and the empty list
+        for k in range(len(may) + 1):
+            for some in combinations(may, k):
+                for listed in lists:
+                    yield must | frozenset(some) | listed
+
+
+TOOLS = "tool_calls"
 LAYOUTS = (
     Layout("turn rows", rows=("conv_id", "turn", "role", "text")),
-    Layout("messages", path="messages", role="role", text="content"),
-    Layout("conversations", path="conversations", role="from", text="value"),
-    Layout("dialogue", path="dialogue", role="speaker", text="text"),
+    Layout("messages", (("system", "system?"),), path="messages", role="role", text="content"),
+    Layout("conversations", (("system", "system?"),), path="conversations", role="from", text="value"),
+    Layout("dialogue", (("system", "system?"),), path="dialogue", role="speaker", text="text"),
     Layout("nested messages", path="data.messages", role="role", text="content"),
-    Layout("prompt and completion", fields=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("prompt and response", fields=(("user", "prompt"), ("assistant", "response"))),
-    Layout("system, prompt and response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Layout("instruction", fields=(("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction and input", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("question and answer", fields=(("user", "question"), ("assistant", "answer"))),
+    Layout("prompt and completion", (("system", "system?"), ("user", "prompt"), ("assistant", "completion"))),
+    Layout("prompt and response", (("system", "system?"), ("user", "prompt"), ("assistant", "response"))),
+    Layout("instruction", (("system", "system?"), ("user", "instruction"), ("user", "input?"), ("assistant", "output"))),
+    Layout("instruction and response", (("system", "system?"), ("user", "instruction"), ("user", "input?"), ("assistant", "response"))),
+    Layout("question and answer", (("system", "system?"), ("user", "question"), ("assistant", "answer"))),
 )
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "prompter": "user"}
 
@@ -74,34 +92,36 @@ def fingerprint(paths) -> str:
 
 class Registry:
     def __init__(self, layouts=LAYOUTS):
-        self.known = frozenset().union(*(x.paths() for x in layouts))
-        self.by_hash = {fingerprint(x.paths()): x for x in layouts}
+        sets = [(v, x) for x in layouts for v in x.variants()]
+        self.by_hash = {fingerprint(v): x for v, x in sets}
+        self.rows = [v for v, x in sets if x.rows]
+        self.known = frozenset().union(*(v for v, x in sets if not x.rows))
 
     def select(self, paths) -> Layout | None:
-        """The layout whose paths are those of `paths` that any layout names; else one whose own are all there, the largest."""
-        named = self.known & set(paths)
-        if got := self.by_hash.get(fingerprint(named)):
-            return got
-        inside = [x for x in self.by_hash.values() if x.paths() <= named]
-        return max(inside, key=lambda x: (len(x.paths()), x.name), default=None)
+        """The layout whose paths are just those of `paths` that any layout names; fields that none names are not turns.
+
+        A row for each turn is known by its columns, whatever others there are.
+        """
+        named = next((v for v in self.rows if v <= set(paths)), self.known & set(paths))
+        return self.by_hash.get(fingerprint(named))
 
 
 def record_paths(value, prefix: str = "") -> set[str]:
-    """Nested field paths of a parsed record; a list's elements share "[]". Null fields count as missing."""
+    """Nested field paths of a parsed record; a list's elements share "[]". A null field is there, and calls of tools are one field."""
     if isinstance(value, dict):
         out: set[str] = set()
         for k, v in value.items():
-            out |= record_paths(v, f"{prefix}.{k}" if prefix else str(k))
+            out |= {f"{prefix}.{k}"} if k == TOOLS else record_paths(v, f"{prefix}.{k}" if prefix else str(k))
         return out
     if isinstance(value, list):
         return set().union(*(record_paths(v, prefix + "[]") for v in value)) if value else {prefix + "[]"}
-    return set() if value is None else {prefix}
+    return {prefix}
 
 
 def schema_paths(kind: T.DataType, prefix: str = "") -> set[str]:
     """Nested field paths of a table's schema."""
     if isinstance(kind, T.StructType):
-        return set().union(*(schema_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name) for f in kind.fields)) if kind.fields else set()
+        return set().union(*({f"{prefix}.{f.name}"} if f.name == TOOLS else schema_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name) for f in kind.fields)) if kind.fields else set()
     if isinstance(kind, T.ArrayType):
         return schema_paths(kind.elementType, prefix + "[]")
     return {prefix}
@@ -118,27 +138,44 @@ def _role(name) -> str:
     return ROLES.get(name.lower(), name)
 
 
+def _text(value) -> str:
+    """A text, or the texts of a list of parts; what is neither, as JSON."""
+    if isinstance(value, list):
+        return "\n".join(x["text"] if isinstance(x, dict) and isinstance(x.get("text"), str) and x.get("type", "text") == "text" else _text(x) for x in value)
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+
+
+def _message(message, layout: Layout) -> tuple[str, str]:
+    if not isinstance(message, dict):
+        return "", _text(message)
+    parts = [_text(message.get(layout.text))] + ([json.dumps(message[TOOLS], ensure_ascii=False)] if message.get(TOOLS) else [])
+    return _role(message.get(layout.role)), "\n".join(p for p in parts if p)
+
+
 def record_turns(record, registry: Registry) -> tuple[str | None, list[tuple[str, str]]]:
     """(layout, turns) of one parsed record."""
-    layout = registry.select(record_paths(record))
+    layout = registry.select(record_paths(record)) if isinstance(record, dict) else None
     if layout is None or layout.rows:
         return None, []
-    text = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
-    if layout.path:
-        items = _at(record, layout.path)
-        return layout.name, [(_role(m.get(layout.role)), text(m.get(layout.text))) for m in items if isinstance(m, dict)]
     turns: list[tuple[str, str]] = []
     for role, path in layout.fields:
-        value = text(_at(record, path))
+        if path[-1] == "?" and path[:-1] not in record:
+            continue
+        value = _text(_at(record, path.rstrip("?")))
         if turns and turns[-1][0] == role:  # two fields of one turn
             turns[-1] = (role, turns[-1][1] + ("\n\n" + value if value else ""))
         else:
             turns.append((role, value))
+    if layout.path:
+        turns += [_message(m, layout) for m in _at(record, layout.path) or []]
     return layout.name, turns
 
 
 def json_turns(df: DataFrame, id_col: str, json_col: str, layouts=LAYOUTS) -> DataFrame:
-    """(conv_id, turn, role, text, layout) of records in a column of JSON strings; others have no rows."""
+    """(conv_id, turn, role, text, layout) of records in a column of JSON strings.
+
+    What is no record of a known layout is one row with its JSON as text and no turn, role or layout; null has no rows.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(it):
@@ -146,12 +183,13 @@ def json_turns(df: DataFrame, id_col: str, json_col: str, layouts=LAYOUTS) -> Da
         for batch in it:
             ids, rows = batch.column(0), []
             for i, s in enumerate(batch.column(1).to_pylist()):
-                try:
-                    record = json.loads(s) if s else None
-                except ValueError:
+                if s is None:
                     continue
-                name, turns = record_turns(record, registry)
-                rows += [(i, k, r, t, name) for k, (r, t) in enumerate(turns)]
+                try:
+                    name, turns = record_turns(json.loads(s), registry)
+                except (ValueError, RecursionError):
+                    name, turns = None, []
+                rows += [(i, k, r, t, name) for k, (r, t) in enumerate(turns)] if name else [(i, None, None, s, None)]
             col = lambda k, kind: pa.array([r[k] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([ids.take(col(0, pa.int64())), col(1, pa.int64()), col(2, pa.string()), col(3, pa.string()), col(4, pa.string())], ["conv_id", "turn", "role", "text", "layout"])
 
@@ -167,18 +205,35 @@ def table_turns(df: DataFrame, id_col: str = "conv_id", layouts=LAYOUTS) -> Data
         conv, turn, role, text = (F.col(c) for c in layout.rows)
         return df.select(conv.alias("conv_id"), turn.cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    if layout.path:
-        e = df.select(F.col(id_col).alias("conv_id"), F.posexplode(F.col(layout.path)).alias("turn", "m"))
-        role = F.col("m")[layout.role]
-        return e.select("conv_id", F.col("turn").cast("long"), F.coalesce(known[F.lower(role)], role).alias("role"), F.col("m")[layout.text].alias("text"))
-    parts: list[tuple[str, list]] = []
+    there, parts = schema_paths(df.schema), []
     for role, path in layout.fields:
-        if parts and parts[-1][0] == role:
-            parts[-1][1].append(F.when(F.col(path) != "", F.col(path)))
-        else:
-            parts.append((role, [F.col(path)]))
-    turns = F.array(*[F.struct(F.lit(r).alias("role"), F.concat_ws("\n\n", *p).alias("text")) for r, p in parts])
-    return df.select(F.col(id_col).alias("conv_id"), F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
+        if path.rstrip("?") in there:
+            field = F.coalesce(F.col(path.rstrip("?")), F.lit(""))
+            if parts and parts[-1][0] == role:
+                parts[-1][1].append(F.when(field != "", field))
+            else:
+                parts.append((role, [field]))
+    turn = lambda role, text: F.struct(role.cast("string").alias("role"), text.cast("string").alias("text"))
+    turns = [F.array(*[turn(F.lit(r), F.concat_ws("\n\n", *p)) for r, p in parts])] if parts else []
+    if layout.path:
+        item = f"{layout.path}[]."
+        parted = f"{item}{layout.text}[].text" in there
+
+        def message(m):
+            text = []
+            if parted:
+                text.append(F.array_join(F.transform(m[layout.text], lambda x: F.when(F.coalesce(x["type"], F.lit("text")) == "text", F.coalesce(x["text"], F.lit(""))).otherwise(F.to_json(x))), "\n"))
+            elif item + layout.text in there:
+                text.append(m[layout.text])
+            if item + TOOLS in there:
+                text.append(F.when(F.size(m[TOOLS]) > 0, F.to_json(m[TOOLS])))
+            text = [F.when(x != "", x) for x in text]
+            role = m[layout.role]
+            return turn(F.coalesce(known[F.lower(role)], role, F.lit("")), F.concat_ws("\n", *text))
+
+        turns.append(F.transform(F.coalesce(F.col(layout.path), F.array()), message))
+    e = df.select(F.col(id_col).alias("conv_id"), F.posexplode(F.concat(*turns)).alias("turn", "m"))
+    return e.select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
 
 
 # ---------------------------------------------------------------- template
@@ -205,14 +260,33 @@ def format_turn(role: str | None, text: str | None) -> str:
     return OTHER[0] + escape(role) + OTHER[1] + escape(text) + OTHER[2]
 
 
-def read_turns(formatted: str) -> Iterator[tuple[str, str, tuple[int, int] | None]]:
-    """(role, text, span of the text under the loss mask or None) of each turn in a formatted string."""
-    for m in _TURN.finditer(formatted):
-        kind = m.lastgroup
-        if kind == "other":
-            yield unescape(m["role"]), unescape(m["other"]), None
-        else:
-            yield kind, unescape(m[kind]), m.span(kind) if kind == "assistant" else None
+class Reader:
+    """Reads a formatted string back that comes in pieces, cut anywhere: what is held is the turn that is not yet complete."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str, bool]]:
+        """(role, text, is the text under the loss mask?) of the turns that are complete now."""
+        held, at = self.rest + piece, 0
+        while m := _TURN.match(held, at):
+            kind, at = m.lastgroup, m.end()
+            if kind == "other":
+                yield unescape(m["role"]), unescape(m["other"]), False
+            else:
+                yield kind, unescape(m[kind]), kind == "assistant"
+        self.rest = held[at:]
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError(f"this cannot be read back as turns: {self.rest[:80]!r}")
+
+
+def read_turns(formatted: str) -> Iterator[tuple[str, str, bool]]:
+    """(role, text, is the text under the loss mask?) of each turn in a formatted string."""
+    reader = Reader()
+    yield from reader.feed(formatted)
+    reader.close()
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -235,10 +309,21 @@ def digests(formatted: DataFrame) -> DataFrame:
     rows = formatted.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "formatted")
 
     def run(it):
-        now, state, done = None, None, []
+        now, state, done, reader = None, None, [], Reader()
+
+        def read(pieces: list[str]):
+            whole = "".join(pieces)  # turns that follow one another are read as one string
+            for role, text, masked in reader.feed(whole):
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+                if masked:
+                    state[2] += len(text)
+                    state[3].update(text.encode("utf-8", "replace"))
+            state[4] += len(whole)
 
         def close():
             if state:
+                reader.close()
                 done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         def batch_of(rows):
@@ -247,19 +332,20 @@ def digests(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
         for batch in it:
-            ids = batch.column(0)
+            ids, held, size = batch.column(0), [], 0
             for conv, piece in zip(ids.to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if state is None or conv != now:
+                    if held:
+                        read(held)
                     close()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, span in read_turns(piece):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
-                    if span:
-                        masked = unescape(piece[span[0] : span[1]])
-                        state[2] += len(masked)
-                        state[3].update(masked.encode("utf-8", "replace"))
-                state[4] += len(piece)
+                    now, state, held, size = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], [], 0
+                held.append(piece)
+                size += len(piece)
+                if size > 1 << 20:
+                    read(held)
+                    held, size = [], 0
+            if held:
+                read(held)
             if done:
                 yield batch_of(done)
                 done = []
