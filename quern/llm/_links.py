@@ -3,7 +3,7 @@
 Rows (bucket, key) say which buckets a key is in. Two keys are compared in every
 bucket that both are in, but a link counts only in the first of these (the smallest
 bucket number), so no pair is counted twice and none has to be written down. A bucket
-larger than BLOCK is cut into blocks, and each pair of blocks is a unit of its own:
+larger than BLOCK, or whose payloads exceed BLOCK_BYTES, is cut into blocks, and each pair of blocks is a unit of its own:
 any bucket is compared in whole, and no task holds more than two blocks. A unit gives
 at most one row per key: the number of links, and one neighbour in a tree that joins
 all keys its links connect.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._common import drop, stage
 
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -56,6 +56,9 @@ def _units_fn(similar: Callable, count: bool):
             np.fill_diagonal(ok, False)
         if not ok.any():
             return None
+        if not count:
+            got = np.concatenate([ok.any(1), ok.any(0)]) if two else ok.any(1)
+            return keys[got], np.zeros(int(got.sum()), np.int64), keys[got]
         # pairs that share a smaller bucket were compared there
         lists = t.column("leaves").combine_chunks()
         flat = lists.flatten().to_numpy()
@@ -71,9 +74,6 @@ def _units_fn(similar: Callable, count: bool):
             new = ok
         if not new.any():
             return None
-        if not count:
-            got = np.concatenate([new.any(1), new.any(0)]) if two else new.any(1)
-            return keys[got], np.zeros(int(got.sum()), np.int64), keys[got]
         w = t.column("weight").to_numpy().astype(float)
         n = np.concatenate([new @ w[cols], new.T @ w[rows]]) if two else new @ w
         if two:
@@ -129,26 +129,38 @@ def _units_fn(similar: Callable, count: bool):
     return run
 
 
-def compare(members: DataFrame, payloads: DataFrame, similar: Callable, count: bool = True, block: int = BLOCK) -> DataFrame:
-    """(leaf, key, links, peer) from members (leaf, key; distinct) and payloads (key, payload, weight).
+def compare(members: DataFrame, payloads: DataFrame, similar: Callable, count: bool = True, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(leaf, key, links, peer) from members (leaf, key; distinct) and payloads (key, payload, weight, and bytes if they differ).
 
     members must be staged. similar(payloads, split), with an Arrow array of payloads, gives the boolean matrix of the
     first `split` payloads against the others, or of all against all. With count the
-    links are summed by weight; without, it only says which (leaf, key) have a link.
+    links are summed by weight; without, it only says which (leaf, key) have a link, in one bucket or another.
     """
-    sizes = stage(members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    size = [F.count(F.lit(1)).alias("n")]
+    with_size = members
+    if "bytes" in payloads.columns:
+        with_size = members.join(payloads.select("key", "bytes").hint("merge"), "key")
+        size.append(F.sum("bytes").alias("bytes"))
+    sizes = with_size.groupBy("leaf").agg(*size).where("n > 1")
+    parts = F.ceil(F.col("n") / F.lit(float(block)))
+    if "bytes" in payloads.columns:
+        parts = F.greatest(parts, F.ceil(F.col("bytes") / F.lit(float(block_bytes))))
+    sizes = stage(sizes.select("leaf", F.least(parts, F.col("n")).cast("int").alias("nb")))
     placed = stage(members.join(sizes, "leaf"))
-    lists = placed.groupBy("key").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # as many as a key has buckets, a constant
-    own = payloads.join(lists, "key")
-    nb = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
+    own = payloads.select("key", "payload", "weight") if count else payloads.select("key", "payload")
+    if count:
+        lists = placed.groupBy("key").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # as many as a key has buckets, a constant
+        own = own.join(lists, "key")
     mine = F.pmod(F.xxhash64("key", "leaf"), F.col("nb")).cast("int")
     units = F.transform(
         F.sequence(F.lit(0), F.col("nb") - 1),
-        lambda o: F.struct(F.least(o, F.col("b")).cast("long").alias("i"), F.greatest(o, F.col("b")).cast("long").alias("j"), (F.col("b") > o).cast("long").alias("side")),
+        lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j"), (F.col("b") > o).cast("byte").alias("side")),
     )
-    rows = placed.withColumn("nb", nb).withColumn("b", mine).select("leaf", "key", F.explode(units).alias("u")).select("leaf", "key", "u.i", "u.j", "u.side")
-    rows = rows.join(own, "key").select("leaf", "i", "j", "side", "key", "weight", "leaves", "payload")
-    rows = rows.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
+    # the units of a bucket go to one partition after another, so those of a large one do not meet
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to = F.pmod(F.xxhash64("leaf") % F.lit(1 << 40) + F.col("u.i").cast("long") * F.col("nb") + F.col("u.j"), F.lit(tasks)).cast("int")
+    rows = placed.withColumn("b", mine).select("leaf", "key", "nb", F.explode(units).alias("u")).select("leaf", "key", "u.i", "u.j", "u.side", to.alias("to"))
+    rows = rows.join(own, "key").repartitionById(tasks, "to").drop("to").sortWithinPartitions("leaf", "i", "j")
     out = stage(rows.mapInArrow(_units_fn(similar, count), "leaf long, key long, links long, peer long"))
     drop(sizes, placed)
     return out
@@ -190,17 +202,19 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return labels
 
 
-def classes(rows: DataFrame, reps: DataFrame, found: DataFrame, id_col: str, label="component_id") -> DataFrame:
-    """One row per row of `rows` (id, key): n_links, the smallest id of its component, kept."""
+def classes(rows: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per row of `rows` (id, key): id, key, n_links, the smallest id of its component, kept, and whether its key stands for the component.
+
+    A component is stood for by the smallest key among those that its smallest id has.
+    """
     sums = found.groupBy("key").agg(F.sum("links").alias("links"))
     comp = components(found.select("key", "peer"))
     first = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first"))
     rep = reps.join(sums, "key", "left").join(comp, "key", "left").join(first, "key")
     rep = stage(rep.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "key").alias("label"), "first"))
-    least = stage(rep.groupBy("label").agg(F.min("first").alias("least")))
-    rep = stage(rep.join(least, "label").select("key", "n_links", "least"))
-    out = rows.join(rep, "key", "left")
-    to = F.coalesce("least", "id").cast("long")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), to.alias(label), F.coalesce(F.col("id") == to, F.lit(True)).alias("kept")
+    least = stage(rep.groupBy("label").agg(F.min(F.struct("first", "key")).alias("least")))
+    rep = stage(rep.join(least, "label").select("key", "n_links", F.col("least.first").alias("least"), (F.col("key") == F.col("least.key")).alias("stands")))
+    to = F.coalesce("least", "id")
+    return rows.join(rep, "key", "left").select(
+        "id", "key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), to.alias("label"), F.coalesce(F.col("id") == to, F.lit(True)).alias("kept"), F.coalesce("stands", F.lit(True)).alias("stands")
     )

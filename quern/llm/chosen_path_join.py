@@ -27,21 +27,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm._common import drop, stage
 from quern.llm._links import BLOCK, classes, compare
 
 SKETCH = 32
 LIMIT = 128
-LEVELS = 3
+LEAST_LEVELS = 3
 TARGET_RECALL = 0.999
 _A = np.random.default_rng(99).integers(1, 1 << 62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(98).integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 
 
-def runs_needed(threshold: float, levels: int = LEVELS, target: float = TARGET_RECALL) -> int:
+def levels_for(sets: int) -> int:
+    """Levels that split what a tenth of their tokens holds together, a tenth a level, until buckets are small."""
+    return max(LEAST_LEVELS, math.ceil(math.log10(max(sets, 1))) - 3)
+
+
+def runs_needed(threshold: float, levels: int = LEAST_LEVELS, target: float = TARGET_RECALL) -> int:
     """Runs until a pair at the threshold has met with the target probability.
 
     A level samples one value, and a second one with probability 1 / threshold - 1.
@@ -74,7 +80,8 @@ def _sketch_fn(n: int):
                         v >>= np.uint64(32)
                         out[some, k] = np.minimum.reduceat(v.astype(np.uint32), starts).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SKETCH, pa.int32()), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.int64()), lists], ["id", "key", "sketch"])
+                size = pa.array([8 * len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.int64()), lists, size], ["id", "key", "sketch", "bytes"])
 
     return run
 
@@ -138,7 +145,7 @@ def jaccard(threshold: float, columns: int = 4096):
     return similar
 
 
-def buckets(reps: DataFrame, threshold: float, limit: int = LIMIT, levels: int = LEVELS, target: float = TARGET_RECALL) -> DataFrame:
+def buckets(reps: DataFrame, threshold: float, limit: int = LIMIT, levels: int = LEAST_LEVELS, target: float = TARGET_RECALL) -> DataFrame:
     """Staged (leaf, key): the buckets in which the chosen paths of all runs end; reps is (key, sketch)."""
     runs = runs_needed(threshold, levels, target)
     extra = 1 / threshold - 1
@@ -165,15 +172,14 @@ def buckets(reps: DataFrame, threshold: float, limit: int = LIMIT, levels: int =
     return stage(out)
 
 
-def join(df: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8, words: int = 5, limit: int = LIMIT, levels: int = LEVELS, target: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
-    """Classes of documents whose shingle sets reach the Jaccard threshold."""
+def _classified(df: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8, words: int = 5, limit: int = LIMIT, levels: int | None = None, target: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = docs.mapInArrow(_sketch_fn(words), f"id {kind}, key long, sketch array<int>")
+    base = docs.mapInArrow(_sketch_fn(words), f"id {kind}, key long, sketch array<int>, bytes long")
     base = stage(base.withColumn("key", F.when(F.col("id").isNotNull(), F.col("key"))))
-    reps = base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first"), F.first("sketch").alias("sketch"))
+    reps = base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first"), F.first("sketch").alias("sketch"), F.first("bytes").alias("bytes"))
     reps = stage(reps)
-    ends = buckets(reps, threshold, limit, levels, target)
+    ends = buckets(reps, threshold, limit, levels or levels_for(reps.count()), target)
     close = compare(ends, reps.select("key", "weight", F.col("sketch").alias("payload")), likely(threshold), count=False, block=block)
     drop(ends)
     members = stage(close.select("leaf", "key").distinct())  # each pair of blocks of a large bucket names its keys anew
@@ -181,19 +187,54 @@ def join(df: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8
     # texts are dealt by id at every size: a plan that broadcasts small id lists would change with the input
     sets = docs.join(wanted.distinct().hint("merge"), "id", "left_semi").select("text").mapInArrow(_sets_fn(words), "key long, payload array<long>")
     sets = sets.groupBy("key").agg(F.first("payload").alias("payload"))
-    found = compare(members, sets.join(reps.select("key", "weight"), "key"), jaccard(threshold), block=block)
+    found = compare(members, sets.join(reps.select("key", "weight", "bytes"), "key"), jaccard(threshold), block=block)
     drop(close, members)
-    return classes(base.select("id", "key"), reps.select("key", "weight"), found, id_col, "class_id")
+    return classes(base.select("id", "key"), reps.select("key", "weight"), found)
+
+
+def join(df: DataFrame, id_col="doc_id", text_col="text", **settings) -> DataFrame:
+    """Classes of documents whose shingle sets reach the Jaccard threshold (settings: threshold, words, limit, levels, target, block)."""
+    return _classified(df, id_col, text_col, **settings).select(F.col("id").alias(id_col), "n_links", F.col("label").alias("class_id"), "kept")
+
+
+def _keys_fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, id, key) of (row, id, text)."""
+    from quern.llm._hash import text_key, word_hashes
+    from quern.llm._words import batches
+
+    for batch in it:
+        texts, keys = [t or "" for t in batch.column(2).to_pylist()], []
+        for a, b in batches(texts):
+            words, at = word_hashes(texts[a:b])
+            keys += [text_key(words[i:j]) if j > i else None for i, j in zip(at, at[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["row", "id", "key"])
 
 
 def keep_one(df: DataFrame, id_col="doc_id", text_col="text", **settings) -> DataFrame:
-    """The rows of df without the near copies: of each class the document with the smallest id stays."""
-    kept = stage(join(df, id_col, text_col, **settings).where(f"kept and {id_col} is not null").select(id_col))
-    out = df.join(kept.distinct().hint("merge"), id_col, "left_semi").select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
-    if kept.groupBy(id_col).count().where("count > 1").isEmpty():
-        return out
-    # ids that repeat: one row of each stays
-    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+    """The rows of df without the near copies: of each class the document with the smallest id stays.
+
+    Rows with null ids or without words stay. Of rows that repeat an id, each is judged by
+    its own text: another text is another document, and of equal ones the smallest row stays.
+    """
+    all_rows = stage(_classified(df, id_col, text_col, **settings))
+    named = all_rows.where("id is not null")
+    again = stage(named.groupBy("id").count().where("count > 1").select("id"))
+    kept = named.where("kept and stands").select("id").distinct()
+    here_id = F.col(f"`{id_col}`")
+    here = lambda ids: here_id == ids["id"]
+    out = df.join(kept.hint("merge"), here(kept), "left_semi")
+    if again.isEmpty():
+        return out.unionByName(df.where(here_id.isNull()))
+    out = out.join(again.hint("merge"), here(again), "left_anti")
+    rest = df.join(again.hint("merge"), here(again), "left_semi")
+    whole = rest.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), here_id.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kinds = T.StructType([*whole.drop("text").schema.fields, T.StructField("key", T.LongType())])
+    rest = whole.mapInArrow(_keys_fn, kinds)
+    stays = named.where("kept and stands and key is not null").select("id", "key").distinct()
+    alone = rest.where("key is null")
+    first = rest.where("key is not null").join(stays.hint("merge"), ["id", "key"], "left_semi").withColumn("text_of_row", F.to_json("row"))
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("id", "key").orderBy("text_of_row"))).where("place = 1")
+    return out.unionByName(alone.select("row.*")).unionByName(first.select("row.*")).unionByName(df.where(here_id.isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
