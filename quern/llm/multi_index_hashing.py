@@ -8,16 +8,18 @@ r = m s + a over m substrings, any code within r agrees with the query to within
 on one of the first a + 1 substrings or to within s - 1 on another; probing all those
 values therefore retrieves every code within the radius. These are reranked by exact
 Euclidean distance in double precision. The radius is the one within which `target` of
-the sample's true neighbours lie; in a larger table true neighbours are nearer still.
-
-Every row is indexed, in shards of SHARD rows; the stated queries meet each shard in
-blocks of QUERIES. A shard that has fewer than k codes within the radius is ranked in
-whole, so a query gets k neighbours wherever there are k candidates.
-
-Edge cases: vectors that are null, zero, of another length than most, or with null or
-non-finite components take no part, as query or candidate; neither do null ids. A
-query's own row is no candidate, other rows with its id are. Ties go to the smaller id.
-Fewer candidates than k: all are given. An empty table gives an empty result.
+the true neighbours of PROBES drawn vectors lie, found among all rows.
+
+Every row is indexed once, in shards of at most about SHARD rows that one task each
+holds; the stated queries pass by every shard. Queries with fewer than k codes within
+the radius are ranked against all rows, so a query gets k neighbours wherever there are
+k candidates.
+
+Edge cases: vectors that are null, zero or with null or non-finite components take no
+part, as query or candidate; neither do null ids. Vectors are searched among those of
+their own length. A query's own row is no candidate, other rows with its id are. Ties
+go to the smaller id. Fewer candidates than k: all are given. An empty table gives an
+empty result. Only id and vector are read.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ from quern.llm._common import stage, unit_hash
 from quern.llm.spherical_filters import valid_vector
 
 BITS, SUB = 128, 16
-SHARD, QUERIES = 32_768, 1024
-SAMPLE = 6000
-TARGET = 0.985
+SHARD, LEAST_SHARD = 262_144, 4096
+SAMPLE, PROBES = 6000, 256
+TARGET = 0.975
 
 
 class BinaryCode:
@@ -61,19 +63,6 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def learn(X: np.ndarray, k: int, target: float = TARGET, bits: int = BITS) -> tuple[BinaryCode, int]:
-    """The code, and the radius that holds `target` of the true neighbours within the sample."""
-    code = BinaryCode(X, bits)
-    C, far = code.encode(X), []
-    for i in range(0, len(X), max(1, len(X) // 300)):
-        d = ((X - X[i]) ** 2).sum(1)
-        d[i] = np.inf
-        near = np.argsort(d)[: min(k, len(X) - 1)]
-        far.append(hamming(C[near], C[i]))
-    far = np.concatenate(far) if far else np.zeros(0)
-    return code, int(np.ceil(np.quantile(far, target))) if len(far) else bits
-
-
 def _masks() -> list[np.ndarray]:
     """All 16-bit masks with at most s bits, for s = 0, 1, ..."""
     out, level = [], [0]
@@ -116,50 +105,116 @@ class Index:
         return rows[hamming(self.codes[rows], query) <= radius]
 
 
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy().astype(np.float64).reshape(-1, dims)
+
+
+def _probes_fn(code: BinaryCode, P: np.ndarray, own: np.ndarray, k: int):
+    """(probe, distance, Hamming distance) of the k nearest of each batch of (row, vector)."""
+    asked = code.encode(P)
+
+    def run(it):
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            rows, X = batch.column(0).to_numpy(), _matrix(batch.column(1), P.shape[1])
+            codes, out = code.encode(X), []
+            for i, p in enumerate(P):
+                d = ((X - p) ** 2).sum(1)
+                d[rows == own[i]] = np.inf
+                near = np.argpartition(d, min(k, len(d) - 1))[:k]
+                near = near[np.isfinite(d[near])]
+                out.append((np.full(len(near), i), d[near], hamming(codes[near], asked[i])))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.int32())], ["probe", "d", "bits"])
+
+    return run
+
+
+def radius_of(rows: DataFrame, code: BinaryCode, P: np.ndarray, own: np.ndarray, k: int, target: float) -> int:
+    """The Hamming radius that holds `target` of the k nearest rows of the probes P."""
+    near = rows.select("row", "v").mapInArrow(_probes_fn(code, P, own, k), "probe int, d double, bits int")
+    w = Window.partitionBy("probe").orderBy("d")
+    bits = near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("bits").toPandas()["bits"]  # PROBES x k rows at most
+    return int(np.ceil(np.quantile(bits, target))) if len(bits) else BITS
+
+
+def _nearest_fn(code: BinaryCode, radius: int | None, k: int, dims: int):
+    """The k nearest rows of each query in a shard: its rows come first, then the queries."""
+
+    def run(it):
+        now, held, index = None, [], None
+        for batch in it:
+            shards, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])]) if len(shards) else []
+            for a, b in zip(cuts, [*cuts[1:], len(shards)], strict=True):
+                part = batch.slice(a, b - a)
+                if shards[a] != now:
+                    now, held, index = shards[a], [], None
+                if not asks[a]:
+                    held.append((part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4).flatten().to_numpy().reshape(-1, dims)))
+                elif held:
+                    if index is None:
+                        rows, ids, V = (np.concatenate(x) for x in zip(*held, strict=True))
+                        codes = np.concatenate([code.encode(V[i : i + 8192].astype(np.float64)) for i in range(0, len(V), 8192)])
+                        index = Index(codes)
+                    yield answer(part, rows, ids, V, index)
+
+    def answer(part, rows, ids, V, index):
+        cols: list[list] = [[], [], [], [], []]
+        Q = _matrix(part.column(4), dims)
+        for q, c, row, name in zip(Q, code.encode(Q), part.column(2).to_numpy(), part.column(3).to_numpy(), strict=True):
+            at = np.arange(len(rows)) if radius is None else index.within(c, radius)
+            at = at[rows[at] != row]
+            d = np.concatenate([((V[i].astype(np.float64) - q) ** 2).sum(1) for i in np.array_split(at, len(at) // 8192 + 1)])
+            d = np.sqrt(d)
+            best = np.lexsort((rows[at], ids[at], d))[:k]
+            for col, x in zip(cols, (np.full(len(best), row), np.full(len(best), name), rows[at[best]], ids[at[best]], d[best]), strict=True):
+                col.append(x)
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, kinds, strict=True)], ["asked", "query_id", "row", "vec_id", "score"])
+
+    return run
+
+
+def _search(base: DataFrame, count: int, dims: int, is_query, k: int, sample: int, target: float, bits: int) -> DataFrame:
+    """(asked, query_id, row, vec_id, score) among vectors of one length."""
+    rows = base.where(F.size("v") == dims)
+    drawn = rows.where(unit_hash(F.col("row")) < F.lit(1.1 * sample / count)).select("row", "v").limit(sample).toPandas()
+    if not len(drawn):
+        drawn = rows.select("row", "v").limit(sample).toPandas()
+    X = np.stack(drawn["v"]).astype(np.float64)
+    code = BinaryCode(X, bits)
+    radius = radius_of(rows, code, X[:PROBES], drawn["row"].to_numpy()[:PROBES], k, target)
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    shards = max(-(-count // SHARD), min(cores, -(-count // LEAST_SHARD)))
+    here = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    index = rows.select(here.alias("shard"), F.lit(False).alias("ask"), "row", "id", "v")
+
+    def pass_by(asked: DataFrame, radius: int | None) -> DataFrame:
+        asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"), "row", "id", "v")
+        dealt = index.unionAll(asked).repartition(shards, "shard").sortWithinPartitions("shard", "ask")
+        return stage(dealt.mapInArrow(_nearest_fn(code, radius, k, dims), "asked long, query_id long, row long, vec_id long, score double"))
+
+    queries = rows.where(is_query(F.col("id")))
+    found = pass_by(queries, radius)
+    enough = found.groupBy("asked").count().where(F.col("count") >= k).select(F.col("asked").alias("row"))
+    short = stage(queries.join(enough.hint("merge"), "row", "left_anti"))
+    if short.isEmpty():
+        return found
+    return found.join(short.select(F.col("row").alias("asked")).hint("merge"), "asked", "left_anti").unionByName(pass_by(short, None))
+
+
 def search(df: DataFrame, is_query, k: int = 10, id_col="vec_id", vec_col="embedding", sample: int = SAMPLE, target: float = TARGET, bits: int = BITS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row where is_query holds."""
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    base = base.where(F.col("id").isNotNull() & valid_vector("v")).withColumn("row", F.monotonically_increasing_id())
-    base = stage(base)
-    sizes = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, row long, vec_id long, score double"
-    if not sizes:
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    base = stage(base.where(F.col("id").isNotNull() & valid_vector("v")).withColumn("row", F.monotonically_increasing_id()))
+    found = None
+    for r in base.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # a search for each length of vectors
+        part = _search(base, r["count"], r["d"], is_query, k, sample, target, bits)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return base.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    dims, count = sizes[0]
-    base = base.where(F.size("v") == dims)
-    drawn = base.where(unit_hash(F.col("row")) < F.lit(1.1 * sample / count)).select("v").limit(sample).toPandas()["v"]
-    X = np.stack(drawn) if len(drawn) else np.zeros((1, dims))
-    code, radius = learn(X, k, target, bits)
-    shards = -(-count // SHARD)
-    queries = base.where(is_query(F.col("id")))
-    blocks = max(1, -(-queries.count() // QUERIES))
-    here = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
-    index = base.select("row", "id", "v", here.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = queries.select("row", "id", "v", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], [], []]
-        if "v" in left.column_names and "v" in right.column_names:  # a side without rows has no columns
-            vectors = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims)
-            V, Q = vectors(left), vectors(right)
-            rows, ids = left.column("row").to_numpy(), left.column("id").to_numpy()
-            tables, asked_codes = Index(code.encode(V)), code.encode(Q)
-            for q, c, row, name in zip(Q, asked_codes, right.column("row").to_numpy(), right.column("id").to_numpy(), strict=True):
-                at = tables.within(c, radius)
-                at = at[rows[at] != row]
-                if len(at) < k:
-                    at = np.flatnonzero(rows != row)
-                d = np.sqrt(((V[at] - q) ** 2).sum(1))
-                best = np.lexsort((ids[at], d))[:k]
-                for col, x in zip(cols, (np.full(len(best), name), rows[at[best]], ids[at[best]], d[best]), strict=True):
-                    col.append(x)
-        flat = [np.concatenate(c) if c else np.zeros(0) for c in cols]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        asked_row = np.repeat(right.column("row").to_numpy(), [len(x) for x in cols[0]]) if cols[0] else np.zeros(0)
-        return pa.table([pa.array(asked_row, pa.int64()), *[pa.array(f, t) for f, t in zip(flat, kinds, strict=True)]], names=["asked", "query_id", "row", "vec_id", "score"])
-
-    # written, as a count of the lazy result would prune the vectors away in front of the cogroup
-    found = stage(index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(nearest, "asked long, " + schema))
     w = Window.partitionBy("asked").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
