@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._common import fold, windows_sample
@@ -27,6 +27,7 @@ BATCH_BYTES = 1 << 20
 HIDDEN = 8
 TRAIN_PER_LANG = 600
 TRAIN_CHARS = 192
+MARGIN = 0.1
 
 
 def _sig(x):
@@ -227,8 +228,8 @@ def train(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
     return ByteBiGRU(langs).fit([t.encode("utf-8", "replace") for t in got["text"]], list(got["label"]))
 
 
-def identify(df: DataFrame, model: ByteBiGRU | None, text_col: str = "text") -> DataFrame:
-    """df with lang_pred (string) and score (probability of that language)."""
+def prediction(model: ByteBiGRU | None, text_col: str = "text") -> Column:
+    """A struct of lang_pred (string) and score (probability of that language)."""
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -241,8 +242,22 @@ def identify(df: DataFrame, model: ByteBiGRU | None, text_col: str = "text") ->
             score[has] = np.clip(q[has].max(1), 0, 1)
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
+    return predict(F.col(f"`{text_col}`"))
+
+
+def identify(df: DataFrame, model: ByteBiGRU | None, text_col: str = "text") -> DataFrame:
+    """df with lang_pred (string) and score (probability of that language)."""
     tmp = "__quern_lang"
-    return df.withColumn(tmp, predict(F.col(text_col))).withColumns({"lang_pred": F.col(f"{tmp}.lang_pred"), "score": F.col(f"{tmp}.score")}).drop(tmp)
+    return df.withColumn(tmp, prediction(model, text_col)).withColumns({"lang_pred": F.col(f"{tmp}.lang_pred"), "score": F.col(f"{tmp}.score")}).drop(tmp)
+
+
+def recognised(df: DataFrame, model: ByteBiGRU | None, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The rows of df, as they are, whose language is recognised: better than chance among the languages by `margin` of what lies above chance."""
+    if model is None:
+        return df.where(F.lit(False))
+    chance = 1 / len(model.langs)
+    found = prediction(model, text_col)
+    return df.withColumn("__quern_lang", found).where((F.col("__quern_lang.lang_pred") != "und") & (F.col("__quern_lang.score") >= chance + margin * (1 - chance) - 1e-6)).drop("__quern_lang")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

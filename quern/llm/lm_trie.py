@@ -577,7 +577,7 @@ def score(df: DataFrame, learn: Column, id_col="doc_id", text_col="text", order:
     deal = common(rows, texts, Deal(max(1, about // shard_tokens), order, (wide(5), *(wide(-3) for _ in range(order - 2))), none, none))
     size = 6 * block_tokens
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(deal.shards, MOST_TASKS))
-    sent = rows.mapInArrow(_requests_fn(deal, size), _SENT).repartition(tasks, "shard").sortWithinPartitions("shard")
+    sent = rows.mapInArrow(_requests_fn(deal, size), _SENT).repartitionById(tasks, "shard").sortWithinPartitions("shard")
     answers = stage(sent.mapInArrow(_answers_fn(deal), _SENT))
     total, vocabulary = (int(x or 0) for x in answers.where("block = -1").agg(F.sum("n"), F.sum("v")).first())
     dealt = rows.mapInArrow(_deal_fn(size), f"block long, id {kind}, text string")

@@ -17,13 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._common import fold, windows_sample
 
 TRAIN_PER_LABEL = 1500
-TRAIN_CHARS = 20_000
 THRESHOLD = 0.3
 
 # classes of bytes: lower case, upper case, digit, space, end of sentence, other ASCII sign, byte of a multi-byte character
@@ -206,8 +205,8 @@ class LineCRF:
         return 1 / (1 + np.exp(-(self.slope * z + self.bias)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", per_label: int = TRAIN_PER_LABEL, chars: int = TRAIN_CHARS, held_out_mod: int = 5) -> LineCRF | None:
-    """Fit on at most per_label texts of each label (of each, up to `chars` characters), none held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", per_label: int = TRAIN_PER_LABEL, held_out_mod: int = 5) -> LineCRF | None:
+    """Fit on at most per_label whole texts of each label, none held out."""
     named = labels.where(F.col(label_col).isin(0, 1)).select(id_col, label_col).where(fold(id_col, held_out_mod) != 0)
     counts = {r[0]: r[1] for r in named.groupBy(label_col).count().collect()}
     if len(counts) < 2:
@@ -217,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
     share = F.when(F.col(label_col) == 0, F.lit(1.15 * per_label / counts[0])).otherwise(F.lit(1.15 * per_label / counts[1]))
     drawn = named.where(unit_hash(F.col(id_col)) < share).limit(3 * per_label)
-    got = windows_sample(docs.select(id_col, text_col).join(F.broadcast(drawn), id_col), id_col, text_col, label_col, per_label, chars)
+    got = windows_sample(docs.select(id_col, text_col).join(F.broadcast(drawn), id_col), id_col, text_col, label_col, per_label, None)
     if got is None or got["label"].nunique() < 2:
         return None
     y = got["label"].to_numpy(int)
@@ -228,8 +227,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     return model
 
 
-def classify(df: DataFrame, model: LineCRF | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df with score (0 to 1, higher: better) and predicted (1 from the threshold on)."""
+def quality(model: LineCRF | None, text_col: str = "text") -> Column:
+    """The score of a text (0 to 1, higher: better)."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -240,7 +239,17 @@ def classify(df: DataFrame, model: LineCRF | None, text_col: str = "text", thres
             return pd.Series(np.full(len(clean), 0.5))
         return pd.Series(np.concatenate([model.score(clean[a:b]) for a, b in batches(clean, 1_000_000)] or [np.zeros(0)]))
 
-    return df.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(F.col(f"`{text_col}`"))
+
+
+def classify(df: DataFrame, model: LineCRF | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """df with score (0 to 1, higher: better) and predicted (1 from the threshold on)."""
+    return df.withColumn("score", quality(model, text_col)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good(df: DataFrame, model: LineCRF | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, as they are, that are predicted to be good."""
+    return df.withColumn("__quern_quality", quality(model, text_col)).where(F.col("__quern_quality") >= threshold).drop("__quern_quality")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

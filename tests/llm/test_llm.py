@@ -207,42 +207,137 @@ def test_elias_fano():
         assert n == 0 or (at[same] == np.searchsorted(v, x[same])).all()
 
 
-def test_lm_counts_and_smoothing(spark, edge):
-    rows = [*EDGE, *[(i, "the cat sat on the mat . " * 3) for i in range(20, 40)]]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm_trie.train(df)
-    got = lm_trie.score(df, model).collect()
-    toks = [(t or "").replace("\t", " ").replace("\n", " ").split() + ["</s>"] for _, t in rows]
-    total = sum(map(len, toks))
-    assert model.total == total and model.vocabulary == len({w for t in toks for w in t})
-    assert sorted(r.n_tokens for r in got) == sorted(map(len, toks)) and all(r.n_known == r.n_tokens for r in got)
-    a = next(r for r in got if r.doc_id == 25)
-    assert a.score > a.base_score
-    many = lm_trie.score(df, model, local_bytes=1).collect()  # one file at a time gives the same sums
-    assert np.allclose(sorted(r.score for r in many), sorted(r.score for r in got))
-
-
-def test_lm_scores_are_brute_force(spark):
+def test_elias_fano_search_within_bounds():
+    r = np.random.default_rng(1)
+    v = np.sort(r.integers(0, 5000, 2000, dtype=np.uint64))
+    e, x = EliasFano.build(v, 5000), r.integers(0, 5000, 3000, dtype=np.uint64)
+    lo = r.integers(0, 2000, 3000)
+    hi = np.minimum(lo + r.integers(0, 900, 3000), 2000)
+    at, same = e.find(x, lo, hi)
+    for k in range(3000):
+        want = x[k] in v[lo[k] : hi[k]]
+        assert same[k] == want and (not want or lo[k] <= at[k] < hi[k] and v[at[k]] == x[k])
+
+
+def brute_lm(rows, order):
+    """{id: (n_tokens, n_known, base score, score)}, tokens and vocabulary, from (id, text, learn)."""
+    import re
     from collections import Counter
 
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    toks = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", low(t)), "</s>"] for _, t, _ in rows]
+    seen = [Counter() for _ in range(order + 1)]
+    for t, (_, _, learn) in zip(toks, rows, strict=True):
+        for i in range(1, len(t) if learn else 0):
+            for k in range(1, min(order, i + 1) + 1):
+                seen[k][tuple(t[i - k + 1 : i + 1])] += 1
+    N, V = sum(seen[1].values()), len(seen[1])
+    mass, kinds = Counter(), Counter()
+    for k in range(2, order + 1):
+        for g, c in seen[k].items():
+            mass[g[:-1]] += c
+            kinds[g[:-1]] += 1
+
+    def p(g):
+        if len(g) == 1:
+            return (seen[1][g] - lm_trie.DISCOUNT_1 if seen[1][g] else max(lm_trie.DISCOUNT_1 * V, 0.5)) / N if N else 1.0
+        d = lm_trie.DISCOUNTS[len(g) - 2]
+        return max(seen[len(g)][g] - d, 0) / mass[g[:-1]] + d * kinds[g[:-1]] / mass[g[:-1]] * p(g[1:]) if mass[g[:-1]] else p(g[1:])
+
+    out = {}
+    for (i, _, _), t in zip(rows, toks, strict=True):
+        score = sum(np.log10(p(tuple(t[max(0, k - order + 1) : k + 1]))) for k in range(1, len(t)))
+        out[i] = (len(t) - 1, sum(seen[1][w,] > 0 for w in t[1:]), sum(np.log10((seen[1][w,] + 1) / (N + 1 * (V + 1))) for w in t[1:]), score)
+    return out, N, V
+
+
+def lm_rows(n=120):
     r = random.Random(6)
-    texts = [" ".join(f"w{int(r.paretovariate(0.7)) % 60}" for _ in range(r.randint(0, 30))) for _ in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: x.score for x in lm_trie.score(df, lm_trie.train(df)).collect()}
-    toks = [["<s>", *t.split(), "</s>"] for t in texts]
-    one, ctx, two = Counter(w for t in toks for w in t[1:]), Counter(w for t in toks for w in t[:-1]), Counter(p for t in toks for p in zip(t, t[1:], strict=False))
-    kinds = Counter(a for a, _ in two)
-    assert sum(n == 1 for n in two.values()) > 100  # pairs seen once count like all others
-    total, d1, d2 = sum(one.values()), lm_trie.DISCOUNT_1, lm_trie.DISCOUNT_2
-    p = lambda a, b: (two[a, b] - d2) / ctx[a] + d2 * kinds[a] / ctx[a] * (one[b] - d1) / total
-    for i, t in enumerate(toks):
-        want = sum(np.log10(p(a, b)) for a, b in zip(t, t[1:], strict=False))
-        assert abs(got[i] - want) <= lm_trie.STEP * (len(t) - 1)  # two quantised values in a term, each half a step off at most
+    text = lambda: " ".join(f"w{int(r.paretovariate(0.7)) % 60}" for _ in range(r.randint(0, 30)))
+    return [(i, t, i % 5 != 0) for i, t in enumerate([text() for _ in range(n)] + [None, "", "  \n", "W1 w1\tw2", "w2 w3 " * 900, "unseen words only"])]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("shards", [1, 6])
+def test_lm_scores_are_brute_force(spark, order, shards):
+    rows = lm_rows()
+    df = spark.createDataFrame([(i, t, f, 1.0, "x") for i, t, f in rows], "doc_id long, text string, learn boolean, score double, id string").repartition(3)
+    want, total, vocabulary = brute_lm(rows, order)
+    out, n, v = lm_trie.score(df, F.col("learn"), order=order, block_tokens=200, shard_tokens=2000 // shards)
+    assert (n, v) == (total, vocabulary) and out.count() == len(rows)
+    for x in out.collect():
+        n_tokens, n_known, base, score = want[x.doc_id]
+        assert (x.n_tokens, x.n_known) == (n_tokens, n_known) and abs(x.base_score - base) < 1e-9 * (1 + n_tokens)
+        assert abs(x.score - score) <= lm_trie.STEP / 2 * order * n_tokens  # up to `order` rounded values by one another
+
+
+def test_lm_common_contexts_are_shared_by_shards():
+    """The trie answers alike whether or not the successors of common contexts are dealt to several shards."""
+    rows = lm_rows()
+    blocks = [rows[k::3] for k in range(3)]
+    none = np.zeros(0, np.uint64)
+    b = lm_trie.Block(*lm_trie.tokens([t or "" for _, t, _ in rows]), lm_trie.Deal())
+    hot = []
+    for k in range(2):
+        n = np.bincount(b.node[k][b.node[k] >= 0], minlength=len(b.hashes[k]))
+        hot.append(np.unique(np.append(b.hashes[k][np.argsort(-n)[:9]], lm_trie.START if k == 0 else b.hashes[k][:1])))
+    want, total, vocabulary = brute_lm(rows, 3)
+    for deal in (lm_trie.Deal(5, 3, (5, 4), (none, none), (none, none)), lm_trie.Deal(7, 3, (5, 4), tuple(hot), tuple(np.full(len(h), 4, np.uint64) for h in hot))):
+        made, sent = [lm_trie.Block(*lm_trie.tokens([t or "" for _, t, _ in x]), deal) for x in blocks], {}
+        for k, (block, x) in enumerate(zip(made, blocks, strict=True)):
+            for shard, arrays in block.requests(np.array([f for _, _, f in x])):
+                sent.setdefault(shard, []).append((k, load(dump(arrays))))
+        answers, seen = [{} for _ in blocks], 0
+        for s, x in sent.items():
+            n_grams = lm_trie.Rows([a for _, a in x], deal)
+            seen += n_grams.seen.sum()
+            for (k, _), g in zip(x, n_grams.split(lm_trie.Trie.build(n_grams, deal).answer(n_grams)), strict=True):
+                answers[k][s] = g
+        assert seen == total
+        for block, x, a in zip(made, blocks, answers, strict=True):
+            scores = block.scores(a, total, vocabulary)
+            for (i, _, _), score in zip(x, scores[3], strict=True):
+                assert abs(score - want[i][3]) <= lm_trie.STEP / 2 * 3 * want[i][0]
+
+
+def test_lm_finds_common_contexts(spark):
+    df = spark.createDataFrame([(i, "the cat " + " ".join(f"x{i}_{k}" for k in range(8)), True) for i in range(300)], "id long, text string, learn boolean")
+    deal = lm_trie.common(df, 300, lm_trie.Deal(16, 3))
+    assert lm_trie.START in deal.hot[0] and len(deal.hot[0]) == 3 and len(deal.hot[1]) == 2  # START, the, cat; (START, the), (the, cat)
+    assert all(p > 1 for x in deal.parts for p in x.tolist())
+
+
+def test_lm_query(spark):
+    d = SF.replace("0.001", "0.01")
+    got = lm_trie.query(spark, d).collect()
+    rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    want, total, _ = brute_lm(rows, 3)
+    learn = {i: f for i, _, f in rows}
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.train_tokens == total and x.held_out != learn[x.doc_id] and (x.n_tokens, x.n_known) == want[x.doc_id][:2]
+        assert abs(x.base_score - want[x.doc_id][2]) < 1e-6 and abs(x.score - want[x.doc_id][3]) <= lm_trie.STEP / 2 * 3 * x.n_tokens  # up to three rounded values by one another
+    held = [x for x in got if x.held_out]
+    assert sum(x.score for x in held) > 0.75 * sum(x.base_score for x in held)
 
 
 def test_lm_without_training_texts(spark, edge):
-    model = lm_trie.train(edge.limit(0))
-    assert {r.score for r in lm_trie.score(edge, model).collect()} == {0.0}
+    out, n, v = lm_trie.score(edge, F.lit(False))
+    assert (n, v) == (0, 0) and {(r.score, r.base_score) for r in out.collect()} == {(0.0, 0.0)} and out.count() == len(EDGE)
+    assert lm_trie.score(edge.limit(0), F.lit(True))[0].count() == 0
+    out, _, _ = lm_trie.score(edge, F.col("doc_id") > 3)  # null: not learned from
+    assert out.count() == len(EDGE) and out.where("doc_id IS NULL").first().n_known < 4
+
+
+def test_lm_answers_of_other_texts_are_an_error(spark):
+    block = lm_trie.Block(*lm_trie.tokens(["a b c", "a d"]), lm_trie.Deal())
+    assert block.check() != lm_trie.Block(*lm_trie.tokens(["a b c", "a e"]), lm_trie.Deal()).check()
+    import pyarrow as pa
+
+    texts = pa.table({"block": [0], "id": [1], "text": ["a b"]})
+    sent = pa.table({"block": [0], "shard": [0], "check": [5], "data": [b""]})
+    with pytest.raises(RuntimeError, match="same partitions"):
+        lm_trie._score_fn(lm_trie.Deal(), 1, 1)(texts, sent)
 
 
 # ------------------------------------------------------------ html
@@ -277,16 +372,94 @@ def test_nesting_has_no_cap():
     assert html_extraction.extract("<span>" * n + "<ul><li>" + "<b>" * n + "</i>" * n + "<li></li>" * n + "<article>word</article>", w) == "word"
 
 
-def test_extraction_of_all_pages(spark):
+def the_article(page):
     import html
     import re
 
+    body = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+    parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:p|h1)>", body)]
+    return "\n\n".join(p for p in parts if p)
+
+
+def test_extraction_of_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_extraction.query(spark, SF).collect()}
     for r in pages.collect():
-        body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
-        parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:p|h1)>", body)]
-        assert got[r.page_id] == "\n\n".join(p for p in parts if p)
+        assert got[r.page_id] == the_article(r.html)
+
+
+def learned(spark):
+    from collections import Counter
+
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect()
+    seen, tags = Counter(), Counter()
+    for r in pages:
+        # a rail of a make of its own, which no prior weight knows
+        html_extraction.statistics(r.html.replace("<article>", "<div class='zq-rail'><p>one two three four</p></div><article>"), seen, tags)
+    return pages, html_extraction.Weights.fit(dict(seen), dict(tags))
+
+
+def test_extraction_without_marks_is_learned(spark):
+    pages, w = learned(spark)
+    plain = html_extraction.Weights()
+    hide = lambda h: h.replace("<article>", "<div>").replace("</article>", "</div>")
+    for r in pages:
+        assert html_extraction.extract(hide(r.html), w) == the_article(r.html)
+    page = "<body><div>" + "<p>" + "word " * 30 + "</p>" + "<div class='zq-rail'><p>read this too</p></div><p>" + "last words of it " * 4 + "</p></div>"
+    assert html_extraction.extract(page, w) == "word " * 29 + "word\n\n" + ("last words of it " * 4).strip()
+    assert "read this too" in html_extraction.extract(page, plain)  # what decides was learned
+
+
+def test_the_scan_decides(spark):
+    _, w = learned(spark)
+    menu = "<nav><ul>" + "<li><a>menu</a></li>" * 30 + "</ul></nav>"
+    page = f"<body><div><p>a teaser</p></div>{menu}<div><p>{'word ' * 30}</p><p>the end</p></div>{menu}<div><p>more to read</p></div>"
+    assert html_extraction.extract(page, w) == "word " * 29 + "word\n\nthe end"
+    p = html_extraction.Page(page)
+    s = w.scores(p)
+    assert any(s[e] > 0 and t == "a teaser" for k, t, e in p.tokens if k == "text")  # a score above 0, but in no run with the text
+
+
+@pytest.mark.parametrize("trained", [False, True])
+def test_names_around_an_article_do_not_empty_it(spark, trained):
+    w = learned(spark)[1] if trained else html_extraction.Weights()
+    text = "<h1>T</h1><p class='text-share'>" + "word " * 40 + "</p><p>end</p>"
+    want = "T\n\n" + "word " * 39 + "word\n\nend"
+    rail = "<div class='sidebar'><p>latest news of the day</p></div>"
+    for mark in ("article", "div"):
+        body = f"<{mark}>{text}</{mark}>"
+        for page in (
+            f"<body class='no-sidebar'>{rail}{body}",
+            f"<body class='sidebar'>{rail}{body}",
+            f"<body><div class='page has-banner'>{rail}{body}</div>",
+            f"<body><div class='content-sidebar-wrap'>{body}{rail}</div>",
+            f"<body>{'<div>' * 600}{rail}{body}{'</div>' * 600}<footer>foot</footer>",
+            f"<body>{'<nav>' + '<div>' * 600}menu words of the page{'</div>' * 600}</nav>{body}",
+            f"<body><img alt=x><a title=\"{'x>' * 3000}\" href=y></a>{rail}{body}",
+            f"<body><p class=it's>{body}<div class='comment-list'><p>nice post</p></div><div class='post-comments'><p>me too</p></div>",
+        ):
+            assert html_extraction.extract(page, w) == want, page[:60]
+    page = f"<article>{text}<div class='comments'>{'<p>I say so too my friends</p>' * 8}</div></article>"
+    assert html_extraction.extract(page, w) == want
+    assert html_extraction.extract("<article><p>" + "data " * 9 + "</article>" + "<div class=related><article><p>a teaser</p></article></div>", w) == "data " * 8 + "data"
+
+
+def test_extraction_of_odd_tables(spark):
+    rows = [(1, "u", "<article><p>x y</article>", "mine", 7), (1, "u", "<article><p>x y</article>", "mine", 7), (None, None, None, None, None), (2, "v", "", "", 0), (3, "w", "<p>" + "long text " * 200_000, "", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    out = html_extraction.extract_pages(df, html_extraction.train(df))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((str(r.page_id), r.text[:9], r.n_chars) for r in out.collect()) == [("1", "x y", 3), ("1", "x y", 3), ("2", "", 0), ("3", "long text", 1_999_999), ("None", "", 0)]
+    assert html_extraction.extract_pages(df.limit(0), html_extraction.train(df.limit(0))).count() == 0
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<a title=\"x>" * 20_000, "<a b='" * 20_001, "<a " * 50_000, "<p class=it's>x" * 20_000, "<" * 100_000, '="' * 50_000 + "<a" + '="' * 50_000):
+        html_extraction.extract(page, html_extraction.Weights())
+    assert time.time() - began < 20
 
 
 # ------------------------------------------------------------ classifiers
@@ -426,11 +599,73 @@ def test_layouts_give_the_same_turns():
     ):
         assert chat_format.record_turns(record, registry)[1] == want
     assert chat_format.record_turns({"x": 1}, registry) == (None, [])
+    turns = lambda r: chat_format.record_turns(r, registry)[1]
+    system = ("system", "s")
+    for record in (
+        {"system": "s", "instruction": "q", "output": "a"},
+        {"system": "s", "instruction": "q", "input": None, "response": "a"},
+        {"system": "s", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]},
+        {"system": "s", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "score": 1},
+        {"system": "s", "question": "q", "answer": "a"},
+        {"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]},
+    ):
+        assert turns(record) == [system, *want]
+    assert turns({"prompt": "q", "response": None}) == [("user", "q"), ("assistant", "")]
+    assert turns({"instruction": "q", "input": "i", "output": "a"}) == [("user", "q\n\ni"), ("assistant", "a")]
+    call = [{"function": {"name": "f", "arguments": "{}"}}]
+    tools = [{"role": "user", "content": "q"}, {"role": "assistant", "content": None, "tool_calls": call}, {"role": "tool", "content": "7"}, {"role": "assistant", "content": "a"}]
+    assert turns({"messages": tools}) == [("user", "q"), ("assistant", '[{"function": {"name": "f", "arguments": "{}"}}]'), ("tool", "7"), ("assistant", "a")]
+    image = {"type": "image_url", "image_url": {"url": "u"}}
+    assert turns({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, image]}]}) == [("user", 'q\n{"type": "image_url", "image_url": {"url": "u"}}')]
+    assert [chat_format.record_turns({"messages": x}, registry) for x in ([], None)] == [("messages", [])] * 2
+    # two layouts at once are neither
+    assert chat_format.record_turns({"prompt": "q", "response": "a", "output": "b"}, registry) == (None, [])
+
+
+def test_tables_give_the_same_turns(spark):
+    want = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a")]
+    m = "array<struct<role:string,content:string>>"
+    parts = "array<struct<role:string,content:array<struct<type:string,text:string>>>>"
+    said = [("human", "q"), ("assistant", "a")]
+    for schema, row in (
+        (f"conv_id long, system string, messages {m}, role_of string", (1, "s", said, "x")),
+        (f"conv_id long, system string, messages {parts}", (1, "s", [("user", [("text", "q")]), ("assistant", [("text", "a")])])),
+        ("conv_id long, output string, system string, instruction string, input string", (1, "a", "s", "q", None)),
+        ("conv_id long, question string, answer string, system string", (1, "q", "a", "s")),
+    ):
+        out = chat_format.table_turns(spark.createDataFrame([row], schema))
+        assert sorted(map(tuple, out.collect())) == want
+    with pytest.raises(ValueError, match="no layout"):
+        chat_format.table_turns(spark.createDataFrame([("q", "a", "b")], "prompt string, response string, answer string"))
+    rows = chat_format.table_turns(spark.createDataFrame([(1, 0, "user", "q", "x", 2)], "conv_id long, turn int, role string, text string, formatted string, n_turns int"))
+    assert chat_format.digests(chat_format.format_turns(rows)).count() == 1
 
 
 def test_json_records(spark):
-    df = spark.createDataFrame([(1, '{"prompt": "q", "response": null}'), (2, "not json"), (3, None), (4, '{"prompt": "q", "response": "a"}')], "id int, j string")
-    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat_format.json_turns(df, "id", "j").collect()) == [(4, 0, "user", "q"), (4, 1, "assistant", "a")]
+    records = [(1, '{"prompt": "q", "response": null}'), (2, "not json"), (3, None), (4, '{"prompt": "q", "response": "a"}'), (5, '{"prompt": "q", "output": "a"}'), (6, "[" * 100_000)]
+    df = spark.createDataFrame(records, "id int, j string")
+    got = [(r.conv_id, r.turn, r.role, r.text[:30]) for r in chat_format.json_turns(df, "id", "j").collect()]
+    turns = [(i, k, r, t) for i, a in ((1, ""), (4, "a")) for k, (r, t) in enumerate((("user", "q"), ("assistant", a)))]
+    assert sorted(map(str, got)) == sorted(map(str, [*turns, (2, None, None, "not json"), (5, None, None, '{"prompt": "q", "output": "a"}'), (6, None, None, "[" * 30)]))
+
+
+def test_reading_back_crosses_pieces():
+    whole = "".join(chat_format.format_turn(r, t) for r, t in (("user", "a </s> b"), ("x", "[OUT]"), ("assistant", "c\\"), ("system", "")))
+    want = list(chat_format.read_turns(whole))
+    assert want == [("user", "a </s> b", False), ("x", "[OUT]", False), ("assistant", "c\\", True), ("system", "", False)]
+    for size in (1, 2, 3, 7, 1000):
+        reader = chat_format.Reader()
+        assert [t for i in range(0, len(whole), size) for t in reader.feed(whole[i : i + size])] == want
+        reader.close()
+    with pytest.raises(ValueError, match="cannot be read back"):  # a text whose marks were not escaped
+        list(chat_format.read_turns("<s>[INST] a [/INST] b [/INST]<s>[OUT] c [/OUT]</s>"))
+
+
+def test_a_conversation_of_long_turns(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"{k} </s>" * 20_000) for k in range(40)]
+    got = chat_format.digests(chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got.n_turns == 40 and got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(t for *_, r, t in rows if r == "assistant").encode()).hexdigest()
 
 
 @pytest.mark.parametrize("text", ["", "</s>[INST] ok [/INST]", "\\", "a\\[INST]", "<s>[OUT] x [/OUT]</s>", " [/INST", "<", "[\\/INST]\n", "<<SYS>> <</SYS>>"])
