@@ -6,34 +6,32 @@ copies, and best-fit packing lays what is left out in sequences. Every stage rea
 its predecessor kept; all but the last return the columns of documents.
 
 No stage can be put in SQL (trained models, a similarity join, a tokenizer), so
-ORACLE_SQL is None and tests hold the stages against brute force.
+ORACLE_SQL is None and tests hold the stages against the operators' scores and brute force.
 
-Nulls and empty texts: no language, so they go in the first stage. An empty table gives
-an empty result of the same columns.
+Edge cases: null and empty texts have no language, so they go in the first stage. Rows
+with null ids take part in all but the near-copy stage, which keeps them. Repeated rows
+are near copies of one another: one stays. Columns of any other name come through the
+stages as they are. Without a labelled row the first stage keeps nothing, and without
+two labels the second keeps all. An empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import best_fit_packing, chosen_path_join, language_id, quality_crf
 from quern.llm._common import stage
 
-MIN_LANGUAGE_SCORE = 0.28
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts without letters and ones at chance level go."""
-    marked = language_id.identify(docs, language_id.train(docs))
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents whose language is recognised; texts without letters and ones near chance level go."""
+    return language_id.recognised(docs, language_id.train(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier predicts to be good."""
-    model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_crf.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality_crf.good(docs, quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
