@@ -22,8 +22,8 @@ def trunc(unit: str, ts: Column) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
-def skewness_pop(x: Column) -> Column:
-    """Population skewness from power sums, one aggregation pass."""
-    n, s1, s2, s3 = F.count(x), F.sum(x), F.sum(x * x), F.sum(x * x * x)
-    m = s1 / n
-    return (s3 / n - 3 * m * s2 / n + 2 * m * m * m) / F.pow(s2 / n - m * m, F.lit(1.5))
+def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0088) -> Column:
+    """Distance on a sphere by the haversine formula, of positions in degrees."""
+    up, along = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
+    h = F.pow(F.sin(up), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(along), F.lit(2.0))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,46 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     return got.select(*keys, F.col("__at").alias(at), row, F.coalesce("__last", "__carried")["value"].alias(value))
 
 
-def band(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width: float, condition: Column) -> DataFrame:
-    """Pairs with right_at in [left_at, left_at + width] and the exact condition, without a nested loop.
+def band(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width: float, condition: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with right_at in [left_at, left_at + width], equal keys if there are any, and the exact condition, without a nested loop.
 
     Positions are cut into bins of the band's width. A right row is in its bin only, a
-    left row in its own and the next one, so no pair appears twice.
+    left row in its own and the next one, so no pair appears twice, and a key with most
+    of the rows spreads over its bins.
     """
     bin_of = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(width))).cast("long")
     l = left.withColumn("__bin", F.explode(F.array(bin_of(left_at), bin_of(left_at) + 1)))
     r = right.withColumn("__bin", bin_of(right_at))
-    return l.join(r, "__bin").where(condition).drop("__bin")
+    return l.join(r, [*keys, "__bin"]).where(condition).drop("__bin")
+
+
+EARTH_KM = 6371.0088
+
+
+def near(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], km: float) -> DataFrame:
+    """Pairs of points (latitude, longitude in degrees) at most `km` apart on the sphere, by cells instead of a nested loop.
+
+    The sphere is cut into bands of latitude as wide as the distance, a band into cells at
+    least that wide. A right point is in its cell; a left point is in all cells that the
+    distance can reach, in its own band and the two beside it, across the date line and
+    around the poles. Null and non-finite positions are near nothing.
+    """
+    from quern.functions import great_circle
+
+    deg = math.degrees(km / EARTH_KM)
+    bands = max(1, math.floor(180 / deg))
+    tall = 180 / bands
+    ok = lambda lat, lon: F.col(lat).between(-90, 90) & F.col(lon).between(-360, 360)
+    band_of = lambda lat: F.least(F.floor((F.col(lat) + 90) / F.lit(tall)), F.lit(bands - 1)).cast("long")
+    # the widest circle of a band is its edge nearer to the equator; there its cells are as wide as the distance
+    edge = lambda b: F.least(F.abs(b * F.lit(tall) - 90), F.abs((b + 1) * F.lit(tall) - 90))
+    cells = lambda b: F.greatest(F.floor(360 * F.cos(F.radians(edge(b))) / F.lit(deg)), F.lit(1)).cast("long")
+    cell = lambda lon, b: F.floor((lon + 180) / 360 * cells(b)).cast("long")
+    lat, lon = left_at
+    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(deg, 90)))) / F.cos(F.radians(lat)))))
+    reach = F.when(F.abs(lat) + F.lit(deg) >= 89.999, F.lit(180.0)).otherwise(reach * 1.000001)
+    l = left.where(ok(*left_at)).withColumn("__b", F.explode(F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: band_of(lat) + o), lambda b: (b >= 0) & (b < bands))))
+    l = l.withColumn("__c", F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col(lon) - reach, F.col("__b")), cell(F.col(lon) + reach, F.col("__b"))), lambda c: F.pmod(c, cells(F.col("__b")))))))
+    r = right.where(ok(*right_at)).withColumn("__b", band_of(right_at[0])).withColumn("__c", F.pmod(cell(F.col(right_at[1]), F.col("__b")), cells(F.col("__b"))))
+    far = great_circle(F.col(lat), F.col(lon), F.col(right_at[0]), F.col(right_at[1]))
+    return l.join(r, ["__b", "__c"]).where(far <= F.lit(km)).drop("__b", "__c")

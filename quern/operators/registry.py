@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern import functions as Q
 from quern.functions import udf
 from quern.operators import joins
+from quern.operators.quantiles import quantile
 from quern.plans import scratch
 from quern.sources import FORMATS, read, table, write
 
@@ -109,9 +110,10 @@ def b6_cross_join(t):
 
 @query("SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTE")
 def b7_interval_join(t):
-    a, b = (t("events").select(F.col("user_id"), F.col("event_id").alias(i), F.col("ts").alias(s)) for i, s in (("first_id", "ts1"), ("second_id", "ts2")))
-    near = (F.col("ts2") > F.col("ts1")) & (F.col("ts2") <= F.col("ts1") + F.expr("INTERVAL 30 MINUTES"))
-    return a.join(b, "user_id").where(near).select("first_id", "second_id")
+    """Bins of half an hour beside the user, so that a user with most of the events spreads."""
+    side = lambda i, s: t("events").select("user_id", F.col("event_id").alias(i), F.unix_micros(F.col("ts").cast("timestamp")).alias(s))
+    near = (F.col("u2") > F.col("u1")) & (F.col("u2") <= F.col("u1") + 1_800_000_000)
+    return joins.band(side("first_id", "u1"), side("second_id", "u2"), "u1", "u2", 1800e6, near, ("user_id",)).select("first_id", "second_id")
 
 
 @query("SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON b.ts > a.ts AND b.ts <= a.ts + INTERVAL 60 SECOND")
@@ -131,8 +133,10 @@ def b9_as_of_join(t):
 
 
 both("b10_not_in_nulls", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 3) FROM {orders})")
+both("b10_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_custkey IS NOT NULL AND o_totalprice > 100000)")
 both("b11_scalar_subquery", "SELECT p_partkey FROM {part} p WHERE p_retailprice > (SELECT avg(p2.p_retailprice) FROM {part} p2 WHERE p2.p_brand = p.p_brand)")
 both("b12_exists", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+both("b12_not_exists", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)")
 
 # ------------------------------------------------------------ C. aggregation
 
@@ -158,38 +162,59 @@ def c4_cube(t):
 
 
 both("c5_grouping_sets", "SELECT p_brand, p_type, count(*) AS n FROM {part} GROUP BY GROUPING SETS ((p_brand, p_type), (p_brand), ())")
-both(
-    "c6_percentile",
-    "SELECT l_returnflag, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice), 2) AS p90 FROM {lineitem} GROUP BY l_returnflag",
-    "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 2) AS p90 FROM lineitem GROUP BY l_returnflag",
-)
-both("c7_median", "SELECT l_returnflag, round(median(l_quantity), 2) AS med FROM {lineitem} GROUP BY l_returnflag")
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 2) AS p90 FROM lineitem GROUP BY l_returnflag")
+def c6_percentile(t):
+    return quantile(t("lineitem"), ["l_returnflag"], "l_extendedprice", 0.9, "p").select("l_returnflag", R2("p").alias("p90"))
+
+
+@query("SELECT l_returnflag, round(median(l_quantity), 2) AS med FROM lineitem GROUP BY l_returnflag")
+def c7_median(t):
+    return quantile(t("lineitem"), ["l_returnflag"], "l_quantity", 0.5, "m").select("l_returnflag", R2("m").alias("med"))
+
+
 both("c8_deviation", "SELECT l_returnflag, round(stddev_samp(l_quantity), 4) AS sd, round(var_pop(l_discount), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r FROM {lineitem} GROUP BY l_returnflag")
 
 
-@query("""SELECT l_returnflag, round((s3 / n - 3 * (s1 / n) * s2 / n + 2 * power(s1 / n, 3)) / power(s2 / n - power(s1 / n, 2), 1.5), 5) AS skew
-FROM (SELECT l_returnflag, count(*) AS n, sum(l_extendedprice) AS s1, sum(l_extendedprice ** 2) AS s2, sum(l_extendedprice ** 3) AS s3 FROM lineitem GROUP BY 1)""")
+_MOMENTS = """(SELECT l_returnflag, avg((l_extendedprice - m) ** 2) AS m2, avg((l_extendedprice - m) ** 3) AS m3, avg((l_extendedprice - m) ** 4) AS m4
+FROM (SELECT l_returnflag, l_extendedprice, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS m FROM lineitem) GROUP BY 1)"""
+
+
+@query(f"SELECT l_returnflag, round(m3 / power(m2, 1.5), 5) AS skew FROM {_MOMENTS}")
 def c9_skewness(t):
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(Q.skewness_pop(F.col("l_extendedprice")), 5).alias("skew"))
+    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.skewness("l_extendedprice"), 5).alias("skew"))
+
+
+@query(f"SELECT l_returnflag, round(m4 / power(m2, 2) - 3, 5) AS kurt FROM {_MOMENTS}")
+def c9_kurtosis(t):
+    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.kurtosis("l_extendedprice"), 5).alias("kurt"))
+
 
+def _off(estimate: str, exact: str, deviation: float):
+    """Is the estimate within three standard deviations of the exact number?"""
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.lit(3 * deviation) * F.col(exact)
 
-@query("SELECT true AS close")
+
+@query("SELECT count(DISTINCT o_orderkey) AS orders, true AS within FROM orders")
 def c10_approx_distinct(t):
-    d = t("orders").agg(F.approx_count_distinct("o_orderkey", 0.02).alias("a"), F.count_distinct("o_orderkey").alias("e"))
-    return d.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+    d = t("orders").agg(F.approx_count_distinct("o_orderkey", 0.02).alias("a"), F.count_distinct("o_orderkey").alias("orders"))
+    return d.select("orders", _off("a", "orders", 0.02).alias("within"))
 
 
-@query("SELECT true AS hll, true AS theta, true AS kll")
+@query("SELECT count(DISTINCT o_orderkey) AS orders, true AS hll, true AS theta, true AS kll FROM orders")
 def c11_sketches(t):
+    """HLL and theta of 4096 entries against the exact number, the KLL median (k = 200) by its exact rank."""
     d = t("orders").agg(
-        F.expr("hll_sketch_estimate(hll_sketch_agg(o_orderkey))").alias("h"),
-        F.expr("theta_sketch_estimate(theta_sketch_agg(o_orderkey))").alias("th"),
-        F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(o_totalprice), 0.5D)").alias("k"),
-        F.expr("percentile_approx(o_totalprice, 0.5)").alias("m"),
-        F.count_distinct("o_orderkey").alias("e"),
+        F.expr("hll_sketch_estimate(hll_sketch_agg(o_orderkey, 12))").alias("h"),
+        F.expr("theta_sketch_estimate(theta_sketch_agg(o_orderkey, 12))").alias("th"),
+        F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(o_totalprice, 200), 0.5D)").alias("k"),
+        F.count_distinct("o_orderkey").alias("orders"),
     )
-    near = lambda a, b, e: F.abs(F.col(a) - F.col(b)) <= e * F.col(b)
-    return d.select(near("h", "e", 0.1).alias("hll"), near("th", "e", 0.1).alias("theta"), near("k", "m", 0.1).alias("kll"))
+    below = t("orders").join(F.broadcast(d.select("k")), F.col("o_totalprice") <= F.col("k"), "left")  # one row
+    rank = below.agg((F.count("k") / F.count(F.lit(1))).alias("rank"))
+    kll = F.abs(F.col("rank") - 0.5) <= F.lit(3 * 0.0133)
+    return d.join(F.broadcast(rank)).select("orders", _off("h", "orders", 1.04 / 64).alias("hll"), _off("th", "orders", 1 / 64).alias("theta"), kll.alias("kll"))
 
 
 @query("SELECT event_type AS item, count(*) AS n FROM events GROUP BY 1")
@@ -334,6 +359,34 @@ def f3_session_window(t):
     return t("events").groupBy("user_id", s).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+# ------------------------------------------------------------ G. positions on the sphere, drawn from keys
+
+_LAT, _LON = "(({k}) * 7919 % 17900) / 100.0 - 89.5", "(({k}) * 104729 % 36000) / 100.0 - 180"
+_KM = "2 * 6371.0088 * asin(sqrt(least(1, power(sin(radians({b}_lat - {a}_lat) / 2), 2) + cos(radians({a}_lat)) * cos(radians({b}_lat)) * power(sin(radians({b}_lon - {a}_lon) / 2), 2))))"
+
+
+def _points(df: DataFrame, key: str, name: str) -> DataFrame:
+    at = lambda sql: F.expr(f"CAST({sql.format(k=key)} AS DOUBLE)")
+    return df.select(key, at(_LAT).alias(f"{name}_lat"), at(_LON).alias(f"{name}_lon"))
+
+
+_POINTS = f"""WITH c AS (SELECT c_custkey, c_nationkey, CAST({_LAT.format(k="c_custkey")} AS DOUBLE) AS c_lat, CAST({_LON.format(k="c_custkey")} AS DOUBLE) AS c_lon FROM customer),
+s AS (SELECT s_suppkey, CAST({_LAT.format(k="s_suppkey")} AS DOUBLE) AS s_lat, CAST({_LON.format(k="s_suppkey")} AS DOUBLE) AS s_lon FROM supplier)"""
+
+
+@query(f"{_POINTS} SELECT c_custkey, round({_KM.format(a='c', b='s')}, 3) AS km FROM c JOIN s ON s_suppkey = c_custkey % 10")
+def g2_great_circle(t):
+    c = _points(t("customer"), "c_custkey", "c").withColumn("s_suppkey", F.col("c_custkey") % 10)
+    both = c.join(_points(t("supplier"), "s_suppkey", "s"), "s_suppkey")
+    return both.select("c_custkey", F.round(Q.great_circle(*(F.col(x) for x in ("c_lat", "c_lon", "s_lat", "s_lon"))), 3).alias("km"))
+
+
+@query(f"{_POINTS} SELECT s_suppkey, c_custkey FROM s, c WHERE {_KM.format(a='s', b='c')} <= 400")
+def g3_distance_join(t):
+    s, c = _points(t("supplier"), "s_suppkey", "s"), _points(t("customer"), "c_custkey", "c")
+    return joins.near(s, c, ("s_lat", "s_lon"), ("c_lat", "c_lon"), 400).select("s_suppkey", "c_custkey")
+
+
 # ------------------------------------------------------------ H. functions of the user's own
 
 

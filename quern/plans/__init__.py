@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,7 +24,22 @@ def session(cores: int | str = "*", **conf) -> SparkSession:
     return b.getOrCreate()
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder's name in the shared folder of the session, in a temporary one where that is unset."""
+    """A new folder's name in the shared folder of the session, in a temporary one where that is unset; it goes when Python ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-")
-    return f"{named}/quern_{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(_sweep)
+    _FOLDERS.append((spark, f"{named}/quern_{uuid.uuid4().hex}"))
+    return _FOLDERS[-1][1]
+
+
+def _sweep() -> None:
+    for spark, path in _FOLDERS:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone by then
+            return

@@ -29,5 +29,10 @@ def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", parti
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A stream over a folder of Parquet files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A stream over a folder of Parquet files, or one such file, `files_per_batch` of them in a batch, oldest first."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)

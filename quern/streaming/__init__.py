@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from quern import sources
 from quern.plans import scratch
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 100) -> DataFrame:
     """The events table as a stream, with a zoned event time (watermarks need one)."""
     path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    folder, name = os.path.split(path)
-    e = spark.readStream.schema(schema).option("pathGlobFilter", name if not os.path.isdir(path) else "*.parquet").parquet(folder if not os.path.isdir(path) else path)
+    e = sources.stream(spark, path, spark.read.parquet(path).schema, files_per_batch)
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -118,6 +115,6 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("event_id") % 10 == 0
     for part in (e.where(~late), e.where(late)):
         part.write.mode("append").parquet(f"{at}/in")
-        s = spark.readStream.schema(e.schema).parquet(f"{at}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+        s = sources.stream(spark, f"{at}/in", e.schema, 100).withColumn("ts", F.col("ts").cast("timestamp"))
         out = drain(tumbling(s, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz")), at=at)
     return out

@@ -94,3 +94,122 @@ def test_formats_keep_nulls_and_no_rows(spark, tmp_path, fmt):
     for name, rows in (("some", df), ("none", df.where("k > 9"))):
         sources.write(rows, f"{tmp_path}/{name}", fmt)
         assert sorted(map(str, sources.read(spark, f"{tmp_path}/{name}", fmt, df.schema).collect())) == sorted(map(str, rows.collect()))
+
+
+@pytest.mark.parametrize("q", [0.0, 0.13, 0.5, 0.9, 1.0])
+def test_quantile_is_exact(spark, q):
+    import numpy as np
+
+    from quern.operators.quantiles import quantile
+
+    r = random.Random(3)
+    groups = {"many": [r.gauss(1e6, 1) for _ in range(5000)], "ties": [r.choice([1.0, 2.0, 2.0, 7.5]) for _ in range(3001)], "one": [4.0], "two": [1.0, 2.0], None: [3.0, 5.0, 5.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None), ("one", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {x.k: x.m for x in quantile(df, ["k"], "v", q, "m", 100).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert abs(got[k] - np.quantile(vs, q)) < 1e-9
+    assert abs(quantile(df, [], "v", q, "m").first().m - np.quantile([v for vs in groups.values() for v in vs], q)) < 1e-9
+    assert quantile(df.where("k = 'none'"), ["k"], "v", q, "m").count() == 0
+
+
+@pytest.mark.parametrize("km", [30, 700, 6000, 25000])
+def test_distance_join_is_brute_force(spark, km):
+    from math import asin, cos, radians, sin, sqrt
+
+    r = random.Random(4)
+    odd = [(90.0, 0.0), (-90.0, 10.0), (89.9, 179.9), (89.95, -10.0), (0.0, 180.0), (0.0, -180.0), (0.0, 179.999), (0.0, 360.0), (12.0, -359.9), (None, 1.0), (float("nan"), 1.0)]
+    a = [(i, *(odd[i] if i < len(odd) else (r.uniform(-90, 90), r.uniform(-180, 180)))) for i in range(150)]
+    b = [(i, *(odd[i] if i < len(odd) else (a[i][1] + r.uniform(-0.2, 0.2), a[i][2] + r.uniform(-0.2, 0.2)) if i % 2 else (r.uniform(-90, 90), r.uniform(-180, 180)))) for i in range(150)]
+    b = [(i, x if x is None or x != x else max(-90.0, min(90.0, x)), y) for i, x, y in b]
+
+    def far(p, q):
+        h = sin(radians(q[0] - p[0]) / 2) ** 2 + cos(radians(p[0])) * cos(radians(q[0])) * sin(radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371.0088 * asin(sqrt(min(1.0, h)))
+
+    some = lambda p: p[0] is not None and p[0] == p[0]
+    want = sorted((i, j) for i, *p in a for j, *q in b if some(p) and some(q) and far(p, q) <= km)
+    out = joins.near(spark.createDataFrame(a, "i int, x double, y double"), spark.createDataFrame(b, "j int, u double, v double"), ("x", "y"), ("u", "v"), km)
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and out.columns == ["i", "x", "y", "j", "u", "v"]
+    assert sorted((z.i, z.j) for z in out.collect()) == want
+
+
+def test_interval_join_of_a_hot_key_has_bins(spark):
+    df = spark.createDataFrame([(1, i, 10 * i) for i in range(300)] + [(2, 900, 5), (None, 901, 5)], "k int, i int, t long")
+    right = df.select("k", F.col("i").alias("j"), F.col("t").alias("u"))
+    out = joins.band(df, right, "t", "u", 25, (F.col("u") > F.col("t")) & (F.col("u") <= F.col("t") + 25), ("k",))
+    assert sorted((x.i, x.j) for x in out.collect()) == sorted((i, j) for i in range(300) for j in (i + 1, i + 2) if j < 300)
+
+
+@pytest.fixture(scope="module")
+def in_files(spark, tmp_path_factory):
+    """A data folder whose events lie in four files, in order of time."""
+    import os
+    import shutil
+
+    at = tmp_path_factory.mktemp("events")
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    os.mkdir(at / "events.parquet")
+    for k in range(4):
+        e.where((F.col("event_id") >= 250 * k) & (F.col("event_id") < 250 * (k + 1))).coalesce(1).write.parquet(str(at / f"p{k}"))
+        part = next((at / f"p{k}").glob("part-*"))
+        shutil.move(str(part), at / "events.parquet" / f"part-{k}.parquet")
+        os.utime(at / "events.parquet" / f"part-{k}.parquet", (1_700_000_000 + 100 * k,) * 2)
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["tumbling", "sessions", "first_seen", "views_before_clicks", "totals", "totals_processor"])
+def test_streams_of_many_batches(spark, in_files, name):
+    """State, watermarks and joins across four micro-batches against the batch answer."""
+    from quern import streaming as S
+
+    e = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = S.events(spark, in_files, 1)
+    last = e.agg(F.max("ts")).first()[0]
+    if name in ("tumbling", "sessions"):
+        f = lambda df: (S.tumbling(df, "1 hour") if name == "tumbling" else S.sessions(df, "30 minutes"))
+        got = {tuple(r): 1 for r in S.drain(f(s), "append").collect()}
+        want = [tuple(r) for r in f(e).collect()]
+        # append mode gives what the watermark has passed, each once, and nothing else
+        assert len(got) > 0.9 * len(want) and set(got) <= set(want)
+        import datetime
+
+        assert {r for r in want if r[-2] < last - datetime.timedelta(hours=4)} <= set(got)
+        return
+    if name == "first_seen":
+        got = S.drain(S.first_seen(s).select("user_id")).collect()
+        assert sorted(r[0] for r in got) == sorted(r[0] for r in e.select("user_id").distinct().collect())
+    elif name == "views_before_clicks":
+        got = sorted(map(tuple, S.drain(S.views_before_clicks(s)).collect()))
+        assert got and got == sorted(map(tuple, S.views_before_clicks(e).collect()))
+    else:
+        rows = S.drain(getattr(S, name)(s), "update").collect()
+        best = {}
+        for r in rows:
+            best[r.user_id] = max(best.get(r.user_id, (0, 0.0)), (r.n, r.total))
+        want = {r.user_id: (r.n, r.total) for r in e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).collect()}
+        assert len(rows) > len(want)  # users come again in later batches, on the state of the earlier ones
+        assert {k: v[0] for k, v in best.items()} == {k: v[0] for k, v in want.items()} and all(abs(best[k][1] - v[1]) < 0.05 for k, v in want.items())
+
+
+def test_entry_without_the_training_subpackage(tmp_path):
+    """Queries import and run without the optional parts; an error inside them is not swallowed."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[1]
+    shutil.copytree(top / "quern", tmp_path / "quern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries()) == sorted(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    n = len(QUERIES)
+    assert run().stdout.split() == [str(n), "True"]
+    (tmp_path / "quern/llm").mkdir()
+    (tmp_path / "quern/llm/__pycache__").mkdir()
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    assert run().stdout.split() == [str(n), "True"]
+    (tmp_path / "quern/llm/__init__.py").write_text("")
+    (tmp_path / "quern/llm/registry.py").write_text("import no_such_package")
+    assert "no_such_package" in run().stderr
