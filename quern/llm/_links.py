@@ -56,24 +56,23 @@ def _units_fn(similar: Callable, count: bool):
             np.fill_diagonal(ok, False)
         if not ok.any():
             return None
-        if not count:
-            got = np.concatenate([ok.any(1), ok.any(0)]) if two else ok.any(1)
-            return keys[got], np.zeros(int(got.sum()), np.int64), keys[got]
-        # pairs that share a smaller bucket were compared there
-        lists = t.column("leaves").combine_chunks()
-        flat = lists.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(keys)), np.diff(lists.offsets.to_numpy()))
-        earlier = flat < leaf
-        names, at, n = np.unique(flat[earlier], return_inverse=True, return_counts=True)
-        if (n > 1).any():
-            M = np.zeros((len(keys), len(names)), np.float32)
-            M[owner[earlier], at] = 1
-            M = M[:, n > 1]
-            new = ok & ((M[rows] @ M[cols].T) == 0)
-        else:
-            new = ok
+        new = ok
+        if "leaves" in t.column_names:  # pairs that share a smaller bucket were compared there
+            lists = t.column("leaves").combine_chunks()
+            flat = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(keys)), np.diff(lists.offsets.to_numpy()))
+            earlier = flat < leaf
+            names, at, n = np.unique(flat[earlier], return_inverse=True, return_counts=True)
+            if (n > 1).any():
+                M = np.zeros((len(keys), len(names)), np.float32)
+                M[owner[earlier], at] = 1
+                M = M[:, n > 1]
+                new = ok & ((M[rows] @ M[cols].T) == 0)
         if not new.any():
             return None
+        if not count:
+            got = np.concatenate([new.any(1), new.any(0)]) if two else new.any(1)
+            return keys[got], np.zeros(int(got.sum()), np.int64), keys[got]
         w = t.column("weight").to_numpy().astype(float)
         n = np.concatenate([new @ w[cols], new.T @ w[rows]]) if two else new @ w
         if two:
@@ -129,12 +128,13 @@ def _units_fn(similar: Callable, count: bool):
     return run
 
 
-def compare(members: DataFrame, payloads: DataFrame, similar: Callable, count: bool = True, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def compare(members: DataFrame, payloads: DataFrame, similar: Callable, count: bool = True, first: bool = True, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(leaf, key, links, peer) from members (leaf, key; distinct) and payloads (key, payload, weight, and bytes if they differ).
 
     members must be staged. similar(payloads, split), with an Arrow array of payloads, gives the boolean matrix of the
     first `split` payloads against the others, or of all against all. With count the
-    links are summed by weight; without, it only says which (leaf, key) have a link, in one bucket or another.
+    links are summed by weight; without, it only says which (leaf, key) have a link, and unless `first` holds
+    in every bucket of the pair: lists of buckets, which may outweigh the payloads, do not travel then.
     """
     size = [F.count(F.lit(1)).alias("n")]
     with_size = members
@@ -148,7 +148,7 @@ def compare(members: DataFrame, payloads: DataFrame, similar: Callable, count: b
     sizes = stage(sizes.select("leaf", F.least(parts, F.col("n")).cast("int").alias("nb")))
     placed = stage(members.join(sizes, "leaf"))
     own = payloads.select("key", "payload", "weight") if count else payloads.select("key", "payload")
-    if count:
+    if count or first:
         lists = placed.groupBy("key").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # as many as a key has buckets, a constant
         own = own.join(lists, "key")
     mine = F.pmod(F.xxhash64("key", "leaf"), F.col("nb")).cast("int")

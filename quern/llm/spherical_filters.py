@@ -141,7 +141,7 @@ def near_duplicates(df: DataFrame, id_col="vec_id", vec_col="embedding", thresho
     books = {d: codebook(n, d, filters, bucket) for d, n in lengths.items()}
     marks = stage(reps.select("key", "v").mapInArrow(_marks_fn(books), "key long, leaves array<long>, sign binary"))
     every = marks.select(F.explode("leaves").alias("leaf"), "key")
-    close = compare(every, marks.select("key", F.col("sign").alias("payload")), likely(threshold), count=False, block=block)
+    close = compare(every, marks.select("key", F.col("sign").alias("payload")), likely(threshold), count=False, first=False, block=block)
     members = stage(close.select("leaf", "key").distinct())
     drop(marks, close)
 
