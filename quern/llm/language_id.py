@@ -27,7 +27,7 @@ BATCH_BYTES = 1 << 20
 HIDDEN = 8
 TRAIN_PER_LANG = 600
 TRAIN_CHARS = 192
-MARGIN = 0.1
+MARGIN, SURE = 0.2, 200
 
 
 def _sig(x):
@@ -252,12 +252,16 @@ def identify(df: DataFrame, model: ByteBiGRU | None, text_col: str = "text") ->
 
 
 def recognised(df: DataFrame, model: ByteBiGRU | None, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The rows of df, as they are, whose language is recognised: better than chance among the languages by `margin` of what lies above chance."""
+    """The rows of df, as they are, whose language is recognised: better than chance among the languages by `margin` of what lies above chance.
+
+    Of a text of fewer than SURE bytes, whose mean is less sure, in proportion less is asked.
+    """
     if model is None:
         return df.where(F.lit(False))
     chance = 1 / len(model.langs)
-    found = prediction(model, text_col)
-    return df.withColumn("__quern_lang", found).where((F.col("__quern_lang.lang_pred") != "und") & (F.col("__quern_lang.score") >= chance + margin * (1 - chance) - 1e-6)).drop("__quern_lang")
+    least = F.lit(chance - 1e-6) + F.lit(margin * (1 - chance)) * F.least(F.lit(1.0), F.octet_length(f"`{text_col}`") / F.lit(float(SURE)))
+    found = df.withColumn("__quern_lang", prediction(model, text_col))
+    return found.where((F.col("__quern_lang.lang_pred") != "und") & (F.col("__quern_lang.score") >= least)).drop("__quern_lang")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

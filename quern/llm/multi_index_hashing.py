@@ -193,7 +193,7 @@ def _search(base: DataFrame, count: int, dims: int, is_query, k: int, sample: in
 
     def pass_by(asked: DataFrame, radius: int | None) -> DataFrame:
         asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"), "row", "id", "v")
-        dealt = index.unionAll(asked).repartition(shards, "shard").sortWithinPartitions("shard", "ask")
+        dealt = index.unionAll(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "ask")
         return stage(dealt.mapInArrow(_nearest_fn(code, radius, k, dims), "asked long, query_id long, row long, vec_id long, score double"))
 
     queries = rows.where(is_query(F.col("id")))

@@ -191,6 +191,60 @@ def test_links_of_a_group_of_many_blocks(spark):
 
 def test_join_of_nothing(spark, edge):
     assert chosen_path_join.join(edge.limit(0)).count() == 0
+    assert chosen_path_join.keep_one(edge.limit(0)).columns == edge.columns and chosen_path_join.keep_one(edge.limit(0)).count() == 0
+
+
+def test_join_with_clashing_columns_and_ids_of_text(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [("b", text, 1, "k", "x"), ("a", text + " more", 2, "k", "x"), ("c", "quite another text of some words", 3, "k", "x"), (None, text, 4, "k", "x"), ("d", None, 5, "k", "x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n_links int, key string, class_id string")
+    got = {r.doc_id: (r.n_links, r.class_id, r.kept) for r in chosen_path_join.join(df).collect()}
+    assert got == {"a": (1, "a", True), "b": (1, "a", False), "c": (0, "c", True), "d": (0, "d", True), None: (0, None, True)}
+    kept = chosen_path_join.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.n_links for r in kept.collect()) == [2, 3, 4, 5]
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, x, "a"), (1, y, "b"), (2, z, "c"), (3, x, "d"), (1, x, "e"), (1, x, "e"), (4, None, "f"), (4, None, "g"), (5, z + " tail", "h"), (5, y + " tail", "i"), (None, x, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = sorted((str(r.doc_id), r.row) for r in chosen_path_join.keep_one(df).collect())
+    assert kept == [("1", "a"), ("1", "b"), ("2", "c"), ("4", "f"), ("4", "g"), ("None", "j")]
+    assert sorted(r.row for r in chosen_path_join.keep_one(df.where("doc_id = 5 OR row = 'b'")).collect()) == ["b", "h"]
+
+
+def test_depth_grows_with_the_sets():
+    assert [chosen_path_join.levels_for(n) for n in (0, 1, 10**5, 10**6, 10**7, 10**9)] == [3, 3, 3, 3, 4, 6]
+    assert chosen_path_join.runs_needed(0.8, 6) > chosen_path_join.runs_needed(0.8, 3)
+
+
+def test_deeper_recursion_finds_all_links(spark):
+    r = random.Random(9)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{r.randint(0, 400)}" for _ in range(120)]
+        rows += [(len(rows) + k, " ".join(base[:-3] + [f"t{len(rows) + k}"] * 3)) for k in range(4)]
+    got = chosen_path_join.join(spark.createDataFrame(rows, "doc_id long, text string"), limit=2, levels=6).collect()
+    assert sorted((str(x.doc_id), x.n_links, str(x.class_id)) for x in got) == brute_classes(rows)
+
+
+def test_units_are_cut_by_bytes(spark):
+    from quern.llm._links import compare
+    from quern.llm._common import stage
+
+    members = stage(spark.createDataFrame([(7, k) for k in range(40)] + [(8, 1), (8, 2)], "leaf long, key long"))
+    payloads = spark.createDataFrame([(k, [k % 4], 1, 100) for k in range(40)], "key long, payload array<long>, weight long, bytes long")
+    sizes = []
+
+    def same(sets, split):
+        x = sets.flatten().to_numpy()
+        a, b = (slice(None),) * 2 if split is None else (slice(0, split), slice(split, None))
+        assert len(x) <= 40
+        return x[a][:, None] == x[b][None, :]
+
+    for most in (100_000, 500, 1):
+        out = compare(members, payloads, same, block_bytes=most)
+        assert sorted((r.key, r.n) for r in out.groupBy("key").agg(F.sum("links").alias("n")).collect()) == [(k, 9) for k in range(40)], (most, sizes)
 
 
 # ------------------------------------------------------------ language model
@@ -489,6 +543,51 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
 
 
+def test_classifiers_of_nothing(spark, edge):
+    none = edge.limit(0)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    assert quality_crf.train(none, labels) is None and quality_crf.train(edge, labels.limit(0)) is None
+    assert quality_crf.classify(none, None).count() == 0 and quality_crf.good(none, None).columns == edge.columns
+    assert language_id.train(none) is None and language_id.identify(none, None).count() == 0 and language_id.recognised(edge, None).count() == 0
+
+
+def test_states_and_pooling_are_the_plain_ones():
+    g = language_id.ByteBiGRU(["a", "b", "c"], 5, seed=3)
+    x = np.random.default_rng(2).integers(0, 256, (70, 9))
+    for d in "fb":
+        assert np.allclose(g._run(x, d)[0], g._states(x.astype(np.intp), d), atol=1e-5)
+    r = np.random.default_rng(4)
+    texts = [bytes(r.integers(1, 256, n, dtype=np.uint8)) for n in (0, 1, 7, 8, 63, 64, 65, 127, 128, 129, 700)]
+    together, alone = g.pool(texts), np.concatenate([g.pool([t]) for t in texts])
+    assert np.allclose(together, alone, atol=1e-6)
+
+    def plain(t):
+        """Segments one by one; a tail is run on the last bytes of its text."""
+        if not t:
+            return np.zeros(3)
+        n, total, k = language_id.SEGMENT, np.zeros(3), len(t) // language_id.SEGMENT
+        parts = [(t[i * n : i * n + n], n) for i in range(k)]
+        if tail := t[k * n :]:
+            parts.append((t[-n:], len(tail)) if k else (tail + b" " * (-len(tail) % 8), -len(tail)))
+        for s, m in parts:
+            q = g.position_probs(np.frombuffer(s, np.uint8)[:, None])[:, :, 0]
+            total += (q[:, :-m] if m < 0 and len(s) + m == 0 else q[:, : -m] if m < 0 else q[:, len(s) - m :]).sum(1)
+        return total / len(t)
+
+    assert np.allclose(together, [plain(t) for t in texts], atol=1e-5)
+
+
+def test_texts_of_no_language_are_not_recognised(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
+    model = language_id.train(docs)
+    r = random.Random(2)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    junk = spark.createDataFrame([(-i, "".join(r.choice(signs) for _ in range(3000))) for i in range(1, 9)], "doc_id long, text string")
+    assert language_id.recognised(junk, model).count() <= 1
+    some = docs.where("doc_id % 10 = 3").select("doc_id", "text")
+    assert language_id.recognised(some, model).count() >= 0.998 * some.count()
+
+
 def test_quality_edge_cases(spark, edge):
     out = quality_crf.classify(edge, None)
     assert {r.score for r in out.collect()} == {0.5} and out.count() == len(EDGE)
@@ -549,6 +648,41 @@ def test_spherical_filters_are_brute_force(spark):
     assert spherical_filters.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_spherical_filters_grow_with_the_table():
+    r = np.random.default_rng(5)
+    X = r.standard_normal((400, 64))
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    for n in (500, 50_000, 5_000_000):
+        words, cap = spherical_filters.codebook(n, 64)
+        each = np.mean([len(f) for f in spherical_filters.ProductCode(64, words, cap).decode(X)])
+        assert 0.6 * spherical_filters.FILTERS < each < 1.6 * spherical_filters.FILTERS  # memberships do not grow
+        assert n * each / words**2 < max(2 * spherical_filters.BUCKET, 0.1 * n)  # nor do filters fill
+
+
+def test_vectors_are_compared_within_their_lengths(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [1.0, 2.0]), (4, [1.0, 2.0]), (5, [2.0, 4.0, 6.0001]), (6, [5.0]), (7, [-5.0]), (8, [7.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in spherical_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (2, 1, False), 6: (1, 6, True), 7: (0, 7, True), 8: (1, 6, False)}
+    found = multi_index_hashing.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i < 9, k=5).collect()
+    near = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        near.setdefault(r.query_id, []).append(r.vec_id)
+    assert near == {1: [2, 5], 2: [1, 5], 5: [1, 2], 3: [4], 4: [3], 6: [8, 7], 7: [6, 8], 8: [6, 7]}
+
+
+def test_vectors_with_clashing_columns_repeated_ids_and_ties(spark):
+    rows = [("b", [1.0, 0.0], 1, "x"), ("a", [1.0, 0.01], 2, "x"), ("a", [0.0, 1.0], 3, "x"), ("a", [0.0, 1.0], 3, "x"), (None, [1.0, 0.0], 4, "x")]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>, key int, v string")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in spherical_filters.near_duplicates(df).collect())
+    assert got == [("None", 0, "None", True), ("a", 1, "a", True), ("a", 1, "a", True), ("a", 1, "a", True), ("b", 1, "a", False)]
+    ties = [(i, [float(i % 2), 1.0], 7, i) for i in range(8)] + [(3, [1.0, 1.0], 7, 3)]
+    df = spark.createDataFrame(ties, "vec_id long, embedding array<float>, row int, id long")
+    got = [(r["rank"], r.vec_id, r.score) for r in multi_index_hashing.search(df, lambda i: i == 0, k=6).collect()]
+    assert sorted(got) == [(1, 2, 0.0), (2, 4, 0.0), (3, 6, 0.0), (4, 1, 1.0), (5, 3, 1.0), (6, 3, 1.0)]
+    same = multi_index_hashing.search(df, lambda i: i == 3, k=2).collect()  # two rows of one id are two queries, each the other's candidate
+    assert sorted((r["rank"], r.vec_id) for r in same) == [(1, 1), (1, 1), (2, 3), (2, 3)]
+
+
 def test_components_of_a_chain(spark):
     from quern.llm._links import components
 
@@ -782,3 +916,51 @@ def test_pipeline(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
     assert sorted({r.doc_id for r in out}) == kept
     assert chosen_path_join.join(now).where("n_links > 0").count() == 0
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Nulls, empty texts, junk, repeated rows, clashing columns and no rows, in the table that run() reads."""
+    import corpus_pipeline
+
+    sf = SF.replace("0.001", "0.01")
+    some = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id"), "doc_id", "left_semi").limit(300)
+    clean = [(r.doc_id, r.text, r.lang) for r in some.collect()]
+    odd = [(-1, None, "en"), (-2, "", None), (-3, "  \n ", "de"), (-4, "12345 67", "en"), (None, clean[0][1], None), clean[1], clean[1], (clean[2][0], clean[3][1], "en")]
+    schema = "doc_id long, text string, lang string, score string, predicted string, lang_pred int, key string, id int"
+    df = spark.createDataFrame([(*x, "mine", "mine", 7, "k", 8) for x in [*clean, *odd]], schema)
+    now = df
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before, now = now, f(spark, now, sf).cache()
+        assert now.columns == df.columns and now.exceptAll(before).isEmpty(), name
+        assert {(x.score, x.predicted, x.lang_pred, x.key, x.id) for x in now.collect()} == {("mine", "mine", 7, "k", 8)}
+        if name == "language_id":
+            left = {x.doc_id for x in now.collect()}
+            assert left.isdisjoint({-1, -2, -3, -4}) and len(left & {i for i, _, _ in clean}) >= 0.99 * len(clean)
+    assert now.groupBy("doc_id", "text").count().where("count > 1").isEmpty()
+    out = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+    for name in ("labels",):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    df.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_are_the_operators(spark):
+    """Every stage against scores and classes worked out beside it."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    q = dict(zip(texts, model.pool([t.encode() for t in texts.values()]), strict=True))
+    chance = 1 / len(model.langs)
+    least = lambda t: chance + language_id.MARGIN * (1 - chance) * min(1, len(t.encode()) / 200) - 1e-6
+    want = {i for i, t in texts.items() if any(map(str.isalpha, t)) and q[i].max() >= least(t)}
+    first = corpus_pipeline.known_language(spark, docs, SF)
+    assert {r.doc_id for r in first.collect()} == want
+    crf = quality_crf.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    second = corpus_pipeline.good_quality(spark, docs, SF)
+    scores = dict(zip(texts, crf.score(list(texts.values())), strict=True))
+    assert {r.doc_id for r in second.collect()} == {i for i, x in scores.items() if x >= quality_crf.THRESHOLD}
+    third = corpus_pipeline.without_near_copies(spark, docs, SF)
+    assert {str(r.doc_id) for r in third.collect()} == {c for _, _, c in brute_classes(list(texts.items()))}
