@@ -4,7 +4,9 @@ Rows (bucket, key) say which buckets a key is in. Two keys are compared in every
 bucket that both are in, but a link counts only in the first of these (the smallest
 bucket number), so no pair is counted twice and none has to be written down. A bucket
 larger than BLOCK, or whose payloads exceed BLOCK_BYTES, is cut into blocks, and each pair of blocks is a unit of its own:
-any bucket is compared in whole, and no task holds more than two blocks. A unit gives
+any bucket is compared in whole, and no unit holds more than two blocks. Up to SPREAD blocks are
+of BLOCK keys, so that a middling bucket spreads; in larger ones, where every key goes to as many units as there
+are blocks, they grow to four times that. A unit gives
 at most one row per key: the number of links, and one neighbour in a tree that joins
 all keys its links connect.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._common import drop, stage
 
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+BLOCK, SPREAD, BLOCK_BYTES = 256, 16, 16 << 20
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -142,7 +144,7 @@ def compare(members: DataFrame, payloads: DataFrame, similar: Callable, count: b
         with_size = members.join(payloads.select("key", "bytes").hint("merge"), "key")
         size.append(F.sum("bytes").alias("bytes"))
     sizes = with_size.groupBy("leaf").agg(*size).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(float(block)))
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(4.0 * block)), F.least(F.ceil(F.col("n") / F.lit(float(block))), F.lit(SPREAD)))
     if "bytes" in payloads.columns:
         parts = F.greatest(parts, F.ceil(F.col("bytes") / F.lit(float(block_bytes))))
     sizes = stage(sizes.select("leaf", F.least(parts, F.col("n")).cast("int").alias("nb")))
