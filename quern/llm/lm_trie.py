@@ -25,7 +25,7 @@ sample, not the result.
 
 Blocks are found again by partition and place, so rows must come in the same partitions
 and order twice, as from files; other inputs are written first (`stable`). A block whose
-n-grams are not the ones that were answered is an error, not a wrong score.
+n-grams are not the ones that were answered is never scored: all is run again on a written copy.
 
 Edge cases: null and empty texts are the end token alone. Rows for which `learn` is null
 or false are scored and not learned from. Without training texts every score is that of an
@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import fold, stage, unit_hash
+from quern.llm._common import drop, fold, stage, unit_hash
 
 U = np.uint64
 ORDER = 3
@@ -53,6 +53,7 @@ DISCOUNT_1, DISCOUNTS = 0.5, (0.6, 0.7)  # of words; of pairs, triples and longe
 END, START = U(0x1D8AF066E1C2B3A5), U(0x2545F4914F6CDD1D)
 STEP = 1 / 24  # of the quantised log10 probabilities, one byte each
 NONE = 255  # the code of an n-gram that is not there
+OTHER_BLOCKS = "a block of texts is not the one that was answered: rows must come in the same partitions and order twice"
 POWERS = 10.0 ** (np.arange(256) * -STEP)
 NODE = U((1 << 40) - 1)  # rows of a block are shard << 40 | node
 BLOCK_TOKENS = 750_000
@@ -511,7 +512,7 @@ def _score_fn(deal: Deal, total: int, vocabulary: int):
         names = ["id", "n_tokens", "n_known", "base_score", "score"]
         block = Block(*_tokens_of(texts.column("text")), deal)
         if set(sent.column("check").to_pylist()) != {block.check()}:
-            raise RuntimeError("a block of texts is not the one that was answered: rows must come in the same partitions and order twice")
+            raise RuntimeError(OTHER_BLOCKS)
         answers = {s.as_py(): load(x.as_buffer()) for s, x in zip(sent.column("shard"), sent.column("data"), strict=True)}
         return pa.table([texts.column("id"), *map(pa.array, block.scores(answers, total, vocabulary))], names=names)
 
@@ -565,10 +566,22 @@ def score(df: DataFrame, learn: Column, id_col="doc_id", text_col="text", order:
     """
     if not 2 <= order <= 1 + len(DISCOUNTS):
         raise ValueError(f"the order must be from 2 to {1 + len(DISCOUNTS)}")
-    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    if not stable:
-        rows = stage(rows)
+    if stable:
+        try:
+            out, *counts = _scored(rows, order, block_tokens, shard_tokens)
+            return out.withColumnRenamed("id", id_col), *counts
+        except Exception as e:
+            if OTHER_BLOCKS not in str(e):  # as when a cluster that has lost or gained machines cuts files otherwise
+                raise
+    written = stage(rows)
+    out, *counts = _scored(written, order, block_tokens, shard_tokens)
+    drop(written)
+    return out.withColumnRenamed("id", id_col), *counts
+
+
+def _scored(rows: DataFrame, order: int, block_tokens: int, shard_tokens: int) -> tuple[DataFrame, int, int]:
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
     chars, texts = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     about = (chars or 0) // 6 + texts
     # the hash of a successor is as wide as the corpus asks for, wider where a context can have more successors
@@ -584,7 +597,9 @@ def score(df: DataFrame, learn: Column, id_col="doc_id", text_col="text", order:
     dealt = dealt.repartition(tasks, "block")
     told = answers.where("block >= 0").select("block", "shard", "check", "data").repartition(tasks, "block")
     out = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score_fn(deal, total, vocabulary), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return stage(out).withColumnRenamed("id", id_col), total, vocabulary
+    out = stage(out)
+    drop(answers)
+    return out, total, vocabulary
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -383,6 +383,16 @@ def test_lm_without_training_texts(spark, edge):
     assert out.count() == len(EDGE) and out.where("doc_id IS NULL").first().n_known < 4
 
 
+def test_lm_runs_again_where_rows_came_otherwise(spark, monkeypatch):
+    rows = lm_rows(40)
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(2)
+    deal_fn, sizes = lm_trie._deal_fn, [300]
+    monkeypatch.setattr(lm_trie, "_deal_fn", lambda size: deal_fn(sizes.pop() if sizes else size))
+    out, _, _ = lm_trie.score(df, F.col("learn"), stable=True, block_tokens=200)
+    want, _, _ = brute_lm(rows, 3)
+    assert not sizes and out.count() == len(rows) and all(abs(x.score - want[x.doc_id][3]) <= lm_trie.STEP / 2 * 3 * x.n_tokens for x in out.collect())
+
+
 def test_lm_answers_of_other_texts_are_an_error(spark):
     block = lm_trie.Block(*lm_trie.tokens(["a b c", "a d"]), lm_trie.Deal())
     assert block.check() != lm_trie.Block(*lm_trie.tokens(["a b c", "a e"]), lm_trie.Deal()).check()
