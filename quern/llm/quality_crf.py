@@ -15,6 +15,8 @@ Columns named like an output are replaced.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -114,47 +116,76 @@ class LineCRF:
         self.mean, self.std = np.zeros(N_FEATURES), np.ones(N_FEATURES)
         self.slope, self.bias = 1.0, 0.0
 
-    def marginals(self, X: np.ndarray, offsets: np.ndarray):
-        """(P(good) of each line, log Z of each text, expected transitions), all texts side by side."""
+    def marginals(self, X: np.ndarray, offsets: np.ndarray, most: int = 256):
+        """(P(good) of each line, log Z of each text, expected transitions), all texts side by side.
+
+        A text of more than `most` lines is cut into about as many segments as they have lines:
+        products of step matrices carry messages across them, so steps in a row grow with the root of the lines.
+        """
         e = ((X - self.mean) / self.std) @ self.w
         length = np.diff(offsets)
-        order = np.argsort(-length, kind="stable")
-        start, length = offsets[:-1][order], length[order]
-        steps = int(length[0]) if len(length) else 0
-        alive = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")  # texts that have a line t
+        longest = int(length.max(initial=0))
+        size = max(1, longest if longest <= most else math.isqrt(longest))
+        count = -(-length // size)
+        text = np.repeat(np.arange(len(length)), count)
+        begin = np.cumsum(count) - count  # the first segment of each text
+        index = np.arange(len(text)) - begin[text]
+        n = np.minimum(size, length[text] - index * size)
+        order = np.argsort(-n, kind="stable")
+        start, fresh = (offsets[:-1][text] + index * size)[order], (index == 0)[order]
+        steps = int(n.max(initial=0))
+        alive = np.searchsorted(-n[order], -np.arange(1, steps + 1), side="right")  # segments that have a line t
         E = np.exp(self.t - self.t.max())
         emit = np.stack([1 / (1 + np.exp(e)), 1 / (1 + np.exp(-e))], axis=1)  # scaled by a factor that marginals do not depend on
         log_scale = np.logaddexp(0, e)
+        ahead, behind = np.ones((len(text), 2)), np.ones((len(text), 2))  # messages into each segment
+        if len(text) > len(length):
+            M = np.tile(np.eye(2), (len(text), 1, 1))
+            for t in range(steps):
+                k = alive[t]
+                A = E[None] * emit[start[:k] + t][:, None, :]
+                if t == 0:
+                    A[fresh[:k]] = np.eye(2) * emit[start[:k][fresh[:k]]][:, None, :]
+                M[:k] = M[:k] @ A
+                M[:k] /= M[:k].sum((1, 2), keepdims=True)
+            M[order] = M.copy()
+            for j in range(1, int(count.max())):
+                at = begin[count > j] + j
+                v = (ahead[at - 1][:, None, :] @ M[at - 1])[:, 0]
+                ahead[at] = v / v.sum(1, keepdims=True)
+            for j in range(int(count.max()) - 1, 0, -1):
+                at = begin[count > j] + j
+                v = (M[at] @ behind[at][:, :, None])[:, :, 0]
+                behind[at - 1] = v / v.sum(1, keepdims=True)
+        ahead, behind = ahead[order], behind[order]
         alpha, beta = np.empty((len(e), 2)), np.empty((len(e), 2))
-        logz, cur = np.zeros(len(length)), None
+        logz, cur = np.zeros(len(text)), None
         for t in range(steps):
             k = alive[t]
             at = start[:k] + t
-            cur = emit[at] if t == 0 else (cur[:k] @ E) * emit[at]
+            into = (cur[:k] if t else ahead[:k]) @ E
+            cur = (into if t else np.where(fresh[:k, None], 1.0, into)) * emit[at]
             z = cur.sum(1, keepdims=True)
             cur = cur / z
             alpha[at] = cur
-            logz[:k] += np.log(z[:, 0]) + log_scale[at] + (self.t.max() if t else 0)
-        pairs = np.zeros((2, 2))
+            logz[:k] += np.log(z[:, 0]) + log_scale[at] + (self.t.max() if t else np.where(fresh[:k], 0.0, self.t.max()))
         nxt = np.zeros((0, 2))
         for t in range(steps - 1, -1, -1):
-            k = alive[t]
-            at = start[:k] + t
-            b = np.ones((k, 2))
-            if len(nxt):
-                m = len(nxt)
-                out = emit[start[:m] + t + 1] * nxt
-                joint = alpha[at[:m]][:, :, None] * E[None] * out[:, None, :]
-                pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-                b[:m] = out @ E.T
+            k, m = alive[t], len(nxt)
+            b = behind[:k].copy()
+            if m:
+                b[:m] = (emit[start[:m] + t + 1] * nxt) @ E.T
                 b[:m] /= b[:m].sum(1, keepdims=True)
-            beta[at] = b
+            beta[start[:k] + t] = b
             nxt = b
         good = alpha * beta
         good = good[:, 1] / good.sum(1)
-        back = np.empty(len(logz))
-        back[order] = logz
-        return good, back, pairs
+        inner = np.ones(len(e), bool)
+        inner[offsets[1:] - 1] = False  # lines with a next one
+        inner = np.flatnonzero(inner)
+        joint = alpha[inner][:, :, None] * E[None] * (emit[inner + 1] * beta[inner + 1])[:, None, :]
+        pairs = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        return good, np.bincount(text[order], logz, len(length)), pairs
 
     def fit(self, texts: list[str], labels: np.ndarray, epochs: int = 60, batch: int = 512, l2: float = 1e-3, seed: int = 0):
         X, weight, offsets = line_features(texts)

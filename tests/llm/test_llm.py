@@ -547,6 +547,22 @@ def test_crf_marginals_are_brute_force():
         assert np.allclose(good[a:b], [sum(q for q, y in zip(p, paths, strict=True) if y[i]) for i in range(b - a)])
 
 
+def test_crf_segments_of_long_texts_change_nothing():
+    import time
+
+    m = quality_crf.LineCRF()
+    r = np.random.default_rng(1)
+    m.w, m.t = r.standard_normal(quality_crf.N_FEATURES), r.standard_normal((2, 2))
+    lines = ["Abc DEF", "xx", "", "foo 12 !!", "one two three four"]
+    texts = ["\n".join(r.choice(lines, n)) for n in (1, 700, 3, 1000, 26, 27, 1, 441)]
+    X, _, off = quality_crf.line_features(texts)
+    whole, cut = m.marginals(X, off, most=10**9), m.marginals(X, off, most=20)
+    for a, b in zip(whole, cut, strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+    began = time.time()
+    assert 0 <= m.score(["\n".join(r.choice(lines, 300_000))])[0] <= 1 and time.time() - began < 10
+
+
 def test_quality_on_held_out_rows(spark):
     d = SF.replace("0.001", "0.01")
     rows = quality_crf.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
