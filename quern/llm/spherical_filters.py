@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from quern.llm._common import drop, stage
 from quern.llm._links import BLOCK, classes, compare
 
-CODES = 2
-FILTERS, BUCKET = 20, 128
+CODES = 6  # many codes of few filters each: the filters of one code overlap more than those of several
+FILTERS, BUCKET = 4, 128
 BITS = 128
 
 
@@ -54,19 +54,21 @@ class ProductCode:
         self.books = [b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12) * np.sqrt(0.5) for b in books]
         self.half, self.words, self.cap = half, words, cap
 
-    def decode(self, X: np.ndarray) -> list[np.ndarray]:
-        """The filters that each unit vector exceeds; the best one at least."""
-        Y = X @ self.rotation
+    def decode(self, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, filter) of all filters that unit vectors exceed, by vector; the best one of each at least."""
+        Y, rows = X @ self.rotation, np.arange(len(X))[:, None]
         A, B = Y[:, : self.half] @ self.books[0].T, Y[:, self.half :] @ self.books[1].T
         oa, ob = np.argsort(-A, axis=1), np.argsort(-B, axis=1)
-        out = []
-        for a, b, ia, ib in zip(np.take_along_axis(A, oa, 1), np.take_along_axis(B, ob, 1), oa, ob, strict=True):
-            n = np.searchsorted(-b, a - self.cap, side="left")  # of the second list, those that reach the cap with each of the first
-            n[0] = max(n[0], 1)
-            first = np.repeat(np.arange(len(a)), n)
-            second = np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-            out.append(ia[first] * self.words + ib[second])
-        return out
+        a, b = np.take_along_axis(A, oa, 1), np.take_along_axis(B, ob, 1)
+        # of the second list, those that reach the cap with each of the first; vectors lie 4 apart, so one search does for all
+        n = np.searchsorted((4 * rows - b).ravel(), (4 * rows + np.clip(a - self.cap, -1.5, 1.5)).ravel(), side="left").reshape(a.shape) - rows * self.words
+        n = np.clip(n, 0, self.words)
+        n[:, 0] = np.maximum(n[:, 0], 1)
+        one, first = np.nonzero(n)
+        times = n[one, first]
+        second = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        one, first = np.repeat(one, times), np.repeat(first, times)
+        return one, oa[one, first] * self.words + ob[one, second]
 
 
 def signs(dims: int, bits: int = BITS, seed: int = 17) -> np.ndarray:
@@ -108,9 +110,8 @@ def _marks_fn(books: dict[int, tuple[int, float]]):
 
     def run(it):
         codes: dict[int, tuple] = {}
-        for batch in it:
-            lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
+        for batch in (b.slice(i, 2048) for b in it for i in range(0, b.num_rows, 2048)):
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
             for dims in np.unique(sizes).tolist():
                 if dims not in codes:
                     words, cap = books[dims]
@@ -119,11 +120,12 @@ def _marks_fn(books: dict[int, tuple[int, float]]):
                 at = np.flatnonzero(sizes == dims)
                 part = batch.take(pa.array(at)) if len(at) < len(sizes) else batch
                 X = _unit(part.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dims))
-                each = [c.decode(X) for c in book]
-                place = lambda k: dims << 44 | k << 40  # noqa: E731, B023  filters of other lengths and codes are others
-                leaves = [np.concatenate([g + place(k) for k, g in enumerate(gs)]) for gs in zip(*each, strict=True)]
-                ends = np.cumsum([0, *map(len, leaves)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(leaves), pa.int64()))
+                # filters of other lengths and codes are others
+                each = [(one, f + (dims << 44 | k << 40)) for k, (one, f) in enumerate(c.decode(X) for c in book)]
+                one, flat = (np.concatenate(x) for x in zip(*each, strict=True))
+                order = np.argsort(one, kind="stable")
+                ends = np.searchsorted(one[order], np.arange(len(X) + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[order], pa.int64()))
                 sign = np.packbits(X @ R > 0, axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([x.tobytes() for x in sign], pa.binary())], ["key", "leaves", "sign"])
 
