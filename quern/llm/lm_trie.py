@@ -55,7 +55,7 @@ STEP = 1 / 24  # of the quantised log10 probabilities, one byte each
 NONE = 255  # the code of an n-gram that is not there
 OTHER_BLOCKS = "a block of texts is not the one that was answered: rows must come in the same partitions and order twice"
 POWERS = 10.0 ** (np.arange(256) * -STEP)
-NODE = U((1 << 40) - 1)  # rows of a block are shard << 40 | node
+NODE = U((1 << 32) - 1)  # rows of a block are shard << 32 | node
 BLOCK_TOKENS = 750_000
 SHARD_TOKENS = 750_000
 MOST_TASKS = 20_000
@@ -128,7 +128,7 @@ class Deal:
     parts: tuple[np.ndarray, ...] = field(default_factory=lambda: (np.zeros(0, U),) * (ORDER - 1))  # into how many their successors go
 
     def shard(self, h: np.ndarray) -> np.ndarray:
-        return ((h >> U(44)) * U(self.shards) >> U(20)).astype(np.int32)
+        return ((h >> U(32)) * U(self.shards) >> U(32)).astype(np.int32)
 
     def among(self, level: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(is it hot?, parts) of context hashes of a level (0: words)."""
@@ -191,13 +191,13 @@ class Block:
         self.rows: list = [None] * deal.order
         need = np.zeros(0, U)
         for level in range(deal.order - 1, -1, -1):
-            pairs = [need, self.routes[level].astype(U) << U(40) | np.arange(len(self.routes[level]), dtype=U)]
+            pairs = [need, self.routes[level].astype(U) << U(32) | np.arange(len(self.routes[level]), dtype=U)]
             if level < deal.order - 1 and self.hot[level].any():  # all parts of a common context tell their share of it
                 k = np.flatnonzero(self.hot[level])
                 parts = deal.among(level, hashes[level][k])[1].astype(np.int64)
                 each = spans(np.zeros(len(k), np.int64), parts).astype(U)
                 to = deal.shard(mix(np.repeat(hashes[level][k], parts) + U(1) + each))
-                pairs.append(to.astype(U) << U(40) | np.repeat(k, parts).astype(U))
+                pairs.append(to.astype(U) << U(32) | np.repeat(k, parts).astype(U))
             self.rows[level] = merged(pairs)
             need = self._up(level) if level else need
 
@@ -211,7 +211,7 @@ class Block:
 
     def _own(self, level: int) -> np.ndarray:
         """Is the row that of the node's own shard?"""
-        return self.routes[level][self._node(level)] == (self.rows[level] >> U(40)).astype(np.int32)
+        return self.routes[level][self._node(level)] == (self.rows[level] >> U(32)).astype(np.int32)
 
     def check(self) -> int:
         """A number that tells blocks of other n-grams apart."""
@@ -228,7 +228,7 @@ class Block:
             counts.append(np.where(self._own(level), n[self._node(level)], 0))
             if level:
                 runs.append(np.bincount(self._above(level), minlength=len(self.rows[level - 1])))
-        edges = [np.searchsorted(r, np.arange(deal.shards + 1, dtype=U) << U(40)) for r in self.rows]
+        edges = [np.searchsorted(r, np.arange(deal.shards + 1, dtype=U) << U(32)) for r in self.rows]
         nodes = [self._node(level) for level in range(deal.order)]
         for s in range(deal.shards):
             a, b = edges[0][s], edges[0][s + 1]
