@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,8 +232,8 @@ def keep_one(df: DataFrame, id_col="doc_id", text_col="text", **settings) -> Dat
     rest = whole.mapInArrow(_keys_fn, kinds)
     stays = named.where("kept and stands and key is not null").select("id", "key").distinct()
     alone = rest.where("key is null")
-    first = rest.where("key is not null").join(stays.hint("merge"), ["id", "key"], "left_semi").withColumn("text_of_row", F.to_json("row"))
-    first = first.withColumn("place", F.row_number().over(Window.partitionBy("id", "key").orderBy("text_of_row"))).where("place = 1")
+    # map-side, as one text may be most of the rows
+    first = rest.where("key is not null").join(stays.hint("merge"), ["id", "key"], "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return out.unionByName(alone.select("row.*")).unionByName(first.select("row.*")).unionByName(df.where(here_id.isNull()))
 
 
