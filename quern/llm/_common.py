@@ -83,12 +83,11 @@ def unit_hash(col: Column, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(col, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def windows_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, chars: int | None):
+def labelled_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int):
     """At most per_label rows for each label, as pandas (id, label, text).
 
     One scan counts the labels and one keeps the ids whose hash falls under the
-    label's share. With chars, a text is one window of that many characters at a
-    place drawn from the id. The driver holds labels x per_label rows at most.
+    label's share. Texts are whole. The driver holds labels x per_label rows at most.
     """
     rows = df.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
@@ -97,14 +96,10 @@ def windows_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, pe
     share = F.lit(0.0)
     for label, n in sorted(counts.items(), key=str):
         share = F.when(F.col(label_col) == F.lit(label), F.lit(1.15 * per_label / n)).otherwise(share)
-    text = F.col(text_col)
-    if chars:
-        at = F.floor(unit_hash(F.col(id_col), 11) * F.greatest(F.char_length(text) - F.lit(chars), F.lit(1)))
-        text = F.substr(text, at.cast("int") + F.lit(1), F.lit(chars))
     draw = unit_hash(F.col(id_col))
     got = (
         rows.where(draw < share)
-        .select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), text.alias("text"), draw.alias("draw"))
+        .select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"), draw.alias("draw"))
         .limit(3 * per_label * max(1, len(counts)))
         .toPandas()
         .sort_values(["label", "draw", "id", "text"], kind="stable")

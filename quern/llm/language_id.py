@@ -1,6 +1,6 @@
 """Language ID: a bidirectional gated recurrent network over UTF-8 bytes, in numpy.
 
-Training: windows of labelled texts, cut into short byte strings; every position
+Training: labelled texts, cut into short byte strings; every position
 carries the language of its text; cross-entropy by backpropagation through time,
 Adam. Prediction: a whole text is cut into segments of SEGMENT bytes, all segments
 of a batch run through the network side by side, the softmax at every position is
@@ -20,13 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import fold, windows_sample
+from quern.llm._common import fold, labelled_sample
 
 SEGMENT = 64
 BATCH_BYTES = 1 << 20
 HIDDEN = 8
-TRAIN_PER_LANG = 600
-TRAIN_CHARS = 192
+TRAIN_PER_LANG = 120
 MARGIN, SURE = 0.2, 200
 
 
@@ -142,7 +141,7 @@ class ByteBiGRU:
                 back = back * (1 - z) + drs * r + dg @ U.T
         return loss, G
 
-    def fit(self, texts: list[bytes], labels: list[str], epochs: int = 4, batch: int = 128, steps: int = 48, seed: int = 1):
+    def fit(self, texts: list[bytes], labels: list[str], epochs: int = 2, batch: int = 128, steps: int = 48, seed: int = 1):
         """Adam on byte strings of `steps` bytes cut from texts."""
         index = {v: i for i, v in enumerate(self.langs)}
         xs, ys = [], []
@@ -219,9 +218,9 @@ class ByteBiGRU:
         np.add.at(total, own, (q.sum(1) if mask is None else np.einsum("ltb,tb->lb", q, mask)).T)
 
 
-def train(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_lang: int = TRAIN_PER_LANG, chars: int = TRAIN_CHARS, held_out_mod: int = 5) -> ByteBiGRU | None:
-    """Fit on at most per_lang windows of `chars` characters for each language, none from the held-out fold."""
-    got = windows_sample(df.where(fold(id_col, held_out_mod) != 0), id_col, text_col, lang_col, per_lang, chars)
+def train(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_lang: int = TRAIN_PER_LANG, held_out_mod: int = 5) -> ByteBiGRU | None:
+    """Fit on at most per_lang whole texts of each language, none from the held-out fold."""
+    got = labelled_sample(df.where(fold(id_col, held_out_mod) != 0), id_col, text_col, lang_col, per_lang)
     if got is None or not len(got):
         return None
     langs = sorted(set(got["label"]))

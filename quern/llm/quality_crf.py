@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import fold, windows_sample
+from quern.llm._common import fold, labelled_sample
 
 TRAIN_PER_LABEL = 1500
 THRESHOLD = 0.3
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
     share = F.when(F.col(label_col) == 0, F.lit(1.15 * per_label / counts[0])).otherwise(F.lit(1.15 * per_label / counts[1]))
     drawn = named.where(unit_hash(F.col(id_col)) < share).limit(3 * per_label)
-    got = windows_sample(docs.select(id_col, text_col).join(F.broadcast(drawn), id_col), id_col, text_col, label_col, per_label, None)
+    got = labelled_sample(docs.select(id_col, text_col).join(F.broadcast(drawn), id_col), id_col, text_col, label_col, per_label)
     if got is None or got["label"].nunique() < 2:
         return None
     y = got["label"].to_numpy(int)
