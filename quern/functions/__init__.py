@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +30,14 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     up, along = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.pow(F.sin(up), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(along), F.lit(2.0))
     return F.lit(2 * radius) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+@contextmanager
+def geometry(spark: SparkSession) -> Iterator[None]:
+    """Lets frames be built with Spark's geometry type and st_ functions, which are off by default; they run later without it."""
+    before = spark.conf.get(flag := "spark.sql.geospatial.enabled")
+    spark.conf.set(flag, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(flag, before)

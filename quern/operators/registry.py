@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ def both(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
     ORACLES[name] = (duck_sql or spark_sql).replace("{", "").replace("}", "")
 
 
-L = lambda c: F.col(c).cast("long")
+L = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
 R2 = lambda c: F.round(c, 2)
 
 # ------------------------------------------------------------ A. scan, filter, projection
@@ -374,6 +376,19 @@ _POINTS = f"""WITH c AS (SELECT c_custkey, c_nationkey, CAST({_LAT.format(k="c_c
 s AS (SELECT s_suppkey, CAST({_LAT.format(k="s_suppkey")} AS DOUBLE) AS s_lat, CAST({_LON.format(k="s_suppkey")} AS DOUBLE) AS s_lon FROM supplier)"""
 
 
+def g1_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in well-known binary through the geometry type, with a reference system, and back."""
+    k = F.col("r_regionkey")
+    points = table(spark, sf_dir, "region").select(k, udf.point_wkb(k.cast("double"), (4 - k).cast("double")).alias("w"))
+    with Q.geometry(spark):
+        return points.select("r_regionkey", L(F.expr("st_srid(st_setsrid(st_geomfromwkb(w), 4326))")).alias("srid"), F.hex(F.expr("st_asbinary(st_geomfromwkb(w))")).alias("wkb"))
+
+
+QUERIES["g1_wkb"] = g1_wkb
+_DOUBLES = [struct.pack("<d", k).hex().upper() for k in range(5)]
+ORACLES["g1_wkb"] = f"SELECT r_regionkey, CAST(4326 AS BIGINT) AS srid, '0101000000' || d[r_regionkey + 1] || d[5 - r_regionkey] AS wkb FROM region, (SELECT {_DOUBLES} AS d)"
+
+
 @query(f"{_POINTS} SELECT c_custkey, round({_KM.format(a='c', b='s')}, 3) AS km FROM c JOIN s ON s_suppkey = c_custkey % 10")
 def g2_great_circle(t):
     c = _points(t("customer"), "c_custkey", "c").withColumn("s_suppkey", F.col("c_custkey") % 10)
