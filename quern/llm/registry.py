@@ -1,4 +1,4 @@
-"""Queries of the training-data operators. Of these only op8_chat_formatting can be put in SQL."""
+"""Queries of the training-data operators, and the SQL of those that can be put so."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from quern.llm import (
     best_fit_packing,
     chat_format,
     chosen_path_join,
+    conversation_repair,
     html_extraction,
     language_id,
     lm_trie,
     multi_index_hashing,
+    oracles,
     quality_crf,
     sentencepiece_tokenizers,
     spherical_filters,
@@ -26,8 +28,10 @@ QUERIES = {
     "op8_chat_formatting": chat_format.query,
     "op9_embedding_near_dedup": spherical_filters.query,
     "op10_sentencepiece": sentencepiece_tokenizers.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 ORACLES: dict[str, str] = {
+    "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op8_chat_formatting": r"""WITH said AS (
     SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
     UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)
