@@ -62,3 +62,24 @@ CONVERSATION_REPAIR = rf"""WITH RECURSIVE said AS (
 SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
     coalesce(sha, sha256('')) AS repaired_sha256
 FROM audits a LEFT JOIN figures f ON a.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN repaired r ON a.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION = f"""WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents
+), t AS (
+    SELECT item_id, {_WORDS} AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win
+    FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM t WHERE len(w) > 0)
+), places AS (
+    SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS win
+    FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), hits AS (
+    SELECT r, k, i, item_id FROM places JOIN windows USING (k, win)
+), words AS (
+    SELECT r, count(DISTINCT i + o) AS n_hit FROM (SELECT r, i, unnest(range(k)) AS o FROM (SELECT DISTINCT r, i, k FROM hits)) GROUP BY r
+), items AS (
+    SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""

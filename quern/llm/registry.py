@@ -7,6 +7,7 @@ from quern.llm import (
     chat_format,
     chosen_path_join,
     conversation_repair,
+    decontamination,
     html_extraction,
     language_id,
     lm_trie,
@@ -15,6 +16,7 @@ from quern.llm import (
     quality_crf,
     sentencepiece_tokenizers,
     spherical_filters,
+    token_alignment,
 )
 
 QUERIES = {
@@ -28,9 +30,14 @@ QUERIES = {
     "op8_chat_formatting": chat_format.query,
     "op9_embedding_near_dedup": spherical_filters.query,
     "op10_sentencepiece": sentencepiece_tokenizers.query,
+    "op11_token_alignment": token_alignment.query,
+    "op12_decontamination": decontamination.query,
     "op13_conversation_repair": conversation_repair.query,
 }
 ORACLES: dict[str, str] = {
+    "op11_token_alignment": token_alignment.query,
+    "op12_decontamination": decontamination.query,
+    "op12_decontamination": oracles.DECONTAMINATION,
     "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op8_chat_formatting": r"""WITH said AS (
     SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
