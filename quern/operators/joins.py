@@ -45,12 +45,17 @@ def band(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width:
     """Pairs with right_at in [left_at, left_at + width], equal keys if there are any, and the exact condition, without a nested loop.
 
     Positions are cut into bins of the band's width. A right row is in its bin only, a
-    left row in its own and the next one, so no pair appears twice, and a key with most
-    of the rows spreads over its bins.
+    left row in all from its own to that of its upper end (two, seldom three), so no pair
+    appears twice, and a key with most of the rows spreads over its bins. The upper end is
+    taken with what rounding may add to a sum of doubles, or of integers beyond 2^53.
     """
-    bin_of = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(width))).cast("long")
-    l = left.withColumn("__bin", F.explode(F.array(bin_of(left_at), bin_of(left_at) + 1)))
-    r = right.withColumn("__bin", bin_of(right_at))
+    if not width > 0:
+        raise ValueError("the width of a band must be positive")
+    bin_of = lambda x: F.floor(x / F.lit(float(width))).cast("long")
+    at = F.col(left_at).cast("double")
+    end = at + F.lit(float(width))
+    l = left.withColumn("__bin", F.explode(F.sequence(bin_of(at), bin_of(end + F.abs(end) * F.lit(2.0**-51)))))
+    r = right.withColumn("__bin", bin_of(F.col(right_at).cast("double")))
     return l.join(r, [*keys, "__bin"]).where(condition).drop("__bin")
 
 
@@ -67,7 +72,9 @@ def near(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at:
     """
     from quern.functions import great_circle
 
-    deg = math.degrees(km / EARTH_KM)
+    if not km >= 0:
+        raise ValueError("a distance cannot be negative")
+    deg = max(math.degrees(km / EARTH_KM), 1e-6)  # cells of a decimetre at least
     bands = max(1, math.floor(180 / deg))
     tall = 180 / bands
     ok = lambda lat, lon: F.col(lat).between(-90, 90) & F.col(lon).between(-360, 360)

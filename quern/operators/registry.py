@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern import functions as Q
 from quern.functions import udf
-from quern.operators import joins
+from quern.operators import joins, spatial
 from quern.operators.quantiles import quantile
 from quern.plans import scratch
 from quern.sources import FORMATS, read, table, write
@@ -387,6 +387,115 @@ def g3_distance_join(t):
     return joins.near(s, c, ("s_lat", "s_lon"), ("c_lat", "c_lon"), 400).select("s_suppkey", "c_custkey")
 
 
+# ------------------------------------------------------------ G. shapes drawn from keys, in the plane of longitude and latitude
+
+# corners about a centre: an arrow-like star, and in it a diamond that is a hole
+_STAR = ((-9, -6), (0, -10), (9, -6), (4, 0), (9, 6), (0, 10), (-9, 6), (-4, 0))
+_HOLE = ((-2, 0), (0, -3), (2, 0), (0, 3))
+_MIDDLE = {"x": "CAST(({k}) * 7 % 31 * 10 - 150 AS DOUBLE)", "y": "CAST(({k}) * 11 % 13 * 10 - 60 AS DOUBLE)"}
+
+
+def _ring(corners, key: str, size: str) -> str:
+    """The SQL of a ring about the key's centre, for Spark."""
+    x, y = (_MIDDLE[c].format(k=key) for c in "xy")
+    return "array(" + ", ".join(f"named_struct('x', {x} + {i} * {size}, 'y', {y} + {j} * {size})" for i, j in corners) + ")"
+
+
+def _shapes(df: DataFrame, key: str, size: str = "1.0") -> DataFrame:
+    return df.select(key, F.expr(f"array({_ring(_STAR, key, size)}, {_ring(_HOLE, key, size)})").alias("shape"))
+
+
+def _duck_edges(table: str, key: str, size: str = "1.0") -> str:
+    """The same shapes' edges in DuckDB."""
+    x, y = (_MIDDLE[c].format(k=key) for c in "xy")
+    ends = [(a, b) for ring in (_STAR, _HOLE) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    rows = ", ".join(f"({i}, {j}, {u}, {v})" for (i, j), (u, v) in ends)
+    return f"(SELECT {key}, {x} + a * {size} AS x1, {y} + b * {size} AS y1, {x} + c * {size} AS x2, {y} + d * {size} AS y2 FROM {table}, (VALUES {rows}) t(a, b, c, d))"
+
+
+_ON = "(x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) = 0 AND px BETWEEN least(x1, x2) AND greatest(x1, x2) AND py BETWEEN least(y1, y2) AND greatest(y1, y2)"
+_RAY = "(y1 <= py) <> (y2 <= py) AND px < x1 + (x2 - x1) * (py - y1) / nullif(y2 - y1, 0)"
+_INSIDE = f"bool_or({_ON}) OR count(*) FILTER (WHERE {_RAY}) % 2 = 1"
+
+
+@query(f"""SELECT n_nationkey, c_custkey FROM (SELECT c_custkey, CAST({_LON.format(k="c_custkey")} AS DOUBLE) AS px, CAST({_LAT.format(k="c_custkey")} AS DOUBLE) AS py FROM customer),
+{_duck_edges("nation", "n_nationkey")} GROUP BY n_nationkey, c_custkey HAVING {_INSIDE}""")
+def g4_contains(t):
+    """Customers in shapes of nations."""
+    return spatial.contains(_points(t("customer"), "c_custkey", "c"), _shapes(t("nation"), "n_nationkey"), ("c_lon", "c_lat"), "n_nationkey", "shape", 2.0).select("n_nationkey", "c_custkey")
+
+
+@query(f"""{_POINTS}, d AS (SELECT c_custkey, s_suppkey, round({_KM.format(a="c", b="s")}, 6) AS km FROM c, s)
+SELECT c_custkey, s_suppkey, round(km, 3) AS km, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS rank FROM d) WHERE rank <= 3""")
+def g4_nearest(t):
+    """The three suppliers nearest to each customer."""
+    c, s = _points(t("customer"), "c_custkey", "c"), _points(t("supplier"), "s_suppkey", "s")
+    out = spatial.nearest(c, s, ("c_lat", "c_lon"), ("s_lat", "s_lon"), "c_custkey", "s_suppkey", 3)
+    return out.select("c_custkey", "s_suppkey", F.round("km", 3).alias("km"), "rank")
+
+
+_TURN = "sign(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+
+
+def _crossing() -> str:
+    turn = lambda a, b, c: _TURN.format(a=a, b=b, c=c)
+    meet = f"{turn('e', 'f', 'g')} * {turn('e', 'f', 'h')} <= 0 AND {turn('g', 'h', 'e')} * {turn('g', 'h', 'f')} <= 0"
+    return meet + "".join(f" AND least(e{v}, f{v}) <= greatest(g{v}, h{v}) AND least(g{v}, h{v}) <= greatest(e{v}, f{v})" for v in "xy")
+
+
+_SIZE = "(0.25 + s_suppkey % 4 * 0.125)"
+
+
+@query(f"""WITH l AS {_duck_edges("nation", "n_nationkey")}, r AS {_duck_edges("supplier", "s_suppkey", _SIZE)},
+crossed AS (SELECT DISTINCT n_nationkey, s_suppkey FROM (SELECT n_nationkey, x1 AS ex, y1 AS ey, x2 AS fx, y2 AS fy FROM l), (SELECT s_suppkey, x1 AS gx, y1 AS gy, x2 AS hx, y2 AS hy FROM r) WHERE {_crossing()}),
+inner_r AS (SELECT DISTINCT n_nationkey, s_suppkey FROM (SELECT n_nationkey, s_suppkey, px, py FROM l, (SELECT s_suppkey, x1 AS px, y1 AS py FROM r) GROUP BY ALL HAVING {_INSIDE})),
+inner_l AS (SELECT DISTINCT n_nationkey, s_suppkey FROM (SELECT n_nationkey, s_suppkey, px, py FROM r, (SELECT n_nationkey, x1 AS px, y1 AS py FROM l) GROUP BY ALL HAVING {_INSIDE}))
+FROM crossed UNION FROM inner_r UNION FROM inner_l""")
+def g4_intersects(t):
+    """Shapes of nations and smaller ones of suppliers that have a point in common."""
+    return spatial.intersects(_shapes(t("nation"), "n_nationkey"), _shapes(t("supplier"), "s_suppkey", _SIZE), "n_nationkey", "s_suppkey", "shape", "shape", 4.0)
+
+
+# a path for each region: bends about its own latitude
+_BENDS = ((-170, 0), (-90, 12), (-90, -12), (0, 3), (45, 3), (170, -7))
+_PATH_Y = "CAST({k} * 25 - 50 AS DOUBLE)"
+_AT_ORDER = {"x": "CAST(o_orderkey * 104729 % 36000 / 100.0 - 180 AS DOUBLE)", "y": "CAST(o_orderkey * 7919 % 17900 / 100.0 - 89.5 AS DOUBLE)"}
+_SEGMENTS = ", ".join(f"({a}, {b}, {c}, {d})" for (a, b), (c, d) in zip(_BENDS, _BENDS[1:], strict=False))
+
+
+@query(f"""SELECT r_regionkey, o_orderkey, round(min(sqrt(power(px - (x1 + f * (x2 - x1)), 2) + power(py - (y1 + f * (y2 - y1)), 2))), 6) AS distance FROM (
+SELECT *, least(1.0, greatest(0.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)))) AS f FROM (SELECT o_orderkey, {_AT_ORDER["x"]} AS px, {_AT_ORDER["y"]} AS py FROM orders),
+(SELECT r_regionkey, CAST(a AS DOUBLE) AS x1, {_PATH_Y.format(k="r_regionkey")} + b AS y1, CAST(c AS DOUBLE) AS x2, {_PATH_Y.format(k="r_regionkey")} + d AS y2 FROM region, (VALUES {_SEGMENTS}) v(a, b, c, d)))
+GROUP BY r_regionkey, o_orderkey HAVING min(sqrt(power(px - (x1 + f * (x2 - x1)), 2) + power(py - (y1 + f * (y2 - y1)), 2))) <= 1.25""")
+def g4_corridor(t):
+    """Orders within a corridor along the regions' paths."""
+    orders = t("orders").select("o_orderkey", *(F.expr(_AT_ORDER[c]).alias(c) for c in "xy"))
+    y = _PATH_Y.format(k="r_regionkey")
+    paths = t("region").select("r_regionkey", F.expr("array(" + ", ".join(f"named_struct('x', {i}D, 'y', {y} + {j})" for i, j in _BENDS) + ")").alias("path"))
+    out = spatial.corridor(orders, paths, ("x", "y"), "o_orderkey", "r_regionkey", "path", 1.25)
+    return out.select("r_regionkey", "o_orderkey", F.round("distance", 6).alias("distance"))
+
+
+def _duck_grid() -> str:
+    """Transverse Mercator in DuckDB, with the series written out."""
+    east, north = "eta", "xi"
+    for j, a in enumerate(spatial.ALPHA, 1):
+        east += f" + {a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)"
+        north += f" + {a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)"
+    e, scale = repr(spatial._E), repr(spatial.SCALE * spatial.RADIUS)
+    return f"""SELECT c_custkey, round({spatial.EAST} + {scale} * ({east}), 3) AS east, round({scale} * ({north}), 3) AS north, round(c_lat, 2) AS lat, round(c_lon, 2) AS lon FROM (
+SELECT *, atan2(t, cos(along)) AS xi, atanh(sin(along) / sqrt(1 + t * t)) AS eta FROM (
+SELECT *, sinh(atanh(sin(radians(c_lat))) - {e} * atanh({e} * sin(radians(c_lat)))) AS t, radians(c_lon - meridian) AS along FROM (SELECT *, floor(c_lon / 6) * 6 + 3 AS meridian FROM c)))"""
+
+
+@query(f"{_POINTS} {_duck_grid()}")
+def g4_projection(t):
+    """Customers on the grid of their six-degree zone, and back."""
+    c = _points(t("customer"), "c_custkey", "c").withColumn("meridian", F.floor(F.col("c_lon") / 6) * 6 + 3)
+    out = spatial.from_grid(spatial.to_grid(c, "c_lat", "c_lon", "meridian").drop("c_lat", "c_lon"), "east", "north", "meridian")
+    return out.select("c_custkey", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"))
+
+
 # ------------------------------------------------------------ H. functions of the user's own
 
 
@@ -411,11 +520,11 @@ def h3_table_function(t):
 # ------------------------------------------------------------ streams, run to their end
 
 
-def _streamed(name: str, build, sql: str | None = None, mode: str = "append") -> None:
+def _streamed(name: str, build, sql: str | None = None, mode: str = "append", keys: tuple[str, ...] = ()) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from quern.streaming import drain, events
 
-        return drain(build(events(spark, sf_dir)), mode)
+        return drain(build(events(spark, sf_dir)), mode, keys=keys)
 
     QUERIES[name] = run
     if sql:
@@ -431,9 +540,9 @@ def _streams() -> None:
     _streamed("f6_stream_dedup", lambda e: S.first_seen(e).select("user_id"), "SELECT DISTINCT user_id FROM events")
     _streamed("f7_stream_interval_join", lambda e: S.views_before_clicks(e), """SELECT v.event_id AS view_id, c.event_id AS click_id FROM events v JOIN events c ON v.user_id = c.user_id
 AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 30 MINUTE WHERE v.event_type = 'view' AND c.event_type = 'click'""")
-    _streamed("f9_stream_state", lambda e: S.totals(e), "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1", "update")
+    _streamed("f9_stream_state", lambda e: S.totals(e), "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1", "update", ("user_id",))
 
-    _streamed("f8_stream_processor", lambda e: S.totals_processor(e), ORACLES["f9_stream_state"], "update")
+    _streamed("f8_stream_processor", lambda e: S.totals_processor(e), ORACLES["f9_stream_state"], "update", ("user_id",))
     _streamed("a5_stream_scan", lambda e: e.select("event_id", "user_id", "event_type", "value"), "SELECT event_id, user_id, event_type, value FROM events")
     QUERIES["f10_stream_late"] = S.late_rows
     ORACLES["f10_stream_late"] = """WITH e AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS start FROM events),

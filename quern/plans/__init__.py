@@ -36,6 +36,13 @@ def scratch(spark: SparkSession) -> str:
     return _FOLDERS[-1][1]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a scratch folder, read again: its lineage ends there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sweep() -> None:
     for spark, path in _FOLDERS:
         try:

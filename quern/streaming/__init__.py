@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern import sources
 from quern.plans import scratch
@@ -22,18 +23,20 @@ def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 100) -> Data
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(df: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and return what it put out.
+def drain(df: DataFrame, mode: str = "append", at: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over what is there now and return its result.
 
     Each batch is a Parquet folder of its own number, so a batch that runs again after a
-    failure replaces itself and nothing passes through the driver; in complete mode the
-    last batch is the result. State is kept in RocksDB. With `at`, the folder of an
+    failure replaces itself and nothing passes through the driver. In append mode the result is what all
+    batches put out, in complete mode the last one, in update mode the latest row of each of `keys`. State is kept in RocksDB. With `at`, the folder of an
     earlier run, that run is carried on and the rows of both are returned.
     """
+    if (mode == "update") != bool(keys):
+        raise ValueError("update mode, and no other, needs the keys whose latest row counts")
     spark, at = df.sparkSession, at or scratch(df.sparkSession)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out/{0 if mode == 'complete' else number}")
+        batch.write.mode("overwrite").parquet(f"{at}/out/__batch={0 if mode == 'complete' else number}")
 
     store = spark.conf.get(_STORE)
     spark.conf.set(_STORE, _ROCKSDB)
@@ -43,8 +46,13 @@ def drain(df: DataFrame, mode: str = "append", at: str | None = None) -> DataFra
         spark.conf.set(_STORE, store)
     q.awaitTermination()
     out = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
-    some = out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out)
-    return spark.read.schema(df.schema).parquet(f"{at}/out/*") if some else spark.createDataFrame([], df.schema)
+    if not out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out):
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("__batch", LongType())])).parquet(f"{at}/out")
+    if mode != "update":
+        return rows.drop("__batch")
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "__batch").alias("__row"))
+    return latest.select(F.inline(F.array("__row")))
 
 
 def tumbling(e: DataFrame, width: str, late: str = "1 hour") -> DataFrame:

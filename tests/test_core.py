@@ -184,17 +184,28 @@ def test_streams_of_many_batches(spark, in_files, name):
         got = sorted(map(tuple, S.drain(S.views_before_clicks(s)).collect()))
         assert got and got == sorted(map(tuple, S.views_before_clicks(e).collect()))
     else:
-        rows = S.drain(getattr(S, name)(s), "update").collect()
-        best = {}
-        for r in rows:
-            best[r.user_id] = max(best.get(r.user_id, (0, 0.0)), (r.n, r.total))
+        rows = S.drain(getattr(S, name)(s), "update", keys=("user_id",)).collect()
         want = {r.user_id: (r.n, r.total) for r in e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).collect()}
-        assert len(rows) > len(want)  # users come again in later batches, on the state of the earlier ones
-        assert {k: v[0] for k, v in best.items()} == {k: v[0] for k, v in want.items()} and all(abs(best[k][1] - v[1]) < 0.05 for k, v in want.items())
+        assert len(rows) == len(want)  # users come again in later batches: the latest row counts
+        assert {r.user_id: r.n for r in rows} == {k: v[0] for k, v in want.items()} and all(abs(r.total - want[r.user_id][1]) < 0.05 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["f8_stream_processor", "f9_stream_state"])
+def test_registered_state_queries_over_many_files(spark, in_files, tmp_path, name):
+    """101 files are two batches; each user has one row."""
+    parts = tmp_path / "events.parquet"
+    parts.mkdir()
+    e = spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").toPandas()
+    for i in range(101):
+        e.iloc[i::101].astype({"ts": "datetime64[us]"}).to_parquet(parts / f"p{i:03}.parquet", index=False)
+    assert len(list(parts.iterdir())) == 101
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    want = dict(e.groupby("user_id").size())
+    assert len(got) == len(want) and {r.user_id: r.n for r in got} == want
 
 
 def test_entry_without_the_training_subpackage(tmp_path):
-    """Queries import and run without the optional parts; an error inside them is not swallowed."""
+    """Queries import and run without the optional parts; a package that these lack is named in a warning."""
     import shutil
     import subprocess
     import sys
@@ -212,4 +223,5 @@ def test_entry_without_the_training_subpackage(tmp_path):
     assert run().stdout.split() == [str(n), "True"]
     (tmp_path / "quern/llm/__init__.py").write_text("")
     (tmp_path / "quern/llm/registry.py").write_text("import no_such_package")
-    assert "no_such_package" in run().stderr
+    out = run()
+    assert "no_such_package" in out.stderr and out.stdout.split() == [str(n), "True"]
