@@ -130,6 +130,9 @@ class Aligner:
             lead[i] = token.startswith("Ġ")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
         self.len_a, self.len_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        numbers = range(max(self.size_a, self.size_b))
+        self.signed = np.array([[f"{i}{c}" for i in numbers] for c in ",|;"], object)
+        self.digits = np.array([len(str(i)) + 1 for i in numbers], np.int64)
         inner = any(MARK in p.lstrip(MARK) for p, _, k in m.pieces if k in (NORMAL, USER_DEFINED))
         self.by_word = not (inner or m.whitespace_as_suffix or m.remove_extra_whitespaces or m.charsmap) and m.add_dummy_prefix
         spaced = SimpleNamespace(encode_batch_fast=lambda texts, add_special_tokens: [SimpleNamespace(ids=x) for x in self.spm.encode([t[1:] for t in texts], num_threads=1)])
@@ -170,11 +173,19 @@ class Aligner:
 
     def groups(self, x: Aligned) -> list[str]:
         """`a1,a2|b1;a3|b2` of each segment."""
-        a, b = list(map(str, x.a.tolist())), list(map(str, x.b.tolist()))
-        ea, eb = [0, *x.cut_a.tolist()], [0, *x.cut_b.tolist()]
-        each = [",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in zip(ea, ea[1:], eb, eb[1:], strict=False)]
-        ends = np.append(0, np.cumsum(x.n_groups)).tolist()
-        return [";".join(each[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+        per_a, per_b = np.diff(x.cut_a, prepend=0), np.diff(x.cut_b, prepend=0)
+        # tokens in the order in which they are written, each with the sign behind it: A's of a group, then B's
+        at_a = np.arange(len(x.a)) + np.repeat(x.cut_b - per_b, per_a)
+        at_b = np.arange(len(x.b)) + np.repeat(x.cut_a, per_b)
+        sign_a, sign_b = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
+        sign_a[x.cut_a - 1], sign_b[x.cut_b - 1] = 1, 2
+        written = np.empty(len(x.a) + len(x.b), object)
+        written[at_a], written[at_b] = self.signed[sign_a, x.a], self.signed[sign_b, x.b]
+        text = "".join(written.tolist())
+        n = np.zeros(len(written) + 1, np.int64)
+        n[1:][at_a], n[1:][at_b] = self.digits[x.a], self.digits[x.b]
+        ends = np.cumsum(n)[np.append(0, np.cumsum(x.n_a + x.n_b))].tolist()
+        return [text[i : max(i, j - 1)] for i, j in zip(ends, ends[1:], strict=False)]
 
 
 class Table(Segments):
