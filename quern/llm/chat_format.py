@@ -13,7 +13,9 @@ time, so a conversation may have any number of turns.
 Edge cases: null text and null role are empty strings, null and empty lists of messages have no turns; a role without marks of its own
 is written out. Null turn numbers come last. Rows with a null conversation id form one
 conversation. Repeated rows are turns of their own. A record that is not just one of the layouts loses nothing: it
-is given back whole, without a layout (a table raises an error). Fields that no layout names are not turns. Of tables of turn rows other columns are not read. An
+is given back whole, without a layout (a table raises an error). So is a record with a text (a string of several words) in a field
+that no layout names; names, numbers and ids in such fields are not turns. Context stands before the question, earlier pairs of a history are
+turns, what an assistant reasons stands before what it says, calls of tools and functions behind. Of tables columns that no layout names are not read. An
 empty table gives an empty result.
 """
 
@@ -39,7 +41,8 @@ class Layout:
     """fields: (role, path) of single texts in order, a path that may be missing with "?" behind it; then a list of
     messages at `path` with keys for role and text.
 
-    A message's text may also be a list of parts with a text each, and calls of tools may stand beside it.
+    A message's text may also be a list of parts with a text each, and what it reasons and calls of tools may stand beside it.
+    history: a list of earlier (user, assistant) pairs.
     """
 
     name: str
@@ -47,6 +50,7 @@ class Layout:
     path: str = ""
     role: str = ""
     text: str = ""
+    history: str = ""
     rows: tuple[str, ...] = ()  # conversation id, turn, role and text columns of a table with a row for each turn
 
     def variants(self) -> Iterator[frozenset[str]]:
@@ -61,26 +65,32 @@ class Layout:
             m = f"{self.path}[]."
             part = frozenset({f"{m}{self.text}[].type", f"{m}{self.text}[].text"})
             texts = [frozenset({m + self.text}), part, part | {m + self.text}, frozenset()]
-            lists = [frozenset({m + self.role}) | t | c for t in texts for c in (frozenset(), frozenset({m + TOOLS})) if t or c]
+            beside = [frozenset(m + x for x in some) for k in range(len(BESIDE) + 1) for some in combinations(BESIDE, k)]
+            lists = [frozenset({m + self.role}) | t | c for t in texts for c in beside if t or c]
             lists += [frozenset({self.path}), frozenset({f"{self.path}[]"})]  # null and the empty list
+        before = [frozenset(), *(frozenset({self.history + x}) for x in ("[][]", "[]", ""))] if self.history else [frozenset()]
         for k in range(len(may) + 1):
             for some in combinations(may, k):
                 for listed in lists:
-                    yield must | frozenset(some) | listed
+                    for earlier in before:
+                        yield must | frozenset(some) | listed | earlier
 
 
-TOOLS = "tool_calls"
+REASONS, CALLS = "reasoning_content", ("tool_calls", "function_call")
+BESIDE = (REASONS, *CALLS)
+_SYSTEM = (("system", "system?"), ("system", "system_prompt?"))
+_ASKED = (*_SYSTEM, ("user", "context?"))
 LAYOUTS = (
     Layout("turn rows", rows=("conv_id", "turn", "role", "text")),
-    Layout("messages", (("system", "system?"),), path="messages", role="role", text="content"),
-    Layout("conversations", (("system", "system?"),), path="conversations", role="from", text="value"),
-    Layout("dialogue", (("system", "system?"),), path="dialogue", role="speaker", text="text"),
+    Layout("messages", _SYSTEM, path="messages", role="role", text="content"),
+    Layout("conversations", _SYSTEM, path="conversations", role="from", text="value"),
+    Layout("dialogue", _SYSTEM, path="dialogue", role="speaker", text="text"),
     Layout("nested messages", path="data.messages", role="role", text="content"),
-    Layout("prompt and completion", (("system", "system?"), ("user", "prompt"), ("assistant", "completion"))),
-    Layout("prompt and response", (("system", "system?"), ("user", "prompt"), ("assistant", "response"))),
-    Layout("instruction", (("system", "system?"), ("user", "instruction"), ("user", "input?"), ("assistant", "output"))),
-    Layout("instruction and response", (("system", "system?"), ("user", "instruction"), ("user", "input?"), ("assistant", "response"))),
-    Layout("question and answer", (("system", "system?"), ("user", "question"), ("assistant", "answer"))),
+    Layout("prompt and completion", (*_ASKED, ("user", "prompt"), ("assistant", "completion")), history="history"),
+    Layout("prompt and response", (*_ASKED, ("user", "prompt"), ("assistant", "response")), history="history"),
+    Layout("instruction", (*_SYSTEM, ("user", "instruction"), ("user", "input?"), ("user", "context?"), ("assistant", "output")), history="history"),
+    Layout("instruction and response", (*_SYSTEM, ("user", "instruction"), ("user", "input?"), ("user", "context?"), ("assistant", "response")), history="history"),
+    Layout("question and answer", (*_ASKED, ("user", "question"), ("assistant", "answer")), history="history"),
 )
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "prompter": "user"}
 
@@ -111,7 +121,7 @@ def record_paths(value, prefix: str = "") -> set[str]:
     if isinstance(value, dict):
         out: set[str] = set()
         for k, v in value.items():
-            out |= {f"{prefix}.{k}"} if k == TOOLS else record_paths(v, f"{prefix}.{k}" if prefix else str(k))
+            out |= {f"{prefix}.{k}"} if k in CALLS else record_paths(v, f"{prefix}.{k}" if prefix else str(k))
         return out
     if isinstance(value, list):
         return set().union(*(record_paths(v, prefix + "[]") for v in value)) if value else {prefix + "[]"}
@@ -121,7 +131,7 @@ def record_paths(value, prefix: str = "") -> set[str]:
 def schema_paths(kind: T.DataType, prefix: str = "") -> set[str]:
     """Nested field paths of a table's schema."""
     if isinstance(kind, T.StructType):
-        return set().union(*({f"{prefix}.{f.name}"} if f.name == TOOLS else schema_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name) for f in kind.fields)) if kind.fields else set()
+        return set().union(*({f"{prefix}.{f.name}"} if f.name in CALLS else schema_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name) for f in kind.fields)) if kind.fields else set()
     if isinstance(kind, T.ArrayType):
         return schema_paths(kind.elementType, prefix + "[]")
     return {prefix}
@@ -148,22 +158,50 @@ def _text(value) -> str:
 def _message(message, layout: Layout) -> tuple[str, str]:
     if not isinstance(message, dict):
         return "", _text(message)
-    parts = [_text(message.get(layout.text))] + ([json.dumps(message[TOOLS], ensure_ascii=False)] if message.get(TOOLS) else [])
+    parts = [_text(message.get(REASONS)), _text(message.get(layout.text))] + [json.dumps(message[c], ensure_ascii=False) for c in CALLS if message.get(c)]
     return _role(message.get(layout.role)), "\n".join(p for p in parts if p)
 
 
+_TEXT = re.compile(r"\S\s+\S")
+
+
+def _leaves(value, prefix: str = "") -> Iterator[tuple[str, object]]:
+    """(path, value) of the fields of a record that hold no others."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from [(f"{prefix}.{k}", None)] if k in CALLS else _leaves(v, f"{prefix}.{k}" if prefix else str(k))
+    elif isinstance(value, list):
+        for v in value:
+            yield from _leaves(v, prefix + "[]")
+    else:
+        yield prefix, value
+
+
+def _left_over(record, layout: Layout, known: frozenset[str]) -> bool:
+    """Is there a text in a field that the layout would drop?"""
+    parts = f"{layout.path}[].{layout.text}[]" if layout.path else None  # parts of other kinds are written out whole
+    return any(isinstance(v, str) and p not in known and not (parts and p.startswith(parts)) and _TEXT.search(v) for p, v in _leaves(record))
+
+
 def record_turns(record, registry: Registry) -> tuple[str | None, list[tuple[str, str]]]:
     """(layout, turns) of one parsed record."""
     layout = registry.select(record_paths(record)) if isinstance(record, dict) else None
-    if layout is None or layout.rows:
+    if layout is None or layout.rows or _left_over(record, layout, registry.known):
+        return None, []
+    earlier = (record.get(layout.history) if layout.history else None) or []
+    if not isinstance(earlier, list) or not all(isinstance(e, list) and len(e) == 2 for e in earlier):
         return None, []
     turns: list[tuple[str, str]] = []
     for role, path in layout.fields:
         if path[-1] == "?" and path[:-1] not in record:
             continue
+        if role != "system" and earlier:  # the history stands behind the system's words
+            turns += [(r, _text(x)) for pair in earlier for r, x in zip(("user", "assistant"), pair, strict=True)]
+            earlier = []
+            turns.append((role, ""))
         value = _text(_at(record, path.rstrip("?")))
         if turns and turns[-1][0] == role:  # two fields of one turn
-            turns[-1] = (role, turns[-1][1] + ("\n\n" + value if value else ""))
+            turns[-1] = (role, "\n\n".join(x for x in (turns[-1][1], value) if x))
         else:
             turns.append((role, value))
     if layout.path:
@@ -214,7 +252,12 @@ def table_turns(df: DataFrame, id_col: str = "conv_id", layouts=LAYOUTS) -> Data
             else:
                 parts.append((role, [field]))
     turn = lambda role, text: F.struct(role.cast("string").alias("role"), text.cast("string").alias("text"))
-    turns = [F.array(*[turn(F.lit(r), F.concat_ws("\n\n", *p)) for r, p in parts])] if parts else []
+    each = [turn(F.lit(r), F.concat_ws("\n\n", *p)) for r, p in parts]
+    turns = [F.array(*each)] if each else []
+    if layout.history and f"{layout.history}[][]" in there:
+        pairs = F.transform(F.coalesce(F.col(layout.history), F.array()), lambda e: F.array(turn(F.lit("user"), F.coalesce(e[0], F.lit(""))), turn(F.lit("assistant"), F.coalesce(e[1], F.lit("")))))
+        first = parts[0][0] == "system"
+        turns = [F.array(*x) for x in (each[:first],) if x] + [F.flatten(pairs)] + [F.array(*each[first:])]
     if layout.path:
         item = f"{layout.path}[]."
         parted = f"{item}{layout.text}[].text" in there
@@ -225,8 +268,11 @@ def table_turns(df: DataFrame, id_col: str = "conv_id", layouts=LAYOUTS) -> Data
                 text.append(F.array_join(F.transform(m[layout.text], lambda x: F.when(F.coalesce(x["type"], F.lit("text")) == "text", F.coalesce(x["text"], F.lit(""))).otherwise(F.to_json(x))), "\n"))
             elif item + layout.text in there:
                 text.append(m[layout.text])
-            if item + TOOLS in there:
-                text.append(F.when(F.size(m[TOOLS]) > 0, F.to_json(m[TOOLS])))
+            if item + REASONS in there:
+                text.insert(0, m[REASONS])
+            for c in CALLS:
+                if item + c in there:
+                    text.append(F.when(F.size(m[c]) > 0, F.to_json(m[c])) if c == "tool_calls" else F.to_json(m[c]))
             text = [F.when(x != "", x) for x in text]
             role = m[layout.role]
             return turn(F.coalesce(known[F.lower(role)], role, F.lit("")), F.concat_ws("\n", *text))
