@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern import functions as Q
 from quern.functions import udf
-from quern.operators import joins, spatial
+from quern.operators import joins, spatial, whole
 from quern.operators.quantiles import quantile
 from quern.plans import scratch
 from quern.sources import FORMATS, read, table, write
@@ -292,6 +292,16 @@ def d9_except_all(t):
 
 both("d10_null_order", "SELECT k, CAST(row_number() OVER (ORDER BY k DESC NULLS LAST) AS BIGINT) AS place FROM (SELECT DISTINCT nullif(n_regionkey, 2) AS k FROM {nation})")
 
+_PLACE = "l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY {_PLACE}) AS place FROM lineitem")
+def d1_global_row_number(t):
+    order = [F.col("l_extendedprice").desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in ("l_orderkey", "l_linenumber", "l_partkey"))]
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return whole.global_row_number(rows, order, "place").drop("l_extendedprice")
+
+
 # ------------------------------------------------------------ E. scalars and table functions
 
 both(
@@ -335,7 +345,22 @@ def e12_map(t):
     return m.select("r_regionkey", F.element_at("m", F.col("r_regionkey")).alias("v"))
 
 
-both("e13_recursive", "WITH RECURSIVE s(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM s WHERE n < 12) SELECT n, f FROM s")
+# nations as a tree: the children of k are 2k + 1 and 2k + 2
+_TREE = "WITH RECURSIVE s(k, depth, top) AS (SELECT n_nationkey, CAST(0 AS BIGINT), n_regionkey FROM {{nation}} WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, depth + 1, top + n.n_regionkey FROM s JOIN {{nation}} n ON (n.n_nationkey - 1) {div} 2 = s.k AND n.n_nationkey > 0) SELECT k, depth, CAST(top AS BIGINT) AS total FROM s"
+both("e13_recursive", _TREE.format(div="DIV").replace("{{", "{").replace("}}", "}"), _TREE.format(div="//").replace("{{", "{").replace("}}", "}"))
+
+
+@query("""WITH RECURSIVE near AS (SELECT a.event_id AS src, b.event_id AS dst FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR),
+r(event_id, hops) AS (SELECT event_id, CAST(0 AS BIGINT) FROM events WHERE event_type = 'signup' UNION SELECT dst, hops + 1 FROM r JOIN near ON src = event_id)
+SELECT event_id, min(hops) AS hops FROM r GROUP BY 1""")
+def e13_reachable(t):
+    """Events that follow a signup of their user in steps of an hour at most, and the fewest steps."""
+    side = lambda i, s: t("events").select("user_id", F.col("event_id").alias(i), F.unix_micros(F.col("ts").cast("timestamp")).alias(s))
+    near = (F.col("u2") > F.col("u1")) & (F.col("u2") <= F.col("u1") + 3_600_000_000)
+    steps = joins.band(side("src", "u1"), side("dst", "u2"), "u1", "u2", 3600e6, near, ("user_id",))
+    return whole.reach(steps, t("events").where("event_type = 'signup'"), "src", "dst", "event_id")
+
+
 both("e14_try", "SELECT n_nationkey, try_cast(n_name AS INT) AS bad, round(try_divide(10, n_regionkey), 4) AS q FROM {nation}", "SELECT n_nationkey, try_cast(n_name AS INT) AS bad, round(CASE WHEN n_regionkey <> 0 THEN 10 / n_regionkey END, 4) AS q FROM nation")
 
 # ------------------------------------------------------------ F. time windows
@@ -387,6 +412,23 @@ def g3_distance_join(t):
     return joins.near(s, c, ("s_lat", "s_lon"), ("c_lat", "c_lon"), 400).select("s_suppkey", "c_custkey")
 
 
+# the bytes of a double, from its exponent and its fraction
+_BITS = "CASE WHEN {v} = 0 THEN 0 ELSE (CASE WHEN {v} < 0 THEN 9223372036854775808 ELSE 0 END)::HUGEINT + (floor(log2(abs({v}))) + 1023)::HUGEINT * 4503599627370496 + ((abs({v}) / pow(2, floor(log2(abs({v}))))  - 1) * 4503599627370496)::HUGEINT END"
+_BYTES = lambda h: " || ".join(f"substr({h}, {i}, 2)" for i in range(15, 0, -2))
+
+
+def g1_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' positions in well-known binary through the geometry type, with a reference system, and back."""
+    own = Q.geometry_session(spark)
+    points = _points(table(own, sf_dir, "customer"), "c_custkey", "c").select("c_custkey", udf.point_wkb("c_lon", "c_lat").alias("w"))
+    placed = points.select("c_custkey", F.expr("st_setsrid(st_geomfromwkb(w), 4326)").alias("g"))
+    return placed.select("c_custkey", F.expr("CAST(st_srid(g) AS BIGINT)").alias("srid"), F.expr("hex(st_asbinary(g))").alias("wkb"))
+
+
+QUERIES["g1_wkb"] = g1_wkb
+ORACLES["g1_wkb"] = f"""{_POINTS} SELECT c_custkey, CAST(4326 AS BIGINT) AS srid, '0101000000' || {_BYTES("x")} || {_BYTES("y")} AS wkb FROM (
+SELECT c_custkey, printf('%016X', ({_BITS.format(v="c_lon")})::UBIGINT) AS x, printf('%016X', ({_BITS.format(v="c_lat")})::UBIGINT) AS y FROM (SELECT c_custkey, round(c_lon, 2) AS c_lon, round(c_lat, 2) AS c_lat FROM c))"""
+
 # ------------------------------------------------------------ G. shapes drawn from keys, in the plane of longitude and latitude
 
 # corners about a centre: an arrow-like star, and in it a diamond that is a hole
