@@ -590,6 +590,10 @@ AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 30 MINUTE WHERE v.event_type = 'vie
     ORACLES["f10_stream_late"] = """WITH e AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS start FROM events),
 m AS (SELECT max(ts) - INTERVAL 1 HOUR AS last, max(ts) FILTER (WHERE event_id % 10 <> 0) - INTERVAL 1 HOUR AS mark FROM e)
 SELECT start, count(*) AS n FROM e, m WHERE start + INTERVAL 1 HOUR <= last AND (event_id % 10 <> 0 OR start + INTERVAL 1 HOUR > mark) GROUP BY 1"""
+    QUERIES["f10_late_kept"] = S.late_kept
+    ORACLES["f10_late_kept"] = """WITH e AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS start FROM events),
+m AS (SELECT max(ts) FILTER (WHERE event_id % 10 <> 0) - INTERVAL 1 HOUR AS mark FROM e)
+SELECT start, count(*) FILTER (WHERE event_id % 10 <> 0 OR start + INTERVAL 1 HOUR > mark) AS on_time, count(*) FILTER (WHERE event_id % 10 = 0 AND start + INTERVAL 1 HOUR <= mark) AS late FROM e, m GROUP BY 1"""
 
 
 _streams()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from quern import sources
 from quern.plans import scratch
@@ -23,13 +23,13 @@ def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 100) -> Data
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(df: DataFrame, mode: str = "append", at: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def drain(df: DataFrame, mode: str = "append", at: str | None = None, keys: tuple[str, ...] = (), progress: list | None = None) -> DataFrame:
     """Run a stream over what is there now and return its result.
 
     Each batch is a Parquet folder of its own number, so a batch that runs again after a
     failure replaces itself and nothing passes through the driver. In append mode the result is what all
     batches put out, in complete mode the last one, in update mode the latest row of each of `keys`. State is kept in RocksDB. With `at`, the folder of an
-    earlier run, that run is carried on and the rows of both are returned.
+    earlier run, that run is carried on and the rows of both are returned. `progress` gets what the run reports of its batches.
     """
     if (mode == "update") != bool(keys):
         raise ValueError("update mode, and no other, needs the keys whose latest row counts")
@@ -45,6 +45,8 @@ def drain(df: DataFrame, mode: str = "append", at: str | None = None, keys: tupl
     finally:
         spark.conf.set(_STORE, store)
     q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
     out = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
     if not out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out):
         return spark.createDataFrame([], df.schema)
@@ -126,3 +128,47 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = sources.stream(spark, f"{at}/in", e.schema, 100).withColumn("ts", F.col("ts").cast("timestamp"))
         out = drain(tumbling(s, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz")), at=at)
     return out
+
+
+def split_late(e: DataFrame, width: str, late: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """Run a stream over what is there now; (rows on time, rows behind the watermark) of all runs over the folder `at`.
+
+    A row is late if its window of `width` ended at or before the watermark that its batch began with: the latest event time
+    of all batches before, less `late`. Such rows a windowed count would drop; here they go to a
+    sink of their own. Each batch writes its rows and its latest time under its number, so a
+    batch that runs again replaces itself; all that passes through the driver is the watermark. Rows without an event time are on time.
+    """
+    spark = e.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        mark = None
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/marks")):
+            marks = own.read.schema("latest timestamp, __batch long").parquet(f"{at}/marks")
+            mark = marks.where(F.col("__batch") < number).agg(F.max("latest") - F.expr(f"INTERVAL {late}")).first()[0]
+        behind = F.lit(False) if mark is None else F.coalesce(F.window("ts", width).getField("end") <= F.lit(mark), F.lit(False))
+        rows = batch.where("ts IS NULL").withColumn("__late", F.lit(False)).unionByName(batch.where("ts IS NOT NULL").withColumn("__late", behind))
+        rows.write.mode("overwrite").parquet(f"{at}/rows/__batch={number}")
+        batch.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{at}/marks/__batch={number}")
+
+    q = e.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = StructType([*e.schema.fields, StructField("__late", BooleanType()), StructField("__batch", LongType())])
+    some = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/rows"))
+    rows = spark.read.schema(kept).parquet(f"{at}/rows") if some else spark.createDataFrame([], kept)
+    return tuple(rows.where(F.col("__late") == flag).drop("__late", "__batch") for flag in (False, True))
+
+
+def late_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events an hour, on time and late, where a tenth arrives in a second run: together all of the input."""
+    e, at = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark)
+    late = F.col("event_id") % 10 == 0
+    for part in (e.where(~late), e.where(late)):
+        part.write.mode("append").parquet(f"{at}/in")
+        s = sources.stream(spark, f"{at}/in", e.schema, 100).withColumn("ts", F.col("ts").cast("timestamp"))
+        on_time, behind = split_late(s, "1 hour", "1 hour", f"{at}/split")
+    both = on_time.withColumn("late", F.lit(0)).unionAll(behind.withColumn("late", F.lit(1)))
+    w = F.window("ts", "1 hour")
+    counts = both.groupBy(w).agg(F.sum(1 - F.col("late")).alias("on_time"), F.sum("late").alias("late"))
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "on_time", "late")
