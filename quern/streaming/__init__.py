@@ -116,6 +116,65 @@ def totals_processor(e: DataFrame) -> DataFrame:
     return e.select("user_id", "value").groupBy("user_id").transformWithStateInPandas(_Totals(), "user_id long, n long, total double", "update", "None")
 
 
+class _Sessions(StatefulProcessor):
+    """Open sessions of a key in a map state (start -> last event and count); a key's one timer stands at the earliest end, and the state of closed sessions goes."""
+
+    def __init__(self, gap: int):
+        self._gap = gap  # microseconds
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._open = handle.getMapState("open", "start long", "last long, n long")
+
+    def _due(self, last: int) -> int:
+        """Milliseconds at which a session is over."""
+        return -(-(last + self._gap) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = {k[0]: (v[0], v[1]) for k, v in self._open.iterator()}
+        events = [(t, t, 1) for f in rows for t in f["micros"].tolist()]
+        merged: list[list[int]] = []
+        for start, last, n in sorted([(k, *v) for k, v in held.items()] + events):
+            if merged and start < merged[-1][1] + self._gap:
+                merged[-1][1], merged[-1][2] = max(merged[-1][1], last), merged[-1][2] + n
+            else:
+                merged.append([start, last, n])
+        now = {start: (last, n) for start, last, n in merged}
+        for start in held.keys() - now.keys():
+            self._open.removeKey((start,))
+        for start, value in now.items():
+            if held.get(start) != value:
+                self._open.updateValue((start,), value)
+        timers = {x[0] if isinstance(x, tuple) else x for x in self._handle.listTimers()}
+        due = {min(self._due(last) for last, _ in now.values())} if now else set()
+        for at in timers - due:
+            self._handle.deleteTimer(at)
+        for at in due - timers:
+            self._handle.registerTimer(at)
+        yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"), "micros": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # all that the watermark has passed, not only the session whose timer this is
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = [(k[0], v[0], v[1]) for k, v in self._open.iterator()]
+        over = sorted((start, n) for start, last, n in held if self._due(last) <= at)
+        for start, _ in over:
+            self._open.removeKey((start,))
+        if rest := [self._due(last) for _, last, _ in held if self._due(last) > at]:
+            self._handle.registerTimer(min(rest))
+        yield pd.DataFrame({"user_id": [key[0]] * len(over), "micros": [s for s, _ in over], "n": [n for _, n in over]}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def timed_sessions(e: DataFrame, gap_seconds: int = 1800, late: str = "1 hour") -> DataFrame:
+    """user_id, start and n of sessions, each put out once when its timer says that the watermark has passed its end; its state goes then."""
+    rows = e.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("micros"))
+    out = rows.groupBy("user_id").transformWithStateInPandas(_Sessions(gap_seconds * 1_000_000), "user_id long, micros long, n long", "append", "EventTime")
+    return out.select("user_id", F.timestamp_micros("micros").alias("start"), "n")
+
+
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of events of which a tenth arrive late, in a second run over one checkpoint.
 
