@@ -361,7 +361,7 @@ def _names_fn(it):
 def train(pages: DataFrame, id_col="page_id", html_col="html", limit: int = TRAIN_PAGES) -> Weights:
     """Learn from about `limit` labelled pages drawn by id.
 
-    Names that fewer than MIN_PAGES of them have (ids of single elements, hashed classes) are not told apart, and of the
+    Names that fewer than MIN_PAGES of them have, or a twentieth of fewer than 100 (ids of single elements, hashed classes) are not told apart, and of the
     others the MOST_NAMES on most pages count, besides those with prior weights; only counts by sets of these reach the driver.
     """
     labelled = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]") & F.col(id_col).isNotNull())
