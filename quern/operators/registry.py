@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern import functions as Q
 from quern.functions import udf
-from quern.operators import joins, spatial, whole
+from quern.operators import frames, joins, spatial, whole
 from quern.operators.quantiles import quantile
 from quern.plans import scratch
 from quern.sources import FORMATS, read, table, write
@@ -302,6 +302,38 @@ def d1_global_row_number(t):
     return whole.global_row_number(rows, order, "place").drop("l_extendedprice")
 
 
+@query("""SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS most, min(event_id) OVER w AS least_id FROM events
+WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 30 MINUTE FOLLOWING)""")
+def d4_range_frame_hot(t):
+    """Partitions as large as a share of the table: there are few event types."""
+    aggs = {"n": F.count(F.lit(1)), "most": F.max("value"), "least_id": F.min("event_id")}
+    e = t("events").select("event_id", "event_type", "ts", "value")
+    return frames.range_frame(e, ["event_type"], "ts", 3_600_000_000, 1_800_000_000, aggs, ["value", "event_id"]).select("event_id", *aggs)
+
+
+_BY_DAY = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, max(l_extendedprice) OVER w AS most, count(*) OVER w AS n FROM lineitem
+WINDOW w AS (PARTITION BY l_returnflag ORDER BY {", ".join(f"{c} NULLS LAST" for c in _BY_DAY)} ROWS BETWEEN 5 PRECEDING AND 2 FOLLOWING)""")
+def d3_rows_frame_hot(t):
+    """Three return flags share the table."""
+    aggs = {"most": F.max("l_extendedprice"), "n": F.count(F.lit(1))}
+    rows = t("lineitem").select("l_returnflag", *_BY_DAY)
+    out = frames.rows_frame(rows, ["l_returnflag"], [F.col(c).asc_nulls_last() for c in _BY_DAY], 5, 2, aggs, ["l_extendedprice"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", *aggs)
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, CAST(sum(l_quantity) OVER w AS BIGINT) AS total, count(l_quantity) OVER w AS n, max(l_extendedprice) OVER w AS most FROM lineitem
+WINDOW w AS (PARTITION BY l_linestatus ORDER BY {", ".join(f"{c} NULLS LAST" for c in _BY_DAY)} ROWS UNBOUNDED PRECEDING)""")
+def d3_running_hot(t):
+    """Running totals of two line states."""
+    aggs = {"total": ("sum", "l_quantity"), "n": ("count", "l_quantity"), "most": ("max", "l_extendedprice")}
+    rows = t("lineitem").select("l_linestatus", "l_quantity", *_BY_DAY)
+    out = frames.running(rows, ["l_linestatus"], [F.col(c).asc_nulls_last() for c in _BY_DAY], aggs)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("total").cast("long").alias("total"), "n", "most")
+
+
 # ------------------------------------------------------------ E. scalars and table functions
 
 both(
@@ -559,6 +591,36 @@ def h3_table_function(t):
     return t("part").lateralJoin(udf.words(F.col("p_name").outer())).select("p_partkey", "pos", "word")
 
 
+def h4_arrow_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through Arrow files and back: a sink, and a source that takes columns and filters, both in Python."""
+    from quern.sources.arrow_files import read_arrow, write_arrow
+
+    orders, at = table(spark, sf_dir, "orders"), scratch(spark)
+    write_arrow(orders, at)
+    wanted = orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate").schema
+    return read_arrow(spark, at, wanted).where("o_orderstatus <> 'F' AND o_orderkey >= 100 AND o_totalprice > 1000")
+
+
+QUERIES["h4_arrow_source"] = h4_arrow_source
+ORACLES["h4_arrow_source"] = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey >= 100 AND o_totalprice > 1000"
+
+
+def h4_arrow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of Arrow files, stopped after the even ones and gone on with from its offset."""
+    from quern.sources.arrow_files import stream_arrow, write_arrow
+    from quern.streaming import drain
+
+    e, at, run = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), scratch(spark), scratch(spark)
+    for odd in (0, 1):
+        write_arrow(e.where(F.col("event_id") % 2 == odd), at)
+        out = drain(stream_arrow(spark, at, e.schema), at=run)
+    return out
+
+
+QUERIES["h4_arrow_stream"] = h4_arrow_stream
+ORACLES["h4_arrow_stream"] = "SELECT event_id, user_id, ts, value FROM events"
+
+
 # ------------------------------------------------------------ streams, run to their end
 
 

@@ -1,0 +1,91 @@
+"""Frames in bins against brute force and against Spark's own windows, on hot, small and null keys."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quern.operators import frames
+
+AGGS = lambda: {"n": F.count(F.lit(1)), "some": F.count("v"), "total": F.sum("v"), "least": F.min("v"), "most": F.max("v")}
+
+
+def rows(n, seed=5):
+    r = random.Random(seed)
+    # two thirds of the rows have one key; times and values are null at times, and tie
+    return [(i, r.choice(["hot"] * 6 + ["a", "b", None]), r.choice([None, *[r.randint(-300, 300)] * 9]), r.choice([None, 1, 2, 5, -7])) for i in range(n)]
+
+
+def whole(x):
+    return sorted(map(tuple, x.collect()))
+
+
+@pytest.mark.parametrize("before,after,width", [(0, 0, None), (10, 0, None), (0, 25, 3), (30, 30, 7), (500, 500, 40), (5, 1, 100000)])
+def test_range_frame_is_the_window(spark, before, after, width):
+    data = rows(700)
+    df = spark.createDataFrame(data, "i int, k string, t long, v int").repartition(5)
+    out = frames.range_frame(df, ["k"], "t", before, after, AGGS(), ["v"], width)
+    assert out.columns == [*df.columns, *AGGS()]
+    w = Window.partitionBy("k").orderBy("t").rangeBetween(-before, after)
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.select("*", *(a.over(w).alias(n) for n, a in AGGS().items())).collect()))
+
+
+def test_range_frame_is_brute_force_and_spreads_a_hot_key(spark):
+    data = rows(400)
+    df = spark.createDataFrame(data, "i int, k string, t long, v int")
+    out = frames.range_frame(df, ["k"], "t", 12, 4, {"n": F.count(F.lit(1)), "s": F.sum("v")}, ["v"])
+
+    def frame(k, t):
+        return [v for _, kk, u, v in data if kk == k and ((t is None and u is None) or (t is not None and u is not None and t - 12 <= u <= t + 4))]
+
+    total = lambda vs: sum(v for v in vs if v is not None) if any(v is not None for v in vs) else None
+    assert {r.i: (r.n, r.s) for r in out.collect()} == {i: (len(frame(k, t)), total(frame(k, t))) for i, k, t, _ in data}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan and "__bin" in plan and "SinglePartition" not in plan
+
+
+def test_range_frame_over_times_without_keys_and_without_rows(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "value")
+    out = frames.range_frame(e, [], "ts", 1_800_000_000, 0, {"n": F.count(F.lit(1)), "most": F.max("value")}, ["value"])
+    e.createOrReplaceTempView("frame_events")
+    want = spark.sql("SELECT *, count(*) OVER w AS n, max(value) OVER w AS most FROM frame_events WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTES PRECEDING AND CURRENT ROW)")
+    assert whole(out) == whole(want)
+    assert frames.range_frame(e.where("event_id < 0"), [], "ts", 1, 1, {"n": F.count(F.lit(1))}, []).count() == 0
+    assert frames.range_frame(e.where("event_id < 0"), ["event_id"], "ts", 1, 1, {"n": F.count(F.lit(1))}, []).count() == 0
+    with pytest.raises(ValueError):
+        frames.range_frame(e, [], "value", 1, 1, {"n": F.count(F.lit(1))}, [])
+    with pytest.raises(ValueError):
+        frames.range_frame(e, [], "ts", -1, 1, {"n": F.count(F.lit(1))}, [])
+
+
+ORDER = lambda: [F.col("t").asc_nulls_last(), F.col("i").asc()]
+
+
+@pytest.mark.parametrize("before,after,size", [(0, 0, 1), (2, 0, 3), (5, 3, 4), (20, 20, 7), (3, 3, 10000)])
+def test_rows_frame_is_the_window(spark, before, after, size):
+    df = spark.createDataFrame(rows(300), "i int, k string, t long, v int").repartition(5)
+    w = Window.partitionBy("k").orderBy(*ORDER()).rowsBetween(-before, after)
+    out = frames.rows_frame(df, ["k"], ORDER(), before, after, AGGS(), ["v"], size)
+    assert out.columns == [*df.columns, *AGGS()]
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.select("*", *(a.over(w).alias(n) for n, a in AGGS().items())).collect()))
+
+
+@pytest.mark.parametrize("keys", [["k"], [], ["k", "v"]])
+@pytest.mark.parametrize("size", [1, 7, 10000])
+def test_running_is_the_window(spark, keys, size):
+    df = spark.createDataFrame(rows(300), "i int, k string, t long, v int").repartition(5)
+    aggs = {"total": ("sum", "v"), "some": ("count", "v"), "least": ("min", "v"), "most": ("max", "t")}
+    w = Window.partitionBy(*keys).orderBy(*ORDER()).rowsBetween(Window.unboundedPreceding, 0)
+    out = frames.running(df, keys, ORDER(), aggs, size)
+    assert out.columns == [*df.columns, *aggs]
+    want = df.select("*", *(getattr(F, how)(c).over(w).alias(n) for n, (how, c) in aggs.items()))
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+
+
+def test_numbered_frames_of_no_rows(spark):
+    df = spark.createDataFrame([], "i int, k string, t long, v int")
+    assert frames.rows_frame(df, ["k"], ORDER(), 1, 1, AGGS(), ["v"]).count() == 0
+    assert frames.running(df, ["k"], ORDER(), {"n": ("count", "v")}).count() == 0
+    with pytest.raises(ValueError):
+        frames.running(df, ["k"], ORDER(), {"n": ("avg", "v")})
