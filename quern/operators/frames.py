@@ -1,4 +1,4 @@
-"""Window frames whose partition holds most of the rows: cut into bins, so that one key spreads over many tasks.
+"""Windows whose partition holds most of the rows, or all: cut into bins, so that one key spreads over many tasks.
 
 Where no key is hot, Spark's own windows shuffle less and should be taken.
 """
@@ -65,6 +65,20 @@ def rows_frame(df: DataFrame, keys: list[str], order: list[Column], before: int,
     return copied.withColumns({name: agg.over(w) for name, agg in aggs.items()}).where("__home").select(*df.columns, *aggs)
 
 
+def offsets(df: DataFrame, keys: list[str], order: list[Column], columns: dict[str, tuple[str, int]], size: int = SIZE) -> DataFrame:
+    """df with the values that lie a number of rows before (positive) or behind (negative) each row of its keys: name to (column, rows).
+
+    lag and lead in the bins of `rows_frame`; null where there is no such row.
+    """
+    if size < 1:
+        raise ValueError("a bin holds a row")
+    placed = global_row_number(df, [*(F.col(k).asc_nulls_first() for k in keys), *order], "__place")
+    back, ahead = max([0, *(n for _, n in columns.values())]), max([0, *(-n for _, n in columns.values())])
+    w = Window.partitionBy(*keys, "__bin").orderBy("__place")
+    copied = _copied(placed, F.col("__place"), back, ahead, size, [*keys, *(c for c, _ in columns.values()), "__place"])
+    return copied.withColumns({name: F.lag(c, n).over(w) for name, (c, n) in columns.items()}).where("__home").select(*df.columns, *columns)
+
+
 def running(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str, tuple[str, str]], size: int = SIZE) -> DataFrame:
     """df with running aggregates by keys up to each row: name to (sum, count, min or max; column).
 
@@ -86,3 +100,24 @@ def running(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str,
     same = [F.col("a.__bin") == F.col("b.__bin"), *(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)]
     both = part.alias("a").join(bins.alias("b"), same)
     return both.select(*(F.col(f"a.{c}").alias(c) for c in df.columns), *(_COMBINED[how](F.col(f"b.__{name}"), F.col(f"a.{name}")).alias(name) for name, (how, _) in aggs.items()))
+
+
+def global_ranks(df: DataFrame, by: list[str], order: list[Column], size: int = SIZE) -> DataFrame:
+    """df with rank, dense_rank, percent_rank and cume_dist over the whole table, ordered by `order`, sort expressions of the columns `by`.
+
+    Ties are counted map-side first, so that however many rows share a value they are one row
+    where values are put in order; values run in bins and meet the rows again by an equi-join. Nulls
+    tie with each other and stand where the order puts them.
+    """
+    values = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    values = running(values.withColumn("__one", F.lit(1)), [], order, {"__upto": ("sum", "__n"), "dense_rank": ("count", "__one")}, size)
+    total = df.agg(F.count(F.lit(1)).alias("__total"))
+    values = values.crossJoin(F.broadcast(total)).withColumn("rank", F.col("__upto") - F.col("__n") + 1)  # one row
+    values = values.select(
+        *by, "rank", "dense_rank",
+        F.when(F.col("__total") > 1, (F.col("rank") - 1) / (F.col("__total") - 1)).otherwise(F.lit(0.0)).alias("percent_rank"),
+        (F.col("__upto") / F.col("__total")).alias("cume_dist"),
+    )
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    both = df.alias("a").join(values.alias("b"), same)
+    return both.select(*(F.col(f"a.{c}").alias(c) for c in df.columns), *(F.col(f"b.{c}").alias(c) for c in ("rank", "dense_rank", "percent_rank", "cume_dist")))

@@ -334,6 +334,23 @@ def d3_running_hot(t):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("total").cast("long").alias("total"), "n", "most")
 
 
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, lag(l_quantity) OVER w AS before, lead(l_quantity, 3) OVER w AS third FROM lineitem
+WINDOW w AS (PARTITION BY l_returnflag ORDER BY {", ".join(f"{c} NULLS LAST" for c in (*_BY_DAY, "l_quantity"))})""")
+def d2_offsets_hot(t):
+    order = (*_BY_DAY, "l_quantity")
+    out = frames.offsets(t("lineitem").select("l_returnflag", *order), ["l_returnflag"], [F.col(c).asc_nulls_last() for c in order], {"before": ("l_quantity", 1), "third": ("l_quantity", -3)})
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "before", "third")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, rank() OVER w AS place, dense_rank() OVER w AS step, round(percent_rank() OVER w, 6) AS share, round(cume_dist() OVER w, 6) AS upto FROM lineitem
+WINDOW w AS (ORDER BY l_quantity DESC NULLS LAST, l_discount NULLS FIRST)""")
+def d1_global_ranks(t):
+    """Ranks over the whole table by columns of which few values exist."""
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    out = frames.global_ranks(rows, ["l_quantity", "l_discount"], [F.col("l_quantity").desc_nulls_last(), F.col("l_discount").asc_nulls_first()])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("rank").alias("place"), F.col("dense_rank").alias("step"), F.round("percent_rank", 6).alias("share"), F.round("cume_dist", 6).alias("upto"))
+
+
 # ------------------------------------------------------------ E. scalars and table functions
 
 both(

@@ -83,9 +83,37 @@ def test_running_is_the_window(spark, keys, size):
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("size", [1, 4, 10000])
+def test_offsets_are_lag_and_lead(spark, keys, size):
+    df = spark.createDataFrame(rows(250), "i int, k string, t long, v int").repartition(5)
+    w = Window.partitionBy(*keys).orderBy(*ORDER())
+    out = frames.offsets(df, keys, ORDER(), {"a": ("v", 1), "b": ("i", 3), "c": ("t", -2), "d": ("v", 0), "e": ("i", 400)}, size)
+    assert out.columns == [*df.columns, *"abcde"]
+    want = df.select("*", F.lag("v", 1).over(w), F.lag("i", 3).over(w), F.lead("t", 2).over(w), "v", F.lag("i", 400).over(w))
+    assert sorted(map(tuple_of, out.collect())) == sorted(map(tuple_of, want.collect()))
+
+
+def tuple_of(row):
+    return str(tuple(row))
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+@pytest.mark.parametrize("by", [["t"], ["v", "k"], ["i"]])
+def test_global_ranks_are_the_window(spark, n, by):
+    df = spark.createDataFrame(rows(n), "i int, k string, t long, v int").repartition(5)
+    order = [F.col(by[0]).desc_nulls_last(), *(F.col(c).asc_nulls_first() for c in by[1:])]
+    w = Window.orderBy(*order)
+    out = frames.global_ranks(df, by, order, 16)
+    assert out.columns == [*df.columns, "rank", "dense_rank", "percent_rank", "cume_dist"]
+    want = df.select("*", F.rank().over(w), F.dense_rank().over(w), F.percent_rank().over(w), F.cume_dist().over(w))
+    assert sorted(map(tuple_of, out.collect())) == sorted(map(tuple_of, want.collect()))
+
+
 def test_numbered_frames_of_no_rows(spark):
     df = spark.createDataFrame([], "i int, k string, t long, v int")
     assert frames.rows_frame(df, ["k"], ORDER(), 1, 1, AGGS(), ["v"]).count() == 0
     assert frames.running(df, ["k"], ORDER(), {"n": ("count", "v")}).count() == 0
+    assert frames.offsets(df, ["k"], ORDER(), {"n": ("v", 1)}).count() == 0
     with pytest.raises(ValueError):
         frames.running(df, ["k"], ORDER(), {"n": ("avg", "v")})
