@@ -672,6 +672,8 @@ SELECT start, count(*) AS n FROM e, m WHERE start + INTERVAL 1 HOUR <= last AND
     _streamed("f8_timed_sessions", lambda e: start(S.timed_sessions(e)), """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s, max(ts) OVER () AS newest FROM
 (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s, newest
 HAVING max(ts) + INTERVAL 30 MINUTE <= date_trunc('milliseconds', newest) - INTERVAL 1 HOUR""")
+    QUERIES["f11_stream_upsert"] = S.users_upserted
+    ORACLES["f11_stream_upsert"] = "SELECT user_id, count(*) AS n, max(ts) AS latest, round(sum(value), 2) AS total FROM events GROUP BY 1"
     QUERIES["f10_late_kept"] = S.late_kept
     ORACLES["f10_late_kept"] = """WITH e AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS start FROM events),
 m AS (SELECT max(ts) FILTER (WHERE event_id % 10 <> 0) - INTERVAL 1 HOUR AS mark FROM e)

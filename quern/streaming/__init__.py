@@ -23,6 +23,20 @@ def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 100) -> Data
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _run(df: DataFrame, put, mode: str, at: str, progress: list | None) -> None:
+    """Each batch of what is there now through `put`, with state in RocksDB."""
+    spark = df.sparkSession
+    store = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_STORE, store)
+    q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
+
+
 def drain(df: DataFrame, mode: str = "append", at: str | None = None, keys: tuple[str, ...] = (), progress: list | None = None) -> DataFrame:
     """Run a stream over what is there now and return its result.
 
@@ -38,15 +52,7 @@ def drain(df: DataFrame, mode: str = "append", at: str | None = None, keys: tupl
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/__batch={0 if mode == 'complete' else number}")
 
-    store = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKSDB)
-    try:
-        q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(_STORE, store)
-    q.awaitTermination()
-    if progress is not None:
-        progress += q.recentProgress
+    _run(df, put, mode, at, progress)
     out = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
     if not out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out):
         return spark.createDataFrame([], df.schema)
@@ -57,6 +63,55 @@ def drain(df: DataFrame, mode: str = "append", at: str | None = None, keys: tupl
     return latest.select(F.inline(F.array("__row")))
 
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of a folder's tables (name=number) that are written whole, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(path(folder))] if fs.exists(path(folder)) else []
+    return sorted(int(p.getName().partition("=")[2]) for p in found if "=" in p.getName() and fs.exists(path(p, "_SUCCESS")))
+
+
+def upsert(df: DataFrame, keys: tuple[str, ...], at: str, fold: int = 16, progress: list | None = None) -> DataFrame:
+    """Run a stream in update mode over what is there now; the latest row of each key of all runs over the folder `at`.
+
+    A batch, which holds a key once, is a table of its number. Every `fold`th batch writes the latest rows so far as
+    one table, from the one before and the batches since; what that one was made of then goes. So
+    a reading takes one such table and fewer than `fold` batches however long the stream has run, and a reader that
+    began before a fold still finds its files. A batch that runs again replaces itself and its fold;
+    tables that are not whole do not count. Null keys are a key.
+    """
+    if fold < 1 or not keys:
+        raise ValueError("an upsert needs keys, and a fold of a batch at least")
+    spark, schema = df.sparkSession, df.schema
+    path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def latest(own: SparkSession, base: int, upto: int | None = None) -> DataFrame:
+        parts = [own.read.schema(schema).parquet(f"{at}/folded/upto={base}").withColumn("__batch", F.lit(base).cast("long"))] if base >= 0 else []
+        new = [n for n in _numbers(spark, f"{at}/batches") if n > base and (upto is None or n <= upto)]
+        if new:
+            numbered = StructType([*schema.fields, StructField("__batch", LongType())])
+            parts.append(own.read.schema(numbered).option("basePath", f"{at}/batches").parquet(*(f"{at}/batches/__batch={n}" for n in new)))
+        if not parts:
+            return own.createDataFrame([], schema)
+        rows = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "__batch").alias("__row")).select(F.inline(F.array("__row")))
+
+    def put(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{at}/batches/__batch={number}")
+        if number % fold != fold - 1:
+            return
+        folded = [n for n in _numbers(spark, f"{at}/folded") if n < number]
+        base = folded[-1] if folded else -1
+        latest(own, base, number).write.mode("overwrite").parquet(f"{at}/folded/upto={number}")
+        fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+        for old in [f"batches/__batch={n}" for n in _numbers(spark, f"{at}/batches") if n <= base] + [f"folded/upto={n}" for n in folded[:-1]]:
+            fs.delete(path(f"{at}/{old}"), True)
+
+    _run(df, put, "update", at, progress)
+    return latest(spark, max(_numbers(spark, f"{at}/folded"), default=-1))
+
+
 def tumbling(e: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
     w = F.window("ts", width)
     return e.withWatermark("ts", late).groupBy(w).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
@@ -231,3 +286,14 @@ def late_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.window("ts", "1 hour")
     counts = both.groupBy(w).agg(F.sum(1 - F.col("late")).alias("on_time"), F.sum("late").alias("late"))
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "on_time", "late")
+
+
+def users_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, latest time and sum of each user, from five runs over a fifth of the events each."""
+    e, at = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark)
+    for k in range(5):
+        e.where(F.col("event_id") % 5 == k).write.mode("append").parquet(f"{at}/in")
+        s = sources.stream(spark, f"{at}/in", e.schema, 100)
+        users = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"), F.round(F.sum("value"), 2).alias("total"))
+        out = upsert(users, ("user_id",), f"{at}/users", fold=2)
+    return out
