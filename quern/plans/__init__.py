@@ -16,6 +16,7 @@ def session(cores: int | str = "*", **conf) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": str(cores if cores != "*" else 8),
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): str(v) for k, v in conf.items()}

@@ -80,7 +80,12 @@ def test_filters_mean_the_same_in_the_source(pushing, tmp_path):
 def test_filters_stay_with_spark_where_they_are_off(spark, tmp_path):
     df = spark.range(50).selectExpr("int(id) AS i")
     write_arrow(df, str(tmp_path))
-    assert spark.conf.get(PUSH) == "false" and read_arrow(spark, str(tmp_path)).where("i > 40").count() == 9
+    before = spark.conf.get(PUSH)
+    spark.conf.set(PUSH, "false")
+    try:
+        assert read_arrow(spark, str(tmp_path)).where("i > 40").count() == 9
+    finally:
+        spark.conf.set(PUSH, before)
 
 
 def test_no_rows_keep_their_schema_and_overwriting_is_refused(spark, tmp_path):
