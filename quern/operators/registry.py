@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import functions as Q
@@ -439,9 +439,15 @@ _LAT, _LON = "(({k}) * 7919 % 17900) / 100.0 - 89.5", "(({k}) * 104729 % 36000)
 _KM = "2 * 6371.0088 * asin(sqrt(least(1, power(sin(radians({b}_lat - {a}_lat) / 2), 2) + cos(radians({a}_lat)) * cos(radians({b}_lat)) * power(sin(radians({b}_lon - {a}_lon) / 2), 2))))"
 
 
+def _degrees(key: str) -> tuple[Column, Column]:
+    """Latitude and longitude by the steps of the SQL in doubles, as DuckDB divides: what lies on an edge or a radius hangs on the last bit."""
+    at = lambda factor, steps, least: (F.col(key) * factor % steps) / F.lit(100.0) - F.lit(least)
+    return at(7919, 17900, 89.5), at(104729, 36000, 180.0)
+
+
 def _points(df: DataFrame, key: str, name: str) -> DataFrame:
-    at = lambda sql: F.expr(f"CAST({sql.format(k=key)} AS DOUBLE)")
-    return df.select(key, at(_LAT).alias(f"{name}_lat"), at(_LON).alias(f"{name}_lon"))
+    lat, lon = _degrees(key)
+    return df.select(key, lat.alias(f"{name}_lat"), lon.alias(f"{name}_lon"))
 
 
 _POINTS = f"""WITH c AS (SELECT c_custkey, c_nationkey, CAST({_LAT.format(k="c_custkey")} AS DOUBLE) AS c_lat, CAST({_LON.format(k="c_custkey")} AS DOUBLE) AS c_lon FROM customer),
@@ -469,7 +475,7 @@ _BYTES = lambda h: " || ".join(f"substr({h}, {i}, 2)" for i in range(15, 0, -2))
 def g1_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' positions in well-known binary through the geometry type, with a reference system, and back."""
     own = Q.geometry_session(spark)
-    points = _points(table(own, sf_dir, "customer"), "c_custkey", "c").select("c_custkey", udf.point_wkb("c_lon", "c_lat").alias("w"))
+    points = _points(table(own, sf_dir, "customer"), "c_custkey", "c").select("c_custkey", udf.point_wkb(F.round("c_lon", 2), F.round("c_lat", 2)).alias("w"))
     placed = points.select("c_custkey", F.expr("st_setsrid(st_geomfromwkb(w), 4326)").alias("g"))
     return placed.select("c_custkey", F.expr("CAST(st_srid(g) AS BIGINT)").alias("srid"), F.expr("hex(st_asbinary(g))").alias("wkb"))
 
@@ -560,7 +566,8 @@ SELECT *, least(1.0, greatest(0.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1
 GROUP BY r_regionkey, o_orderkey HAVING min(sqrt(power(px - (x1 + f * (x2 - x1)), 2) + power(py - (y1 + f * (y2 - y1)), 2))) <= 1.25""")
 def g4_corridor(t):
     """Orders within a corridor along the regions' paths."""
-    orders = t("orders").select("o_orderkey", *(F.expr(_AT_ORDER[c]).alias(c) for c in "xy"))
+    lat, lon = _degrees("o_orderkey")
+    orders = t("orders").select("o_orderkey", lon.alias("x"), lat.alias("y"))
     y = _PATH_Y.format(k="r_regionkey")
     paths = t("region").select("r_regionkey", F.expr("array(" + ", ".join(f"named_struct('x', {i}D, 'y', {y} + {j})" for i, j in _BENDS) + ")").alias("path"))
     out = spatial.corridor(orders, paths, ("x", "y"), "o_orderkey", "r_regionkey", "path", 1.25)
