@@ -22,9 +22,58 @@ def _copied(df: DataFrame, place: Column, before: int, after: int, width: int, c
     return out.select("__bin", "__home", *(F.col(c) if c in carried else F.when(F.col("__home"), F.col(c)).alias(c) for c in df.columns))
 
 
+def _place(df: DataFrame, at: str) -> Column:
+    kind = df.schema[at].dataType.simpleString()
+    if kind not in ("timestamp", "timestamp_ntz", "date", "bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"{at} is neither a time nor a whole number but {kind}")
+    return F.unix_micros(F.col(at).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(at).cast("long")
+
+
+_MERGED = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}  # of aggregates of parts
+
+
+def range_totals(df: DataFrame, keys: list[str], at: str, before: int, after: int, aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """As `range_frame`, for aggregates that parts add up to: name to (sum, count, min or max; column). However many rows a frame holds, a row costs the same.
+
+    Time is cut into blocks as long as a frame, so a frame is the end of one block and the
+    beginning of the next. Each block runs once forwards and once backwards, over its values and over the
+    ends of frames in it, and the two parts of a frame meet by its keys and place. Equal places are one value,
+    combined map-side. Sums of doubles are added in another order than a plain window's, so their last digits may differ.
+    """
+    if before < 0 or after < 0:
+        raise ValueError("a frame reaches back and ahead by no less than 0")
+    if wrong := {how for how, _ in aggs.values()} - set(_MERGED):
+        raise ValueError(f"no {', '.join(sorted(wrong))} of parts")
+    length = before + after
+    placed = df.withColumn("__place", _place(df, at))
+    names = {name: f"__v{i}" for i, name in enumerate(aggs)}
+    # rows without `at` are one place: each other's frame
+    values = placed.groupBy(*keys, "__place").agg(*(getattr(F, how)(c).alias(names[name]) for name, (how, c) in aggs.items()))
+    if length:
+        place, back = F.col("__place"), F.lit(before).cast("long")
+        # (order in its run, run, mark); whole numbers throughout, as both parts of a frame must be in blocks side by side
+        block = lambda x: F.call_function("div", x - F.pmod(x, F.lit(length).cast("long")), F.lit(length).cast("long"))
+        end = lambda backwards, x, mark: F.struct((-x if backwards else x).alias("at"), (2 * block(x) + int(backwards)).alias("block"), F.lit(mark).alias("mark"))
+        ends = F.array(end(False, place, False), end(True, place, False), end(True, place - back, True), end(False, place + F.lit(after).cast("long"), True))
+        runs = values.where("__place IS NOT NULL").withColumn("__e", F.explode(ends))
+        runs = runs.select(*keys, "__place", "__e.*", *(F.when(~F.col("__e.mark"), F.col(v)).alias(v) for v in names.values()))
+        # ends stand behind the values of their place
+        run = Window.partitionBy("block", *keys).orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0)
+        merged = {names[name]: _MERGED[how] for name, (how, _) in aggs.items()}
+        parts = runs.select(*keys, "__place", "mark", *(f(v).over(run).alias(v) for v, f in merged.items())).where("mark")
+        frames = parts.groupBy(*keys, "__place").agg(*(f(v).alias(v) for v, f in merged.items()))
+        values = frames.unionByName(values.where("__place IS NULL"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "__place"]]
+    both = placed.alias("a").join(values.alias("b"), same)
+    return both.select(*(F.col(f"a.{c}").alias(c) for c in df.columns), *(F.col(f"b.{names[n]}").alias(n) for n in aggs))
+
+
 def range_frame(df: DataFrame, keys: list[str], at: str, before: int, after: int, aggs: dict[str, Column], reads: list[str], width: int | None = None) -> DataFrame:
     """df with aggregates over the rows of equal keys whose `at` lies in [at - before, at + after].
 
+    Any aggregates; each frame is gone through anew, so a row costs what its frame holds. Where frames
+    grow with the table and parts add up, `range_totals` is the one to take.
+
     `at` is a time, with the frame in microseconds, or a whole number. Rows are binned by it
     (`width`, four frames by default), and a row is copied into the bins beside its own that its
     distance from their edge reaches: five copies of four rows. A task holds a key's rows of a
@@ -35,11 +84,7 @@ def range_frame(df: DataFrame, keys: list[str], at: str, before: int, after: int
     if before < 0 or after < 0 or (width is not None and width < 1):
         raise ValueError("a frame reaches back and ahead by no less than 0, a bin is wider")
     width = width or max(1, 4 * (before + after))
-    kind = df.schema[at].dataType.simpleString()
-    if kind not in ("timestamp", "timestamp_ntz", "date", "bigint", "int", "smallint", "tinyint"):
-        raise ValueError(f"{at} is neither a time nor a whole number but {kind}")
-    place = F.unix_micros(F.col(at).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(at).cast("long")
-    some = df.where(F.col(at).isNotNull()).withColumn("__place", place)
+    some = df.where(F.col(at).isNotNull()).withColumn("__place", _place(df, at))
     w = Window.partitionBy(*keys, "__bin").orderBy("__place").rangeBetween(-before, after)
     copied = _copied(some, F.col("__place"), before, after, width, [*keys, *reads, "__place"])
     out = copied.withColumns({name: agg.over(w) for name, agg in aggs.items()}).where("__home").select(*df.columns, *aggs)

@@ -306,9 +306,9 @@ def d1_global_row_number(t):
 WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 30 MINUTE FOLLOWING)""")
 def d4_range_frame_hot(t):
     """Partitions as large as a share of the table: there are few event types."""
-    aggs = {"n": F.count(F.lit(1)), "most": F.max("value"), "least_id": F.min("event_id")}
-    e = t("events").select("event_id", "event_type", "ts", "value")
-    return frames.range_frame(e, ["event_type"], "ts", 3_600_000_000, 1_800_000_000, aggs, ["value", "event_id"]).select("event_id", *aggs)
+    aggs = {"n": ("count", "one"), "most": ("max", "value"), "least_id": ("min", "event_id")}
+    e = t("events").select("event_id", "event_type", "ts", "value", F.lit(1).alias("one"))
+    return frames.range_totals(e, ["event_type"], "ts", 3_600_000_000, 1_800_000_000, aggs).select("event_id", *aggs)
 
 
 _BY_DAY = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")

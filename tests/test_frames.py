@@ -117,3 +117,34 @@ def test_numbered_frames_of_no_rows(spark):
     assert frames.offsets(df, ["k"], ORDER(), {"n": ("v", 1)}).count() == 0
     with pytest.raises(ValueError):
         frames.running(df, ["k"], ORDER(), {"n": ("avg", "v")})
+
+
+PARTS = {"n": ("count", "one"), "some": ("count", "v"), "total": ("sum", "v"), "least": ("min", "v"), "most": ("max", "v")}
+
+
+@pytest.mark.parametrize("before,after", [(0, 0), (10, 0), (0, 25), (1, 1), (30, 30), (500, 500), (3, 7)])
+def test_range_totals_are_the_window(spark, before, after):
+    df = spark.createDataFrame(rows(700), "i int, k string, t long, v int").repartition(5).withColumn("one", F.lit(1))
+    out = frames.range_totals(df, ["k"], "t", before, after, PARTS)
+    assert out.columns == [*df.columns, *PARTS]
+    w = Window.partitionBy("k").orderBy("t").rangeBetween(-before, after)
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.select("*", *(a.over(w).alias(n) for n, a in AGGS().items())).collect()))
+
+
+def test_range_totals_without_keys_beyond_exact_doubles_and_refused(spark):
+    big = 2**60
+    df = spark.createDataFrame([(1, big), (2, big + 1), (3, big + 5), (4, None), (5, -big), (6, -big - 4)], "i int, t long")
+    out = frames.range_totals(df, [], "t", 4, 0, {"n": ("count", "i"), "least": ("min", "i")})
+    assert sorted((r.i, r.n, r.least) for r in out.collect()) == [(1, 1, 1), (2, 2, 1), (3, 2, 2), (4, 1, 4), (5, 2, 5), (6, 1, 6)]
+    assert frames.range_totals(df.where("i < 0"), ["i"], "t", 1, 1, {"n": ("count", "i")}).count() == 0
+    with pytest.raises(ValueError):
+        frames.range_totals(df, [], "t", 1, 1, {"n": ("avg", "i")})
+    with pytest.raises(ValueError):
+        frames.range_totals(df, [], "t", -1, 1, {"n": ("count", "i")})
+
+
+def test_hot_range_frames_do_not_go_through_each_frame_anew(spark):
+    from quern.operators.registry import QUERIES
+
+    plan = QUERIES["d4_range_frame_hot"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, unboundedpreceding" in plan and "RangeFrame" not in plan
