@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans import written
+
 
 def _position(df: DataFrame, c: str) -> Column:
     """A time in seconds, or a number, as a double."""
@@ -60,6 +62,25 @@ def band(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width:
 
 
 EARTH_KM = 6371.0088
+CHUNK = 2_000  # right rows of a cell that are met at once
+TASK_PAIRS, TASK_ROWS = 50_000_000, 500_000  # what a task of a join by cells compares and holds, about
+
+
+def _spread(l: DataFrame, r: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by __b and __c with a third key, __s, dealt out so that tasks have equal work and grow in number with it.
+
+    The right rows of a crowded cell go to chunks by a hash of their columns, and its left rows to each of these. Partitions follow
+    from the counted pairs: by the size of its rows alone a join whose output is far larger gets too few tasks.
+    """
+    counts = written(r.groupBy("__b", "__c").agg(F.count(F.lit(1)).alias("__n")))
+    both = l.groupBy("__b", "__c").agg(F.count(F.lit(1)).alias("__m")).join(counts, ["__b", "__c"])
+    pairs, rows = both.agg(F.sum(F.col("__m").cast("double") * F.col("__n")), F.sum(F.col("__m") * F.ceil(F.col("__n") / CHUNK) + F.col("__n"))).first()
+    tasks = math.ceil(max((pairs or 0) / TASK_PAIRS, (rows or 0) / TASK_ROWS, 1))
+    crowded = F.broadcast(counts.where(F.col("__n") > CHUNK).select("__b", "__c", F.ceil(F.col("__n") / CHUNK).alias("__k")))  # a row for CHUNK rows at most
+    k = F.coalesce("__k", F.lit(1).cast("long"))
+    l = l.join(crowded, ["__b", "__c"], "left").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), k - 1))).drop("__k")
+    r = r.join(crowded, ["__b", "__c"], "left").withColumn("__s", F.pmod(F.xxhash64(*columns), k)).drop("__k")
+    return tuple(df.repartition(tasks, "__b", "__c", "__s") for df in (l, r))
 
 
 def near(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], km: float) -> DataFrame:
@@ -68,7 +89,8 @@ def near(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at:
     The sphere is cut into bands of latitude as wide as the distance, a band into cells at
     least that wide. A right point is in its cell; a left point is in all cells that the
     distance can reach, in its own band and the two beside it, across the date line and
-    around the poles. Null and non-finite positions are near nothing.
+    around the poles. Null and non-finite positions are near nothing. Pairs are first compared by their chord, and only those within rounding of
+    the distance by the formula. Pairs of cells are counted beforehand, so that tasks grow in number with them (`_spread`).
     """
     from quern.functions import great_circle
 
@@ -90,4 +112,16 @@ def near(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at:
     l = l.withColumn("__c", F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col(lon) - reach, F.col("__b")), cell(F.col(lon) + reach, F.col("__b"))), lambda c: F.pmod(c, cells(F.col("__b")))))))
     r = right.where(ok(*right_at)).withColumn("__b", band_of(right_at[0])).withColumn("__c", F.pmod(cell(F.col(right_at[1]), F.col("__b")), cells(F.col("__b"))))
     far = great_circle(F.col(lat), F.col(lon), F.col(right_at[0]), F.col(right_at[1]))
-    return l.join(r, ["__b", "__c"]).where(far <= F.lit(km)).drop("__b", "__c")
+    hashed = [c for c, kind in right.dtypes if not any(x in kind for x in ("map<", "variant", "geo"))]
+    l, r = _spread(l.withColumns(_on_sphere("__l", lat, lon)), r.withColumns(_on_sphere("__r", *right_at)), hashed)
+    steps = [F.col(f"__l{c}") - F.col(f"__r{c}") for c in "xyz"]
+    chord = sum((d * d for d in steps[1:]), steps[0] * steps[0])
+    most = 4 * math.sin(min(km / EARTH_KM, math.pi) / 2) ** 2
+    slack = 1e-12 * math.sqrt(most) + 1e-24  # far more than rounding adds
+    within = F.when(chord > F.lit(most + slack), False).when(chord < F.lit(most - slack), True).otherwise(far <= F.lit(km))
+    return l.join(r, ["__b", "__c", "__s"]).where(within).drop("__b", "__c", "__s", *(f"__{side}{c}" for side in "lr" for c in "xyz"))
+
+
+def _on_sphere(name: str, lat: str, lon: str) -> dict[str, Column]:
+    up, along = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
+    return {f"{name}x": F.cos(up) * F.cos(along), f"{name}y": F.cos(up) * F.sin(along), f"{name}z": F.sin(up)}
