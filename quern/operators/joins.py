@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,31 +67,36 @@ CHUNK = 2_000  # right rows of a cell that are met at once
 TASK_PAIRS, TASK_ROWS = 50_000_000, 500_000  # what a task of a join by cells compares and holds, about
 
 
-def _spread(l: DataFrame, r: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def _spread(l: DataFrame, r: DataFrame, left_columns: list[str], right_columns: list[str], task_pairs: float) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join by __b and __c with a third key, __s, dealt out so that tasks have equal work and grow in number with it.
 
-    The right rows of a crowded cell go to chunks by a hash of their columns, and its left rows to each of these. Partitions follow
-    from the counted pairs: by the size of its rows alone a join whose output is far larger gets too few tasks.
+    The right rows of a crowded cell go to chunks by a hash of their columns, its left rows to lots by theirs, and each chunk meets
+    each lot. Partitions follow from the counted pairs: by the size of its rows alone a join whose output is far larger gets too few tasks.
     """
-    counts = written(r.groupBy("__b", "__c").agg(F.count(F.lit(1)).alias("__n")))
-    both = l.groupBy("__b", "__c").agg(F.count(F.lit(1)).alias("__m")).join(counts, ["__b", "__c"])
-    pairs, rows = both.agg(F.sum(F.col("__m").cast("double") * F.col("__n")), F.sum(F.col("__m") * F.ceil(F.col("__n") / CHUNK) + F.col("__n"))).first()
-    tasks = math.ceil(max((pairs or 0) / TASK_PAIRS, (rows or 0) / TASK_ROWS, 1))
-    crowded = F.broadcast(counts.where(F.col("__n") > CHUNK).select("__b", "__c", F.ceil(F.col("__n") / CHUNK).alias("__k")))  # a row for CHUNK rows at most
-    k = F.coalesce("__k", F.lit(1).cast("long"))
-    l = l.join(crowded, ["__b", "__c"], "left").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), k - 1))).drop("__k")
-    r = r.join(crowded, ["__b", "__c"], "left").withColumn("__s", F.pmod(F.xxhash64(*columns), k)).drop("__k")
-    return tuple(df.repartition(tasks, "__b", "__c", "__s") for df in (l, r))
-
-
-def near(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], km: float) -> DataFrame:
+    sides = (df.select("__b", "__c", F.lit(m).alias("__m"), F.lit(n).alias("__n")) for df, m, n in ((l, 1, 0), (r, 0, 1)))
+    both = reduce(DataFrame.unionAll, sides).groupBy("__b", "__c").agg(F.sum("__m").alias("__m"), F.sum("__n").alias("__n"))
+    # rows that meet nothing are held, too; a lot and a chunk are a quarter of a task's pairs, a lot a quarter of its rows, at most
+    lots = F.greatest(F.col("__m") * F.least(F.col("__n"), F.lit(CHUNK)) / task_pairs, F.col("__m") / TASK_ROWS) * 4
+    cells = written(both.withColumns({"__i": F.greatest(F.ceil(lots), F.lit(1)), "__k": F.greatest(F.ceil(F.col("__n") / CHUNK), F.lit(1))}))
+    pairs, rows = cells.agg(F.sum(F.col("__m").cast("double") * F.col("__n")), F.sum(F.col("__m") * F.col("__k") + F.col("__n") * F.col("__i"))).first()
+    tasks = math.ceil(max((pairs or 0) / task_pairs, (rows or 0) / TASK_ROWS, 1))
+    crowded = F.broadcast(cells.where("__i > 1 OR __k > 1").select("__b", "__c", "__i", "__k"))  # a row for CHUNK rows or a quarter of a task
+    i, k = (F.coalesce(c, F.lit(1).cast("long")) for c in ("__i", "__k"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    l = l.join(crowded, ["__b", "__c"], "left").withColumn("__s", each(k)).withColumn("__s", F.col("__s") * i + F.pmod(F.xxhash64(*left_columns), i))
+    r = r.join(crowded, ["__b", "__c"], "left").withColumn("__s", each(i)).withColumn("__s", F.col("__s") + F.pmod(F.xxhash64(*right_columns), k) * i)
+    return tuple(df.drop("__i", "__k").repartition(tasks, "__b", "__c", "__s") for df in (l, r))
+
+
+def near(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], km: float, task_pairs: float | None = None) -> DataFrame:
     """Pairs of points (latitude, longitude in degrees) at most `km` apart on the sphere, by cells instead of a nested loop.
 
     The sphere is cut into bands of latitude as wide as the distance, a band into cells at
     least that wide. A right point is in its cell; a left point is in all cells that the
     distance can reach, in its own band and the two beside it, across the date line and
     around the poles. Null and non-finite positions are near nothing. Pairs are first compared by their chord, and only those within rounding of
-    the distance by the formula. Pairs of cells are counted beforehand, so that tasks grow in number with them (`_spread`).
+    the distance by the formula. Pairs of cells are counted beforehand, so that tasks grow in number with them (`_spread`):
+    `task_pairs` are compared in one, fewer where the caller sorts what comes out.
     """
     from quern.functions import great_circle
 
@@ -112,8 +118,8 @@ def near(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at:
     l = l.withColumn("__c", F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col(lon) - reach, F.col("__b")), cell(F.col(lon) + reach, F.col("__b"))), lambda c: F.pmod(c, cells(F.col("__b")))))))
     r = right.where(ok(*right_at)).withColumn("__b", band_of(right_at[0])).withColumn("__c", F.pmod(cell(F.col(right_at[1]), F.col("__b")), cells(F.col("__b"))))
     far = great_circle(F.col(lat), F.col(lon), F.col(right_at[0]), F.col(right_at[1]))
-    hashed = [c for c, kind in right.dtypes if not any(x in kind for x in ("map<", "variant", "geo"))]
-    l, r = _spread(l.withColumns(_on_sphere("__l", lat, lon)), r.withColumns(_on_sphere("__r", *right_at)), hashed)
+    hashed = ([c for c, kind in df.dtypes if not any(x in kind for x in ("map<", "variant", "geo"))] for df in (left, right))
+    l, r = _spread(l.withColumns(_on_sphere("__l", lat, lon)), r.withColumns(_on_sphere("__r", *right_at)), *hashed, task_pairs or TASK_PAIRS)
     steps = [F.col(f"__l{c}") - F.col(f"__r{c}") for c in "xyz"]
     chord = sum((d * d for d in steps[1:]), steps[0] * steps[0])
     most = 4 * math.sin(min(km / EARTH_KM, math.pi) / 2) ** 2

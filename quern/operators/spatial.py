@@ -22,6 +22,7 @@ from quern.operators.joins import EARTH_KM, near
 from quern.plans import written
 
 _SLACK = 1e-9  # of a cell: a shape this near to a cell is listed in it too
+SORTED_PAIRS = 4_000_000  # pairs of a task of `nearest`, which sorts those within the radius for the k best of each position
 
 
 def _floor(x: Column, cell: float) -> Column:
@@ -172,7 +173,7 @@ def nearest(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_a
     while not open_.isEmpty():
         last = km >= whole
         # all points of the sphere lie within the last radius
-        met = near(open_, r, ("l_lat", "l_lon"), ("r_lat", "r_lon"), km if not last else whole * 1.001)
+        met = near(open_, r, ("l_lat", "l_lon"), ("r_lat", "r_lon"), km if not last else whole * 1.001, SORTED_PAIRS)
         met = met.withColumn("km", F.round(_km(), digits))
         # where a k-th distance is rounded up to the radius a nearer one may lie beyond it
         top = Window.partitionBy("l_lat", "l_lon").orderBy("km", "r_key")

@@ -145,6 +145,27 @@ def test_nearest_is_brute_force(spark, k):
     assert sorted((x.i, x.j, x["rank"]) for x in out.collect()) == sorted(want)
 
 
+def test_nearest_sorts_few_pairs_in_a_task(spark, monkeypatch):
+    """All pairs are of few cells, and none is near until the radius has grown to them all."""
+    monkeypatch.setattr(spatial, "SORTED_PAIRS", 300, raising=False)
+    most, near = [], spatial.near
+
+    def watched(*args):
+        met = near(*args)
+        most.append(max((x["count"] for x in met.groupBy(F.spark_partition_id()).count().collect()), default=0))
+        return met
+
+    monkeypatch.setattr(spatial, "near", watched)
+    r = random.Random(6)
+    spots = lambda n, x: [(i, x + r.random() / 10, r.random() / 10) for i in range(n)]
+    a, b = spots(60, 0.0), spots(200, 50.0)
+    left, right = spark.createDataFrame(a, "i int, ix double, iy double"), spark.createDataFrame(b, "j int, jx double, jy double")
+    out = spatial.nearest(left, right, ("ix", "iy"), ("jx", "jy"), "i", "j", 3).collect()
+    want = [(i, j, n) for i, *p in a for n, (_, j) in enumerate(sorted((round(great_circle(p, q), 6), j) for j, *q in b)[:3], 1)]
+    assert sorted((x.i, x.j, x["rank"]) for x in out) == sorted(want)
+    assert 0 < max(most) < 2400  # of 12,000
+
+
 def test_nearest_of_nothing(spark):
     some = spark.createDataFrame([(1, 0.0, 0.0)], "i int, x double, y double")
     none = some.where("i > 1").toDF("j", "u", "v")
